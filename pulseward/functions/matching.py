@@ -11,7 +11,9 @@ from pulseward.functions.vectors import dense_rows
 
 STRICT, BROAD = 0, 1
 CHUNK_CELLS = 4_000_000
-SIMILARITY_DIGITS = 10
+
+# Stored vectors are single floats; scores are compared to the digits those carry.
+SIMILARITY_DIGITS = 6
 
 MATCH_SCHEMA = "query_id bigint, pass int, ticket_id bigint, similarity double"
 TICKET_FIELDS = ["ticket_id", "dataset_source", "region", "product_name", "customer_tier", "embedding"]

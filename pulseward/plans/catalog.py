@@ -39,6 +39,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
 NO_FOREST = DetectorSettings(use_forest=False)
+EVENT_COLUMNS = [part.strip().split(" ")[0] for part in ANOMALY_EVENTS.split(",")]
 
 
 def register(fn: Query) -> Query:
@@ -590,20 +591,28 @@ def ticket_search_text(spark, sf_dir):
     return present(found.select("ticket_id", "region", "similarity_score"))
 
 
-def anchored_queries(spark, sf_dir) -> DataFrame:
-    """One query per segment and metric of the ticket events, with a stored vector as its text's vector."""
+def stored_ticket_events(spark, sf_dir) -> DataFrame:
+    """The ticket events as a scan leaves them: a written table that investigations read."""
+    path = scratch_path(spark, "events")
+    ticket_events(spark, sf_dir).select(*EVENT_COLUMNS).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def anchored_queries(spark, sf_dir, found: DataFrame) -> DataFrame:
+    """One query per segment and metric of the events, with a stored vector as its text's vector."""
     anchors = views.table(spark, sf_dir, "embeddings").groupBy("label").agg(
         F.min_by("embedding", "vec_id").alias("query_vector")
     )
     keys = investigate.SEGMENT_KEYS
-    segments = ticket_events(spark, sf_dir).select(*keys).distinct()
+    segments = found.select(*keys).distinct()
     queries_df = segments.withColumn("query_id", key_id(*[F.col(c) for c in keys]))
     return queries_df.join(anchors, F.col("query_id") % 10 == F.col("label")).drop("label")
 
 
 @register
 def citations_with_fallback(spark, sf_dir):
-    found = tickets.nearest_tickets(anchored_queries(spark, sf_dir), views.tickets(spark, sf_dir), 5, 0.20, 0.15)
+    asked = anchored_queries(spark, sf_dir, stored_ticket_events(spark, sf_dir))
+    found = tickets.nearest_tickets(asked, views.tickets(spark, sf_dir), 5, 0.20, 0.15)
     return present(tickets.matched_citations(found, views.tickets(spark, sf_dir)))
 
 
@@ -618,10 +627,10 @@ def citations_by_text(spark, sf_dir):
 # Evidence, reports, scorecard -----------------------------------------------
 
 
-def cited_reports(spark, sf_dir) -> DataFrame:
-    cited = investigate.with_citations(
-        ticket_events(spark, sf_dir), views.tickets(spark, sf_dir), anchored_queries(spark, sf_dir), 0.20, 0.15
-    )
+def cited_reports(spark, sf_dir, found: DataFrame | None = None) -> DataFrame:
+    found = stored_ticket_events(spark, sf_dir) if found is None else found
+    asked = anchored_queries(spark, sf_dir, found)
+    cited = investigate.with_citations(found, views.tickets(spark, sf_dir), asked, 0.20, 0.15)
     return reports.build_reports(evidence.sql_evidence(cited, ticket_daily(spark, sf_dir)))
 
 
@@ -639,7 +648,7 @@ def gateway_degraded(spark, sf_dir):
 @register
 def evidence_gateway(spark, sf_dir):
     found = events.signals_to_events(scan_metrics(views.metrics_orders(spark, sf_dir), NO_FOREST), "ORDERS")
-    worst = found.where(F.col("severity") == "CRITICAL").where(F.col("metric_name") == "success_rate_plunge")
+    worst = found.where(F.col("severity") == "CRITICAL")
     return present(evidence.evidence_gateway(worst, views.gateway_logs(spark, sf_dir), cap=5))
 
 
@@ -684,13 +693,14 @@ def report_summary(spark, sf_dir):
 
 @register
 def report_markdown(spark, sf_dir):
-    found = ticket_events(spark, sf_dir)
-    return reports.report_documents(cited_reports(spark, sf_dir), found)
+    found = stored_ticket_events(spark, sf_dir)
+    return reports.report_documents(cited_reports(spark, sf_dir, found), found)
 
 
 @register
 def investigation_events(spark, sf_dir):
-    feed = reports.investigation_events(cited_reports(spark, sf_dir), ticket_events(spark, sf_dir))
+    found = stored_ticket_events(spark, sf_dir)
+    feed = reports.investigation_events(cited_reports(spark, sf_dir, found), found)
     paths = {
         "anomaly_info": "$.metric",
         "agent_thought": "$.agent",
@@ -737,20 +747,22 @@ def json_extract(spark, sf_dir):
     )
 
 
-def scenarios(spark, sf_dir) -> DataFrame:
+def scenarios(found: DataFrame) -> DataFrame:
     """Keywords expected for an anomaly: its segment and frequent words of the languages."""
     words = F.array(F.lower("region"), F.lower("product_name"), F.lit("the"), F.lit("der"), F.lit("que"), F.lit("zzz"))
-    return ticket_events(spark, sf_dir).select(F.col("id").alias("anomaly_id"), words.alias("keywords"))
+    return found.select(F.col("id").alias("anomaly_id"), words.alias("keywords"))
 
 
 def card(spark, sf_dir) -> DataFrame:
-    done = cited_reports(spark, sf_dir).where(F.col("anomaly_id") % 7 != 0)
-    return scorecard.scorecard(scenarios(spark, sf_dir), done)
+    found = stored_ticket_events(spark, sf_dir)
+    done = cited_reports(spark, sf_dir, found).where(F.col("anomaly_id") % 7 != 0)
+    return scorecard.scorecard(scenarios(found), done)
 
 
 @register
 def retrieval_precision(spark, sf_dir):
-    joined = scenarios(spark, sf_dir).join(cited_reports(spark, sf_dir), "anomaly_id")
+    found = stored_ticket_events(spark, sf_dir)
+    joined = scenarios(found).join(cited_reports(spark, sf_dir, found), "anomaly_id")
     texts = F.transform("evidence_data.ticket_citations", lambda c: c["complaint_text"])
     return present(joined.select("anomaly_id", scorecard.retrieval_precision(texts, F.col("keywords")).alias("precision")))
 
