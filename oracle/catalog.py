@@ -528,7 +528,7 @@ def _report_queries() -> dict[str, str]:
             f"""capped AS (
   SELECT *, row_number() OVER (PARTITION BY region, product_name ORDER BY log_date DESC, failed_requests DESC, partner_bank) AS rank
   FROM gateway_logs WHERE {degraded} QUALIFY rank <= 5)""",
-            select=f"""SELECT f.id AS anomaly_id, rank, {gateway} FROM (SELECT id, region, product_name FROM found WHERE severity = 'CRITICAL') f
+            select=f"""SELECT f.id AS anomaly_id, rank, {gateway} FROM (SELECT id, region, product_name FROM found WHERE metric_name = 'success_rate_plunge') f
 JOIN capped USING (region, product_name)""",
         ),
         "evidence_arrays": "SELECT conv_id, turn, role || '#1,' || role || '#2' AS findings FROM conversations",

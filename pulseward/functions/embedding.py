@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +16,30 @@ from pulseward.functions.vectors import EMBEDDING_DIMENSION
 WORD = re.compile(r"[^\W_]+")
 
 
-@lru_cache(maxsize=1 << 17)
-def word_bucket(word: str) -> int:
-    return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % EMBEDDING_DIMENSION
+MAX_KNOWN_WORDS = 1 << 20
+
+
+class WordBuckets(dict):
+    """Bucket of every word met so far; starts over when it has grown too large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MAX_KNOWN_WORDS:
+            self.clear()
+        bucket = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % EMBEDDING_DIMENSION
+        self[word] = bucket
+        return bucket
+
+
+BUCKETS = WordBuckets()
 
 
 def hash_vectors(texts: list[str]) -> np.ndarray:
     """Word counts hashed into a fixed number of buckets, scaled to length one."""
     out = np.zeros((len(texts), EMBEDDING_DIMENSION))
     for i, text in enumerate(texts):
-        buckets = [word_bucket(w) for w in WORD.findall(text.lower())]
-        if buckets:
-            out[i] = np.bincount(buckets, minlength=EMBEDDING_DIMENSION)
+        words = WORD.findall(text.lower())
+        buckets = np.fromiter(map(BUCKETS.__getitem__, words), dtype=np.int64, count=len(words))
+        out[i] = np.bincount(buckets, minlength=EMBEDDING_DIMENSION)
     norms = np.sqrt((out * out).sum(axis=1))
     return out / np.where(norms > 0, norms, 1.0)[:, None]
 

@@ -72,21 +72,24 @@ def read_csv(
     return text.select(*[_typed(text, c, kind) for c, kind in _inferred_types(text)])
 
 
+WHOLE_NUMBER = r"^\s*[+-]?\d{1,18}\s*$"
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+TRUTH = r"(?i)^(true|false)$"
+
+
 def _inferred_types(text: DataFrame) -> list[tuple[str, str]]:
-    """The narrowest of bigint, double, boolean or string every value of a column fits. Runs one aggregate."""
-    kinds = ["bigint", "double", "boolean"]
+    """The narrowest of bigint, double, boolean or string every value of a column fits. Runs one aggregate.
+
+    The patterns decide without casting: a failed cast costs an exception per value.
+    """
+    patterns = {"bigint": WHOLE_NUMBER, "double": NUMBER, "boolean": TRUTH}
     checks = []
     for i, c in enumerate(text.columns):
         value = F.col(f"`{c}`")
-        for kind in kinds:
-            fits = value.try_cast(kind).isNotNull()
-            if kind == "bigint":
-                fits = fits & value.rlike(r"^\s*[+-]?\d+\s*$")
-            if kind == "boolean":
-                fits = F.lower(value).isin("true", "false")
-            checks.append(F.coalesce(F.every(F.when(value.isNotNull(), fits)), F.lit(kind == "double")).alias(f"{kind}{i}"))
+        for kind, pattern in patterns.items():
+            checks.append(F.coalesce(F.every(value.rlike(pattern)), F.lit(kind == "double")).alias(f"{kind}{i}"))
     row = text.agg(*checks).first()
-    return [(c, next((k for k in kinds if row[f"{k}{i}"]), "string")) for i, c in enumerate(text.columns)]
+    return [(c, next((k for k in patterns if row[f"{k}{i}"]), "string")) for i, c in enumerate(text.columns)]
 
 
 def _typed(text: DataFrame, name: str, kind: str):
