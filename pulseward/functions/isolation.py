@@ -21,6 +21,9 @@ MODULUS = 2147483647
 PICK_FEATURE, PICK_THRESHOLD, PICK_ROWS = 1, 2, 3
 EULER_GAMMA = 0.5772156649
 
+# Rows times trees scored at a time.
+SCORED_CELLS = 1_000_000
+
 
 def slice_seed(label: str) -> int:
     return int(hashlib.md5(label.encode("utf-8")).hexdigest()[:8], 16) % MODULUS
@@ -44,6 +47,30 @@ def average_path(count):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, full))
 
 
+def _walk(features, base, split_on, threshold, cost, depth):
+    """Path length of every row, summed over the trees, in blocks of rows."""
+    n, width = features.shape
+    values = features.ravel()
+    low_bits = (1 << (depth + 1)) - 1
+    paths = np.empty(n)
+    step = max(1, SCORED_CELLS // TREES)
+    for start in range(0, n, step):
+        rows = np.arange(start, min(start + step, n))
+        who = np.tile(rows * width, TREES)
+        at = np.repeat(base.ravel() + 1, len(rows))
+        steps = np.zeros(len(at))
+        for _ in range(depth):
+            feature = split_on[at]
+            inner = feature >= 0
+            if not inner.any():
+                break
+            right = values[who + np.maximum(feature, 0)] > threshold[at]
+            at = np.where(inner, at + (at & low_bits) + right, at)
+            steps += inner
+        paths[rows] = (steps + cost[at]).reshape(TREES, len(rows)).sum(axis=0)
+    return paths
+
+
 def forest_scores(features: np.ndarray, days: np.ndarray, seed: int, contamination: float):
     """Decision value and outlier flag for every row of one slice."""
     n, width = features.shape
@@ -64,6 +91,7 @@ def forest_scores(features: np.ndarray, days: np.ndarray, seed: int, contaminati
     split_on = np.full(slots, -1, dtype=np.int64)
     threshold = np.zeros(slots)
 
+    paths = np.zeros(n)
     sample = rows.ravel()
     at = np.broadcast_to(base + 1, rows.shape).ravel()
     for level in range(depth + 1):
@@ -74,6 +102,7 @@ def forest_scores(features: np.ndarray, days: np.ndarray, seed: int, contaminati
         nodes, start, size = np.unique(at, return_index=True, return_counts=True)
         count[nodes] = size
         if level == depth:
+            paths += np.bincount(sample, weights=level + average_path(count[at]), minlength=n)
             break
         values = features[sample]
         low = np.minimum.reduceat(values, start, axis=0)
@@ -91,26 +120,14 @@ def forest_scores(features: np.ndarray, days: np.ndarray, seed: int, contaminati
         threshold[nodes] = cut
 
         inner = split_on[at] >= 0
+        leaves = ~inner
+        paths += np.bincount(sample[leaves], weights=level + average_path(count[at[leaves]]), minlength=n)
         sample, at = sample[inner], at[inner]
         right = features[sample, split_on[at]] > threshold[at]
-        offset = at & ~((1 << (depth + 1)) - 1)
-        at = offset + 2 * (at - offset) + right
-
-    cost = average_path(count)
-    paths = np.zeros(n)
-    every = np.arange(n)
-    for t in trees:
-        root = int(t) << (depth + 1)
-        node = np.ones(n, dtype=np.int64)
-        steps = np.zeros(n)
-        for _ in range(depth):
-            feature = split_on[root + node]
-            inner = feature >= 0
-            right = features[every, np.maximum(feature, 0)] > threshold[root + node]
-            node = np.where(inner, 2 * node + right, node)
-            steps += inner
-        paths += steps + cost[root + node]
+        at = at + (at & ((1 << (depth + 1)) - 1)) + right  # doubles the heap number, keeps the tree
 
+    if n > psi:  # rows outside a tree's sample still have to walk down it
+        paths = _walk(features, base, split_on, threshold, average_path(count), depth)
     scores = -np.round(np.power(2.0, -(paths / TREES) / float(average_path(psi))), 8)
     decision = np.round(scores - np.percentile(scores, 100.0 * contamination), 8)
     return decision, decision < 0

@@ -42,6 +42,14 @@ SEARCH_MIN, CITATION_MIN, FALLBACK_MIN = 0.50, 0.40, 0.35
 BROADCAST_QUERIES = 4096
 TICKETS_PER_BLOCK = 20_000
 
+# Results known to have no more rows than this are broadcast to the table they are joined to.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Mark narrow rows for broadcast where their number is bounded; leave the join to the planner otherwise."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
 
 def ticket_defaults(df: DataFrame, dataset_source: str, created_at: datetime) -> DataFrame:
     """Every ticket column filled, whether its column is missing or its value is null."""
@@ -107,8 +115,7 @@ def ticket_topk(
         .orderBy(F.desc("similarity_score"), "ticket_id")
         .limit(limit)
     )
-    # at most ``limit`` rows
-    return df.drop("embedding").join(F.broadcast(scored), "ticket_id")
+    return df.drop("embedding").join(small(scored, limit), "ticket_id")
 
 
 def search_tickets(df: DataFrame, query: str, limit: int = SEARCH_LIMIT, min_similarity: float = SEARCH_MIN) -> DataFrame:
@@ -193,11 +200,13 @@ def nearest_tickets(
     best = Window.partitionBy("query_id", "pass").orderBy(F.desc("similarity"), "ticket_id")
     ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     first_pass = F.min("pass").over(Window.partitionBy("query_id"))
-    return (
+    chosen = (
         ranked.withColumn("first_pass", first_pass)
         .where(F.col("pass") == F.col("first_pass"))
         .select("query_id", "rank", (F.col("pass") == 1).alias("is_fallback"), "ticket_id", F.col("similarity").alias("similarity_score"))
     )
+    # k rows per query: fetching the winners' texts then needs no shuffle of the tickets
+    return small(chosen, k * head.num_rows) if head.num_rows <= broadcast_queries else chosen
 
 
 def matched_citations(matches: DataFrame, tickets: DataFrame) -> DataFrame:

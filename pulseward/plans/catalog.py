@@ -158,7 +158,7 @@ def early_events(spark, sf_dir) -> DataFrame:
 
 
 def ticket_daily(spark, sf_dir) -> DataFrame:
-    return complaints.complaint_daily(views.tickets(spark, sf_dir), "DOCUMENTS")
+    return complaints.complaint_daily(views.tickets(spark, sf_dir, False), "DOCUMENTS")
 
 
 def ticket_events(spark, sf_dir) -> DataFrame:
@@ -270,14 +270,14 @@ def reports_idempotent(spark, sf_dir):
 @register
 def overview(spark, sf_dir):
     return telemetry.overview(
-        views.metrics_events(spark, sf_dir), views.tickets(spark, sf_dir), event_events(spark, sf_dir), "EVENTS_30D"
+        views.metrics_events(spark, sf_dir), views.tickets(spark, sf_dir, False), event_events(spark, sf_dir), "EVENTS_30D"
     )
 
 
 @register
 def overview_fallback(spark, sf_dir):
     return telemetry.overview(
-        views.metrics_events(spark, sf_dir), views.tickets(spark, sf_dir), ticket_events(spark, sf_dir), "DOCUMENTS"
+        views.metrics_events(spark, sf_dir), views.tickets(spark, sf_dir, False), ticket_events(spark, sf_dir), "DOCUMENTS"
     )
 
 
@@ -289,7 +289,7 @@ def timeseries(spark, sf_dir):
 @register
 def list_datasets(spark, sf_dir):
     both = views.metrics_events(spark, sf_dir).unionByName(views.metrics_orders(spark, sf_dir))
-    return telemetry.list_datasets(both, views.tickets(spark, sf_dir))
+    return telemetry.list_datasets(both, views.tickets(spark, sf_dir, False))
 
 
 @register
@@ -548,14 +548,14 @@ def ticket_filtered_topk(spark, sf_dir):
 @register
 def ticket_date_filter(spark, sf_dir):
     wanted = tickets.filter_tickets(
-        views.tickets(spark, sf_dir), start_date=date(2024, 1, 10), end_date=date(2024, 1, 12), issue_category="/DE"
+        views.tickets(spark, sf_dir, False), start_date=date(2024, 1, 10), end_date=date(2024, 1, 12), issue_category="/DE"
     )
-    return shown_tickets(wanted.drop("embedding"))
+    return shown_tickets(wanted)
 
 
 @register
 def ticket_defaults(spark, sf_dir):
-    sparse = views.tickets(spark, sf_dir).select(
+    sparse = views.tickets(spark, sf_dir, False).select(
         "ticket_id",
         "message",
         F.when(F.col("ticket_id") % 3 != 0, F.col("region")).alias("region"),
@@ -586,7 +586,7 @@ def hash_embed(spark, sf_dir):
 def ticket_search_text(spark, sf_dir):
     """The tickets that share most words with the first benchmark passage."""
     passage = views.table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).first()["text"]
-    store_df = tickets.embed_tickets(views.tickets(spark, sf_dir))
+    store_df = tickets.embed_tickets(views.tickets(spark, sf_dir, False))
     found = tickets.search_tickets(store_df, passage, limit=10, min_similarity=0.10)
     return present(found.select("ticket_id", "region", "similarity_score"))
 
@@ -613,13 +613,13 @@ def anchored_queries(spark, sf_dir, found: DataFrame) -> DataFrame:
 def citations_with_fallback(spark, sf_dir):
     asked = anchored_queries(spark, sf_dir, stored_ticket_events(spark, sf_dir))
     found = tickets.nearest_tickets(asked, views.tickets(spark, sf_dir), 5, 0.20, 0.15)
-    return present(tickets.matched_citations(found, views.tickets(spark, sf_dir)))
+    return present(tickets.matched_citations(found, views.tickets(spark, sf_dir, False)))
 
 
 @register
 def citations_by_text(spark, sf_dir):
     """Lexical vectors on both sides: the words of segment and metric against whole messages."""
-    stored = tickets.embed_tickets(views.tickets(spark, sf_dir))
+    stored = tickets.embed_tickets(views.tickets(spark, sf_dir, False))
     found = tickets.nearest_tickets(tickets.anomaly_queries(ticket_events(spark, sf_dir)), stored, 5, 0.02, 0.01)
     return present(found.select("query_id", "rank", "is_fallback", "ticket_id", "similarity_score"), 4)
 

@@ -120,15 +120,16 @@ def metrics_orders_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders_metrics(_orders_joined(spark, sf_dir), F.col("o_orderpriority"), "ORDERS_FINE")
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tickets(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> DataFrame:
+    """Documents as tickets; queries that need no vectors leave their join out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     disputed = F.col("toxic") == 1
+    documents = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    if with_vectors:
+        vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+        documents = documents.join(vectors, "doc_id", "left")
     return (
-        table(spark, sf_dir, "documents")
-        .join(labels, "doc_id", "left")
-        .join(vectors, "doc_id", "left")
-        .select(
+        documents.select(
             F.col("doc_id").alias("ticket_id"),
             F.lit("DOCUMENTS").alias("dataset_source"),
             F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
@@ -144,7 +145,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(disputed, F.lit(-0.7)).otherwise(F.lit(-0.3)).alias("sentiment_score"),
             F.concat(F.lit("["), F.col("source"), F.lit("] "), F.col("lang")).alias("subject"),
             F.col("text").alias("message"),
-            "embedding",
+            *(["embedding"] if with_vectors else []),
         )
     )
 

@@ -131,6 +131,7 @@ class SqliteSource(DataSource):
 def read_sqlite(
     spark: SparkSession, path: str, table: str | None = None, rows_per_partition: int = ROWS_PER_PARTITION
 ) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)
     reader = spark.read.format("sqlite_file").option("rows_per_partition", str(rows_per_partition))
     if table:
