@@ -548,7 +548,7 @@ JOIN capped USING (region, product_name)""",
   CASE WHEN doc_id % 5 <> 0 THEN source ELSE 'none given' END AS fallback FROM documents""",
         "json_extract": """SELECT event_id, CASE WHEN event_id % 5 <> 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 5 <> 3 AS is_json FROM events""",
         "retrieval_precision": query(*reported, select=f"SELECT anomaly_id, {precision} AS precision FROM reported"),
-        "scorecard_rows": query(*reported, card, select="SELECT * REPLACE (sql_queries::BIGINT AS sql_queries) FROM card"),
+        "scorecard": query(*reported, card, select="SELECT * REPLACE (sql_queries::BIGINT AS sql_queries) FROM card"),
         "scorecard_summary": query(
             *reported,
             card,

@@ -99,8 +99,9 @@ def forest_scores(features: np.ndarray, days: np.ndarray, seed: int, contaminati
             break
         order = np.argsort(at, kind="stable")
         sample, at = sample[order], at[order]
-        nodes, start, size = np.unique(at, return_index=True, return_counts=True)
-        count[nodes] = size
+        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        nodes = at[start]
+        count[nodes] = np.diff(np.r_[start, len(at)])
         if level == depth:
             paths += np.bincount(sample, weights=level + average_path(count[at]), minlength=n)
             break

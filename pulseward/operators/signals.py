@@ -57,10 +57,11 @@ def score_series(
     """Dedupe, fill, baseline and forest for every slice of a metrics table."""
     wanted = [*slice_cols, "metric_date", *CARRIED_METRICS, *ZEROED_METRICS, "merchant_category", "id"]
     slim = metrics.select(*[c for c in wanted if c in metrics.columns])
+    # the exchange of the windows in here is the only one on the slice; the forest works inside its partitions
     filled = calendar_fill(dedupe_slices(slim, slice_cols), slice_cols, fill_gaps=settings.fill_gaps)
     scored = rolling_zscore(rolling_baseline(filled, settings.window_days, slice_cols))
     if settings.use_forest:
-        return isolation_forest(scored, settings.contamination, slice_cols)
+        return isolation_forest(scored, settings.contamination, slice_cols, co_located=True)
     return without_forest(scored)
 
 

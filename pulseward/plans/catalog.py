@@ -767,11 +767,13 @@ def retrieval_precision(spark, sf_dir):
     return present(joined.select("anomaly_id", scorecard.retrieval_precision(texts, F.col("keywords")).alias("precision")))
 
 
-@register
 def scorecard_rows(spark, sf_dir):
     return present(card(spark, sf_dir))
 
 
+_REGISTRY["scorecard"] = scorecard_rows
+
+
 @register
 def scorecard_summary(spark, sf_dir):
     return present(scorecard.scorecard_summary(card(spark, sf_dir)))

@@ -3,7 +3,8 @@ from datetime import date, timedelta
 import numpy as np
 
 from pulseward.functions.isolation import MODULUS, PICK_FEATURE, PICK_THRESHOLD, TREES, average_path, forest_scores, mix
-from pulseward.operators.signals import DetectorSettings, scan_metrics
+from pulseward.operators.forest import isolation_forest
+from pulseward.operators.signals import DetectorSettings, scan_metrics, score_series
 
 COLUMNS = (
     "metric_date date, region string, product_name string, customer_tier string, daily_spend_amount double, "
@@ -100,6 +101,33 @@ def test_mixer_spreads_evenly():
     assert counts.min() > 0.85 * draws.size / 20
 
 
+def test_forest_needs_no_exchange_of_its_own(spark):
+    rows = [(date(2026, 1, 1), "S", "C", "E", 1.0, 99.0, 250.0, 0.1)]
+    scored = score_series(spark.createDataFrame(rows, COLUMNS))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    # one for the deduplication, one for the windows
+    assert plan.count("Exchange") == 2 and "MapInArrow" in plan
+
+
+def test_forest_scores_slices_that_span_batches(spark):
+    rows = [
+        (date(2026, 1, 1) + timedelta(days=i), f"R{s}", "C", "E", float(i % 5), 90.0 + (i * s) % 7, 250.0 + i, 0.1)
+        for s in range(1, 6)
+        for i in range(40)
+    ]
+    df = spark.createDataFrame(rows, COLUMNS)
+    whole = sorted(map(tuple, score_series(df).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, score_series(df).collect())) == whole
+        direct = isolation_forest(df.repartition(3)).select("region", "metric_date", "iso_score")
+        ours = score_series(df).select("region", "metric_date", "iso_score")
+        assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, ours.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_short_slices_are_not_scored(spark):
     rows = [(date(2026, 1, 1) + timedelta(days=i), "R", "P", "T", 1.0, 90.0 if i else 99.0, 900.0, 1.6) for i in range(5)]
     found = scan_metrics(spark.createDataFrame(rows, COLUMNS)).collect()
