@@ -48,6 +48,11 @@ def text_pairs(entries: Column, default: str = "") -> Column:
     return text_lines(lines, default)
 
 
+def text_object(value: Column, default: str = "") -> Column:
+    """A map or struct as JSON text."""
+    return F.coalesce(F.to_json(value), F.lit(default))
+
+
 def text_or_default(text: Column, default: str) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, text).otherwise(F.lit(default))
 

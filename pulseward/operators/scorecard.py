@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseward.functions.numeric import round_stable, safe_ratio
@@ -10,12 +10,64 @@ from pulseward.functions.numeric import round_stable, safe_ratio
 # Fixed values of the scorecard.
 MIN_CONFIDENCE, MIN_SUMMARY_LENGTH, PRECISION_WITHOUT_CITATIONS = 0.70, 100, 0.50
 
-# Keyword sets of the golden scenarios.
-GOLDEN_KEYWORDS = {
-    "Mortgage": ["mortgage", "loan", "escrow", "closing", "dispute", "interest"],
-    "Credit Card": ["card", "fee", "unauthorized", "charge", "dispute", "billing"],
-    "Bank account or service": ["account", "deposit", "overdraft", "transfer", "fee", "delay"],
-}
+# The golden scenarios. Anomaly id, title, region, product, tier, metric, actual, expected, deviation,
+# z-score, severity, dataset, and the keywords its citations should hold.
+GOLDEN_SCENARIOS = [
+    (
+        101,
+        "CFPB Mortgage Disclosure & Escrow Grievance Surge",
+        "West",
+        "Mortgage",
+        "Retail",
+        "chargeback_dispute_spike",
+        7.8,
+        0.4,
+        1850.0,
+        4.1,
+        "CRITICAL",
+        "KAGGLE_CFPB",
+        ["mortgage", "loan", "escrow", "closing", "dispute", "interest"],
+    ),
+    (
+        102,
+        "Credit Card Billing Dispute & Unauthorized Surcharge Spike",
+        "South",
+        "Credit Card",
+        "Enterprise",
+        "chargeback_dispute_spike",
+        6.2,
+        0.8,
+        675.0,
+        3.8,
+        "CRITICAL",
+        "KAGGLE_CFPB",
+        ["card", "fee", "unauthorized", "charge", "dispute", "billing"],
+    ),
+    (
+        103,
+        "Bank Account Overdraft & Processing Latency Friction",
+        "East",
+        "Bank account or service",
+        "Retail",
+        "avg_latency_surge",
+        1850.0,
+        140.0,
+        1221.0,
+        4.8,
+        "CRITICAL",
+        "KAGGLE_CFPB",
+        ["account", "deposit", "overdraft", "transfer", "fee", "delay"],
+    ),
+]
+GOLDEN_SCHEMA = (
+    "anomaly_id bigint, title string, region string, product_name string, customer_tier string, metric_name string, "
+    "actual_value double, expected_value double, deviation_pct double, z_score double, severity string, "
+    "dataset_source string, keywords array<string>"
+)
+
+
+def golden_scenarios(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(GOLDEN_SCENARIOS, GOLDEN_SCHEMA)
 
 
 def retrieval_precision(texts: Column, keywords: Column) -> Column:

@@ -8,20 +8,22 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseward.functions.text import dataset_slug
 from pulseward.operators.complaints import ComplaintMapping, complaint_daily
 from pulseward.operators.inference import InferredSchema, infer_roles
-from pulseward.operators.ingestion import DatasetMapping, ingest_metrics, ingest_summary, ingest_tickets
+from pulseward.operators.ingestion import DatasetMapping, ingest_head, ingest_metrics, ingest_summary, ingest_tickets
 from pulseward.operators.tickets import embed_tickets
-from pulseward.functions.text import dataset_slug
-from pulseward.plans.store import append_metrics, append_tickets
+from pulseward.plans.store import append_metrics, append_tickets, staged
 from pulseward.sources.files import read_complaints, read_table
 
 
+def slug_of(spark: SparkSession, path: str) -> str:
+    return spark.range(1).select(dataset_slug(F.lit(PurePosixPath(path).name))).first()[0]
+
+
 def infer_file(spark: SparkSession, path: str, sample: int = 5) -> InferredSchema:
     """Roles of the columns of a file; an empty file is an error."""
-    name = PurePosixPath(path).name
-    slug = spark.range(1).select(dataset_slug(F.lit(name))).first()[0]
-    return infer_roles(read_table(spark, path), slug, sample)
+    return infer_roles(read_table(spark, path), slug_of(spark, path), sample)
 
 
 def ingest_file(
@@ -36,16 +38,19 @@ def ingest_file(
 ) -> dict:
     """Ingest a file and return its summary; an empty file gives zeros.
 
+    The parsed rows are written to the shared folder once, as columns, so that
+    inference, metrics and tickets each read only what they need.
     ``order_by`` names the column whose order stands for the order of the input.
     """
     table = read_table(spark, path)
     if max_records:
-        table = table.orderBy(order_by or table.columns[0]).limit(max_records)
+        table = ingest_head(table, max_records, order_by or table.columns[0])
+    table = staged(table, "ingest")
     if table.isEmpty():
         name = mapping.dataset_name if mapping else "empty_dataset"
         return {"dataset_name": name, "total_records": 0, "metrics_inserted": 0, "tickets_embedded": 0}
     if mapping is None:
-        mapping = DatasetMapping.from_inferred(infer_file(spark, path, sample=0))
+        mapping = DatasetMapping.from_inferred(infer_roles(table, slug_of(spark, path), sample=0))
     append_metrics(ingest_metrics(table, mapping, run_date), metrics_path)
     if mapping.narrative_col in table.columns:
         created = datetime(run_date.year, run_date.month, run_date.day)
@@ -64,7 +69,8 @@ def ingest_complaints(
     max_records: int | None = None,
 ) -> DataFrame:
     """Store the complaints of an export as tickets and as daily KPIs; returns the counts of both as one row."""
-    tickets = read_complaints(spark, path, mapping, max_records).withColumn("dataset_source", F.lit(dataset_source))
+    normal = read_complaints(spark, path, mapping, max_records).withColumn("dataset_source", F.lit(dataset_source))
+    tickets = staged(normal, "complaints")
     append_tickets(embed_tickets(tickets), tickets_path)
     daily = complaint_daily(tickets, dataset_source)
     append_metrics(daily, metrics_path)

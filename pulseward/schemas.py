@@ -59,3 +59,5 @@ REPORTS = (
     f"evidence_data struct<sql_history:array<{SQL_EVIDENCE}>,ticket_citations:array<{CITATION}>>, "
     f"reasoning_trace array<{THOUGHT}>, mitigation_steps string"
 )
+
+STATUS_LOG = "anomaly_id bigint, seq int, status string"

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SOUTH, metric_row
 from pulseward.functions.templates import number_text
-from pulseward.functions.text import parsed_json, signed_percent, text_lines, text_or_default, text_pairs
+from pulseward.functions.text import parsed_json, signed_percent, text_lines, text_object, text_or_default, text_pairs
 from pulseward.operators import evidence, reports, scorecard
 from pulseward.operators.tickets import embed_tickets
-from pulseward.plans.investigate import investigate
-from pulseward.plans.store import append_metrics, read_stored, replace_dataset, write_documents
-from pulseward.schemas import ANOMALY_EVENTS, CITATION, DAILY_METRICS
+from pulseward.operators.events import current_status
+from pulseward.plans.investigate import investigate, investigate_and_persist
+from pulseward.plans.store import append_metrics, append_tickets, clear_table, read_stored, replace_dataset, write_documents
+from pulseward.schemas import ANOMALY_EVENTS, CITATION, DAILY_METRICS, REPORTS, STATUS_LOG
 from pulseward.streaming.incremental import incremental_scan
 
 
@@ -121,7 +122,47 @@ def test_scorecard(spark):
     assert (rows[3].retrieval_precision, rows[3].overall_status, rows[3].sql_pass) == (0.0, "FAIL", False)
     total = scorecard.scorecard_summary(card.withColumn("elapsed_sec", F.lit(2.0))).first()
     assert (total.scenarios, total.passed, total.pass_rate, total.avg_latency) == (3, 2, 66.7, 2.0)
-    assert len(scorecard.GOLDEN_KEYWORDS) == 3
+
+
+def test_golden_scenarios_pass(spark, seed_metrics, tickets):
+    golden = scorecard.golden_scenarios(spark)
+    anomalies = golden.select(F.col("anomaly_id").alias("id"), "*", F.lit("OPEN").alias("status")).drop("keywords", "title")
+    complaints = spark.createDataFrame(
+        [
+            (11, "KAGGLE_CFPB", "West", "Mortgage", "Retail", "C", "Escrow", "Escrow", "mortgage west chargeback dispute spike loan escrow closing interest"),
+            (12, "KAGGLE_CFPB", "North", "Other", "Retail", "C", "Other", "Other", "credit card south spike"),
+        ],
+        "ticket_id bigint, dataset_source string, region string, product_name string, customer_tier string, customer_id string, "
+        "issue_category string, subject string, message string",
+    )
+    found = investigate(anomalies, seed_metrics, embed_tickets(complaints))
+    rows = {r.anomaly_id: r for r in scorecard.scorecard(golden, found).collect()}
+    assert {r.overall_status for r in rows.values()} == {"PASS"} and len(rows) == 3
+    assert (rows[101].citations, rows[101].retrieval_precision) == (1, 1.0)  # within its filters
+    assert (rows[102].citations, rows[102].retrieval_precision) == (2, 0.5)  # found by the broad search only
+    assert (rows[103].citations, rows[103].retrieval_precision) == (0, 0.5)
+
+
+def test_investigations_are_stored_once(spark, anomalies, seed_metrics, tickets, tmp_path):
+    where = {k: str(tmp_path / k) for k in ("events", "metrics", "tickets", "reports", "status", "docs")}
+    anomalies.write.partitionBy("dataset_source").parquet(where["events"])
+    append_metrics(seed_metrics, where["metrics"])
+    append_tickets(tickets, where["tickets"])
+
+    def run():
+        done = investigate_and_persist(
+            spark, "FINTECH_90D", where["events"], where["metrics"], where["tickets"], where["reports"], where["status"], where["docs"]
+        )
+        return sorted(r.anomaly_id for r in done.collect())
+
+    assert run() == [7, 8] and run() == [7, 8]
+    assert read_stored(spark, where["reports"], REPORTS).count() == 2
+    log = read_stored(spark, where["status"], STATUS_LOG)
+    assert log.count() == 4
+    assert {r.status for r in current_status(anomalies, log).collect()} == {"RESOLVED"}
+    assert len(list((tmp_path / "docs").glob("anomaly_id=*/part-*"))) == 2
+    clear_table(spark, where["reports"], REPORTS)
+    assert read_stored(spark, where["reports"], REPORTS).count() == 0
 
 
 def test_json_in_prose(spark):
@@ -132,6 +173,7 @@ def test_json_in_prose(spark):
 
 
 def test_text_helpers(spark):
+    assert spark.sql("SELECT map('a', 1) m").select(text_object(F.col("m"))).first()[0] == '{"a":1}'
     df = spark.sql("SELECT array('a','b') l, CAST(array() AS array<string>) e, array(map('k','v','x','y')) m, '' s, 1.25D p, -0.04D n, 12345678.5D big, 0.0001D small, 74.0D plain")
     row = df.select(
         text_lines(F.col("l")), text_lines(F.col("e"), "none"), text_pairs(F.col("m")), text_or_default(F.col("s"), "d"),
