@@ -111,17 +111,22 @@ def rolling_baseline(
 ) -> DataFrame:
     """Trailing mean and spread, the current row included, as ``mean_*`` and ``sd_*``."""
     trailing = Window.partitionBy(*slice_cols).orderBy(date_col).rowsBetween(-(window_days - 1), Window.currentRow)
-    stats = []
-    for metric in [m for m in BASELINE_METRICS if m in df.columns]:
-        enough = F.count(metric).over(trailing) >= MIN_PERIODS
-        mean = F.when(enough, F.avg(metric).over(trailing))
-        spread = F.when(enough, F.stddev_samp(metric).over(trailing))
-        floor = F.lit(DEVIATION_FLOOR[metric])
-        stats += [
-            mean.alias(f"mean_{metric}"),
-            F.when(spread > NOISE, spread).otherwise(floor).alias(f"sd_{metric}"),
+    metrics = [m for m in BASELINE_METRICS if m in df.columns]
+    # each aggregate is taken once per frame and guarded afterwards
+    framed = df.select(
+        "*",
+        *[F.count(m).over(trailing).alias(f"n_{m}") for m in metrics],
+        *[F.avg(m).over(trailing).alias(f"mean_{m}") for m in metrics],
+        *[F.stddev_samp(m).over(trailing).alias(f"sd_{m}") for m in metrics],
+    )
+    guarded = []
+    for m in metrics:
+        enough, spread = F.col(f"n_{m}") >= MIN_PERIODS, F.col(f"sd_{m}")
+        guarded += [
+            F.when(enough, F.col(f"mean_{m}")).alias(f"mean_{m}"),
+            F.when(enough & (spread > NOISE), spread).otherwise(F.lit(DEVIATION_FLOOR[m])).alias(f"sd_{m}"),
         ]
-    return df.select("*", *stats)
+    return framed.select(*df.columns, *guarded)
 
 
 def rolling_zscore(df: DataFrame) -> DataFrame:

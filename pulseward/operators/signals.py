@@ -12,8 +12,7 @@ from pulseward.functions.numeric import round_stable
 from pulseward.functions.rules import ALERT_RULES
 from pulseward.operators.forest import isolation_forest, without_forest
 from pulseward.operators.series import (
-    CARRIED_METRICS,
-    ZEROED_METRICS,
+    BASELINE_METRICS,
     calendar_fill,
     dedupe_slices,
     rolling_baseline,
@@ -54,12 +53,16 @@ def extract_signals(
 def score_series(
     metrics: DataFrame, settings: DetectorSettings = DetectorSettings(), slice_cols: Sequence[str] = SLICE_COLUMNS
 ) -> DataFrame:
-    """Dedupe, fill, baseline and forest for every slice of a metrics table."""
-    wanted = [*slice_cols, "metric_date", *CARRIED_METRICS, *ZEROED_METRICS, "merchant_category", "id"]
+    """Dedupe, fill, baseline and forest for every slice of a metrics table.
+
+    Only the columns the rules and the forest look at are read and carried along.
+    """
+    wanted = [*slice_cols, "metric_date", *BASELINE_METRICS, "daily_spend_amount", "merchant_category", "id"]
     slim = metrics.select(*[c for c in wanted if c in metrics.columns])
     # the exchange of the windows in here is the only one on the slice; the forest works inside its partitions
     filled = calendar_fill(dedupe_slices(slim, slice_cols), slice_cols, fill_gaps=settings.fill_gaps)
     scored = rolling_zscore(rolling_baseline(filled, settings.window_days, slice_cols))
+    scored = scored.drop(*[f"{stat}_{m}" for stat in ("mean", "sd") for m in BASELINE_METRICS])
     if settings.use_forest:
         return isolation_forest(scored, settings.contamination, slice_cols, co_located=True)
     return without_forest(scored)
