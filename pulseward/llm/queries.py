@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseward.llm import exact_dedup, minhash, mixing, packing, quality_cnn
+from pulseward.llm import (
+    exact_dedup,
+    fingerprints,
+    language_mix,
+    license_scan,
+    line_chunks,
+    minhash,
+    mixing,
+    packing,
+    quality_cnn,
+    token_rollups,
+)
 from pulseward.llm.common import documents
+from pulseward.session import scratch_path
 
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,6 +41,29 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", "kept")
 
 
+@register
+def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less the multi-line chunks that stand earlier in the corpus."""
+    found = line_chunks.drop_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "text", "n_lines", "removed_chunks", "removed_lines")
+
+
+@register
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+@register
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_mix.identify(docs, language_mix.fit(docs))
+
+
+@register
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(documents(spark, sf_dir))
+
+
 @register
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus mixed to shares that follow the square root of a source's characters."""
@@ -40,6 +75,21 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+@register
+def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents, those that repeat lines revised, exact copies deleted; one batch comes twice."""
+    docs = documents(spark, sf_dir)
+    rollup = token_rollups.Rollup(spark, scratch_path(spark, "llm-rollup"))
+    rollup.commit(1, docs.withColumn("op", F.lit("upsert")))
+    revised = token_rollups.without_repeated_lines(docs).withColumn("op", F.lit("upsert"))
+    rollup.commit(2, revised)
+    rollup.commit(2, revised)
+    copies = exact_dedup.dedup(docs).where("not kept").select("doc_id")
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")]
+    rollup.commit(3, copies.select("doc_id", *nothing, F.lit("delete").alias("op")))
+    return rollup.totals()
+
+
 @register
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -55,6 +105,32 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_chunks": r"""
+            WITH lines AS (
+                SELECT doc_id, i, line, count(*) OVER (PARTITION BY doc_id) AS n,
+                       CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h
+                FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+            ), cuts AS (
+                SELECT *, i = n OR (i >= 2 AND (h + 31 * lag(h) OVER d) % 4 = 0) AS cut FROM lines
+                WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+            ), numbered AS (
+                SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY i
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM cuts
+            ), chunks AS (
+                SELECT doc_id, chunk, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS body
+                FROM numbered GROUP BY doc_id, chunk
+            ), marked AS (
+                SELECT *, n_lines >= 2 AND length(trim(replace(body, chr(10), ''), ' ')) > 0
+                    AND row_number() OVER (PARTITION BY body ORDER BY n_lines < 2, doc_id, chunk) > 1 AS gone FROM chunks
+            )
+            SELECT d.doc_id,
+                   CASE WHEN count(*) FILTER (gone) = 0 THEN any_value(d.text)
+                        ELSE coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '') END AS text,
+                   CAST(sum(n_lines) AS BIGINT) AS n_lines, count(*) FILTER (gone) AS removed_chunks,
+                   CAST(coalesce(sum(n_lines) FILTER (gone), 0) AS BIGINT) AS removed_lines
+            FROM documents d JOIN marked m USING (doc_id) GROUP BY d.doc_id
+        """,
         "op6_mix_sources": """
             WITH sizes AS (
                 SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS chars FROM documents GROUP BY source
