@@ -44,7 +44,9 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, key, chunk, n_lines, body) of chunks of MIN_LINES lines or more with something in them."""
-    one = chunked(docs).select("doc_id", "key", "lines", "ends", F.posexplode("ends").alias("chunk", "last"))
+    # The outer form: for the inner one the planner filters on the size of "ends" below the projections that make it,
+    # which computes every line's hash once per line of the text.
+    one = chunked(docs).select("doc_id", "key", "lines", "ends", F.posexplode_outer("ends").alias("chunk", "last"))
     start = F.when(F.col("chunk") == 0, 0).otherwise(F.element_at("ends", F.greatest("chunk", F.lit(1))))
     sized = one.withColumn("first", start).withColumn("n_lines", F.col("last") - F.col("first"))
     body = F.array_join(F.slice("lines", F.col("first") + 1, F.col("n_lines")), "\n")
