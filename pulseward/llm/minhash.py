@@ -18,7 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseward.llm.common import SHINGLE_WORDS, distinct, map_blocks, mix, pick_rows, ragged, shingles, staged, unit
@@ -28,7 +28,9 @@ SIMILARITY = 0.8
 #: 40 bands of 6 coordinates: a pair of similarity 0.8 shares no band with a chance of 5e-6, at 0.3 shares one with 3 %.
 BANDS, ROWS = 40, 6
 #: Rounds of comparing with one pivot a bucket before the rest is compared pair by pair.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+#: 64-bit words of the bitmap that bounds an overlap before sets are compared.
+BIT_WORDS = 32
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 
@@ -120,7 +122,10 @@ def sketches(docs: DataFrame, bands: int, rows: int, words: int, weighted: bool)
 
 
 def shingle_sets(texts: DataFrame, words: int, weighted: bool) -> DataFrame:
-    """(node, set) of (node, text): distinct shingle hashes; with multiplicities, an occurrence is an element of its own."""
+    """(node, set, bits) of (node, text): distinct shingle hashes; with multiplicities, an occurrence is an element of its own.
+
+    ``bits`` marks which of 64 * BIT_WORDS classes the set has elements in.
+    """
 
     def sets(part: pa.RecordBatch) -> dict:
         grams, owner, _ = shingles(part.column("text").to_pylist(), words)
@@ -129,9 +134,22 @@ def shingle_sets(texts: DataFrame, words: int, weighted: bool) -> DataFrame:
             nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             grams, owner = mix(np.repeat(grams, times) + nth.astype(np.uint64)), np.repeat(owner, times)
         sizes = np.bincount(owner, minlength=part.num_rows)
-        return {"node": part.column("node"), "set": ragged(grams.view(np.int64), sizes, pa.int64())}
+        bits = np.zeros((part.num_rows, 64 * BIT_WORDS), bool)
+        bits[owner, (grams % np.uint64(64 * BIT_WORDS)).astype(np.int64)] = True
+        words_ = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
+        return {
+            "node": part.column("node"),
+            "set": ragged(grams.view(np.int64), sizes, pa.int64()),
+            "bits": ragged(words_, np.full(part.num_rows, BIT_WORDS), pa.int64()),
+        }
 
-    return map_blocks(texts, sets, "node long, set array<long>")
+    return map_blocks(texts, sets, "node long, set array<long>, bits array<long>")
+
+
+def lacking(bits: Column, other: Column) -> Column:
+    """Classes marked in ``bits`` and not in ``other``: so many elements at least are in no overlap."""
+    both = F.zip_with(bits, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(both, F.lit(0), lambda total, n: total + n)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -172,6 +190,12 @@ def near_duplicates(
     texts = pick_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, F.xxhash64(F.coalesce("text", F.lit(""))))
     sets = staged(shingle_sets(texts, words, weighted), "sets")
 
+    # A shingle that one node alone has is in no overlap, which bounds what a node can be similar to.
+    alone = sets.select("node", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    alone = alone.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    measured = sets.select("node", F.size("set").cast("long").alias("size")).join(alone, "node", "left").na.fill(0, ["alone"])
+    buckets = staged(buckets.drop("size").join(measured, "node"), "measured")
+
     comps = None
     tested = None
     for round_no in range(PIVOT_ROUNDS + 1):
@@ -179,17 +203,27 @@ def near_duplicates(
             placed = buckets.withColumn("comp", F.col("node"))
         else:
             placed = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        order = F.struct(F.xxhash64("node", F.lit(round_no)), "node", "comp", "size")
+        # First the node with the least of its own, the likely original of its copies; then any.
+        first = F.col("alone") / F.col("size") if not round_no else F.xxhash64("node", F.lit(round_no))
+        order = F.struct(first, "node", "comp", "size", "alone")
         heads = placed.groupBy("band").agg(F.min(order).alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        heads = heads.where("c0 <> c1").select("band", F.col("pivot.node").alias("other"), F.col("pivot.comp").alias("other_comp"), F.col("pivot.size").alias("other_size"))
+        heads = heads.where("c0 <> c1").select("band", F.col("pivot.node").alias("other"), F.col("pivot.comp").alias("other_comp"), F.col("pivot.size").alias("other_size"), F.col("pivot.alone").alias("other_alone"))
         if round_no < PIVOT_ROUNDS:
             met = placed.join(heads, "band").where("comp <> other_comp")
         else:
-            open_ = placed.join(heads.select("band"), "band", "left_semi")
-            right = open_.select("band", *[F.col(c).alias(f"other{x}") for c, x in (("node", ""), ("comp", "_comp"), ("size", "_size"))])
+            open_ = placed.join(heads.select("band"), "band", "left_semi").join(sets.select("node", "bits"), "node")
+            right = open_.select("band", *[F.col(c).alias(f"other{x}") for c, x in (("node", ""), ("comp", "_comp"), ("size", "_size"), ("alone", "_alone"), ("bits", "_bits"))])
             met = open_.join(right, "band").where("node < other and comp <> other_comp")
-        close = F.least("size", "other_size") >= F.lit(similarity) * F.greatest("size", "other_size")
-        pairs = met.where(close if not weighted else F.lit(True)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        # The overlap a similarity asks for, against the most there can be; exact, with room for rounding.
+        most = F.least(F.col("size") - F.col("alone"), F.col("other_size") - F.col("other_alone"))
+        if round_no == PIVOT_ROUNDS:
+            most = F.least(
+                most,
+                F.col("size") - lacking(F.col("bits"), F.col("other_bits")),
+                F.col("other_size") - lacking(F.col("other_bits"), F.col("bits")),
+            )
+        close = most >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("other_size")) - 1e-6
+        pairs = met.where(close).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         results = staged(linked(pairs, sets, similarity), "pairs")
