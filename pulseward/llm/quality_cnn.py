@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseward.llm.common import map_blocks
@@ -167,9 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     prior = sizes.get(1, 0) / total if total else 0.5
     if len(sizes) < 2:
         return Model(None, prior)
-    first = Window.partitionBy("y").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    sample = known.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_class)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "y", "place")), "doc_id")
+    # A limit after a sort keeps each task's first rows, so that no class is gathered in one task.
+    by_hash = known.withColumn("place", F.md5(F.col("doc_id").cast("string")))
+    samples = [by_hash.where(F.col("y") == y).orderBy("place", "doc_id").limit(per_class) for y in (0, 1)]
+    texts = docs.select("doc_id", "text").join(F.broadcast(samples[0].union(samples[1]).select("doc_id", "y", "place")), "doc_id")
 
     def chunks_of(part: pa.RecordBatch) -> dict:
         out = []
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         return {"chunks": pa.array(out, pa.binary()), "y": part.column("y"), "place": part.column("place")}
 
     # Bounded: 2 * per_class documents of TRAIN_CHUNKS chunks.
-    found = map_blocks(texts, chunks_of, "chunks binary, y int, place int").collect()
+    found = map_blocks(texts, chunks_of, "chunks binary, y int, place string").collect()
     found.sort(key=lambda r: (r["place"], r["y"], r["chunks"]))
     return train([(bytes(r["chunks"]), r["y"]) for r in found], prior)
 
