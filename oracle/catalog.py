@@ -202,7 +202,7 @@ FROM metrics_orders GROUP BY metric_date ORDER BY metric_date""",
         "guarded_sql": query(
             v.METRICS_ORDERS,
             select=f"""SELECT region, product_name, {iso('max(metric_date)')} AS last_day, count(*)::DOUBLE AS days, {rnd('sum(daily_spend_amount)', 2)} AS spend
-FROM metrics_orders GROUP BY region, product_name ORDER BY region, product_name LIMIT 50""",
+FROM metrics_orders GROUP BY region, product_name ORDER BY region, product_name""",
         ),
         "sql_guard_audit": f"""WITH forms AS (
   SELECT text FROM conversations UNION ALL
@@ -333,15 +333,15 @@ FROM upload WHERE event_type IS NOT NULL GROUP BY day, event_type, bucket""",
         "ingest_tickets": query(
             UPLOAD,
             select=f"""SELECT 'event_stream' AS dataset_source, '2024-02-01 00:00:00' AS ticket_created_at, 'Default' AS region, 'Standard' AS product_name,
-  'Standard' AS customer_tier, 'CUST-' || lpad(CAST(row_number() OVER (ORDER BY event_id) AS VARCHAR), 4, '0') AS customer_id,
+  'Standard' AS customer_tier, printf('CUST-%04d', row_number() OVER (ORDER BY event_id)) AS customer_id,
   'Uploaded Narrative' AS issue_category, 'HIGH' AS priority, 100.0::DOUBLE AS dispute_amount, -0.5::DOUBLE AS sentiment_score,
-  substr(props, 1, 80) AS subject, props AS message FROM (SELECT * FROM upload WHERE {usable} ORDER BY event_id LIMIT 500)""",
+  substr(props, 1, 80) AS subject, props AS message FROM (SELECT * FROM upload WHERE {usable})""",
         ),
         "ingest_summary": query(
             UPLOAD,
             select=f"""SELECT 'event_stream' AS dataset_name, count(*) AS total_records,
   (SELECT count(*) FROM (SELECT DISTINCT day, event_type, bucket FROM upload WHERE event_type IS NOT NULL)) AS metrics_inserted,
-  least(count(*) FILTER ({usable}), 500) AS tickets_embedded, {iso('min(day)')} AS start_date, {iso('max(day)')} AS end_date FROM upload""",
+  count(*) FILTER ({usable}) AS tickets_embedded, {iso('min(day)')} AS start_date, {iso('max(day)')} AS end_date FROM upload""",
         ),
         "ingest_head": query(
             UPLOAD,
@@ -525,11 +525,10 @@ def _report_queries() -> dict[str, str]:
             *s.scan(v.METRICS_ORDERS, "metrics_orders"),
             p.events("ORDERS"),
             v.GATEWAY_LOGS,
-            f"""capped AS (
-  SELECT *, row_number() OVER (PARTITION BY region, product_name ORDER BY log_date DESC, failed_requests DESC, partner_bank) AS rank
-  FROM gateway_logs WHERE {degraded} QUALIFY rank <= 5)""",
-            select=f"""SELECT f.id AS anomaly_id, rank, {gateway} FROM (SELECT id, region, product_name FROM found WHERE metric_name = 'success_rate_plunge') f
-JOIN capped USING (region, product_name)""",
+            f"""bad_days AS (SELECT * FROM gateway_logs WHERE {degraded})""",
+            select=f"""SELECT anomalies, first_anomaly_id, {gateway}
+FROM (SELECT region, product_name, count(*) AS anomalies, min(id) AS first_anomaly_id FROM found GROUP BY ALL) f
+JOIN bad_days USING (region, product_name)""",
         ),
         "evidence_arrays": "SELECT conv_id, turn, role || '#1,' || role || '#2' AS findings FROM conversations",
         "evidence_route": query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulseward.functions.templates import EVIDENCE_EXPLANATION, evidence_query
 
 # Fixed values of the evidence queries.
-EVIDENCE_ROWS, QUERY_ROW_CAP, MAX_ITERATIONS = 10, 50, 4
+EVIDENCE_ROWS, MAX_ITERATIONS = 10, 4
 EVIDENCE_COLUMNS = [
     "metric_date",
     "region",
@@ -74,13 +74,19 @@ def gateway_degraded(logs: DataFrame, region: str | None = None, product: str |
     return logs.where(bad)
 
 
-def evidence_gateway(anomalies: DataFrame, logs: DataFrame, cap: int = QUERY_ROW_CAP) -> DataFrame:
-    """Latest degraded gateway days of the segment of every anomaly; ``cap`` is the row cap of a query."""
-    latest = Window.partitionBy(*SEGMENT).orderBy(F.desc("log_date"), F.desc("failed_requests"), "partner_bank")
-    capped = (
-        gateway_degraded(logs).withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= cap)
-    )
-    return anomalies.select(F.col("id").alias("anomaly_id"), *SEGMENT).join(capped, SEGMENT)
+def evidence_gateway(anomalies: DataFrame, logs: DataFrame, cap: int | None = None) -> DataFrame:
+    """All degraded gateway days of the segment of every anomaly, or its latest ``cap`` with their ``rank``."""
+    days = gateway_degraded(logs)
+    if cap is not None:
+        latest = Window.partitionBy(*SEGMENT).orderBy(F.desc("log_date"), F.desc("failed_requests"), "partner_bank")
+        days = days.withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= cap)
+    return anomalies.select(F.col("id").alias("anomaly_id"), *SEGMENT).join(days, SEGMENT)
+
+
+def gateway_by_segment(anomalies: DataFrame, logs: DataFrame) -> DataFrame:
+    """All degraded gateway days of segments with anomalies, each once, with how many anomalies it bears on and the smallest id."""
+    counted = anomalies.groupBy(*SEGMENT).agg(F.count("*").alias("anomalies"), F.min("id").alias("first_anomaly_id"))
+    return gateway_degraded(logs).join(counted, SEGMENT)
 
 
 def append_evidence(df: DataFrame, column: str, more: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pulseward.functions.guard import UnsafeQuery, check_query
 
 # Fixed values of the sandbox.
-MAX_ROWS, TIMEOUT_SECONDS = 50, 5.0
+TIMEOUT_SECONDS = 5.0
 DESCRIBED_TABLES = ["anomaly_events", "daily_spend_metrics", "dispute_support_tickets", "payment_gateway_logs"]
 SUMMARY_TITLE = "ACTIVE DATABASE SCHEMAS:"
 SUMMARY_WITHOUT_TABLES = (
@@ -44,8 +44,8 @@ def serialized(column: Column, kind: T.DataType) -> Column:
     return column.cast("string")
 
 
-def guarded_sql(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The first ``max_rows`` rows of a read-only query over the given tables.
+def guarded_sql(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str, max_rows: int | None = None) -> DataFrame:
+    """The rows of a read-only query over the given tables, or its first ``max_rows``.
 
     The text is checked before anything is parsed. Reading files by path and
     running scripts are refused as well, which a plain SELECT could do otherwise.
@@ -61,7 +61,9 @@ def guarded_sql(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str,
             raise UnsafeQuery("scripts are not allowed in a read-only query")
     finally:
         spark.conf.set("spark.sql.runSQLOnFiles", before)
-    return result.limit(max_rows).select(
+    if max_rows is not None:
+        result = result.limit(max_rows)
+    return result.select(
         *[serialized(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in result.schema.fields]
     )
 
@@ -70,7 +72,7 @@ def run_guarded(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
     sql: str,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = None,
     timeout_seconds: float = TIMEOUT_SECONDS,
 ) -> list[dict]:
     """Run a guarded query and return its rows; its jobs are cancelled after the timeout."""

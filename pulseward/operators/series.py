@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseward.schemas import SLICE_COLUMNS
 
@@ -26,15 +27,21 @@ NOISE = 1e-9
 
 
 def dedupe_slices(df: DataFrame, slice_cols: Sequence[str] = SLICE_COLUMNS, date_col: str = "metric_date") -> DataFrame:
-    """Keep one row per slice and day: the smallest by its remaining columns, or by ``id`` where there is one.
+    """Keep one row per slice and day: the smallest by ``id`` where there is one, then by labels, then by metrics.
 
     An aggregate rather than a ranking: it reduces on the map side, so a day with
     a third of all rows does not land in one task.
     """
     keys = [*slice_cols, date_col]
-    rest = [c for c in df.columns if c not in keys]
-    if "id" in rest:
-        rest = ["id", *[c for c in rest if c != "id"]]
+    # Labels before numbers, and of those the ones every caller carries first, so that all callers keep the same row.
+    first = [*BASELINE_METRICS, "daily_spend_amount"]
+
+    def place(column: str) -> int:
+        if column in ("id", *first):
+            return -1 if column == "id" else 1 + first.index(column)
+        return 9 if isinstance(df.schema[column].dataType, T.NumericType) else 0
+
+    rest = sorted((c for c in df.columns if c not in keys), key=place)
     named = df.where(" and ".join(f"`{c}` is not null" for c in keys))
     if not rest:
         return named.distinct()

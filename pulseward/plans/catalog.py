@@ -648,8 +648,7 @@ def gateway_degraded(spark, sf_dir):
 @register
 def evidence_gateway(spark, sf_dir):
     found = events.signals_to_events(scan_metrics(views.metrics_orders(spark, sf_dir), NO_FOREST), "ORDERS")
-    worst = found.where(F.col("metric_name") == "success_rate_plunge")
-    return present(evidence.evidence_gateway(worst, views.gateway_logs(spark, sf_dir), cap=5))
+    return present(evidence.gateway_by_segment(found, views.gateway_logs(spark, sf_dir)))
 
 
 @register

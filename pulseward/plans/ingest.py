@@ -5,9 +5,10 @@ from __future__ import annotations
 from datetime import date, datetime
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulseward.functions.numeric import key_id
 from pulseward.functions.text import dataset_slug
 from pulseward.operators.complaints import ComplaintMapping, complaint_daily
 from pulseward.operators.inference import InferredSchema, infer_roles
@@ -55,10 +56,18 @@ def ingest_file(
     if mapping.narrative_col in table.columns:
         created = datetime(run_date.year, run_date.month, run_date.day)
         tickets = ingest_tickets(table, mapping, created, order_by or mapping.timestamp_col)
-        append_tickets(embed_tickets(tickets), tickets_path)
+        append_tickets(embed_tickets(with_ticket_ids(tickets)), tickets_path)
     return ingest_summary(table, mapping, run_date).first().asDict()
 
 
+def with_ticket_ids(tickets: DataFrame) -> DataFrame:
+    """A reproducible ``ticket_id`` from source, customer, time and message; equal tickets are numbered."""
+    key = ["dataset_source", "customer_id", "ticket_created_at", "message"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("issue_category", "subject"))
+    numbered = tickets.withColumn("nth", nth)
+    return numbered.withColumn("ticket_id", key_id(*[F.col(c) for c in key[:3]], F.md5("message"), F.col("nth"))).drop("nth")
+
+
 def ingest_complaints(
     spark: SparkSession,
     path: str,
@@ -71,7 +80,7 @@ def ingest_complaints(
     """Store the complaints of an export as tickets and as daily KPIs; returns the counts of both as one row."""
     normal = read_complaints(spark, path, mapping, max_records).withColumn("dataset_source", F.lit(dataset_source))
     tickets = staged(normal, "complaints")
-    append_tickets(embed_tickets(tickets), tickets_path)
+    append_tickets(embed_tickets(with_ticket_ids(tickets)), tickets_path)
     daily = complaint_daily(tickets, dataset_source)
     append_metrics(daily, metrics_path)
     counts = tickets.select(F.lit(1).alias("ticket")).unionByName(
