@@ -43,8 +43,9 @@ def _scan_queries() -> dict[str, str]:
             *s.scan(v.METRICS_EVENTS, "metrics_events", use_forest=True, max_depth=5), select=forest_select
         ),
         "iforest_scores_sparse": query(
-            *s.scan(v.METRICS_ORDERS, "metrics_orders", use_forest=True), select=forest_select
+            *s.scan(v.METRICS_ORDERS_PRIORITY, "metrics_orders_priority", use_forest=True), select=forest_select
         ),
+        "anomaly_signals_fine": s.scan_query(v.METRICS_ORDERS_FINE, "metrics_orders_fine"),
         "anomaly_signals_full": s.scan_query(v.METRICS_EVENTS, "metrics_events", use_forest=True, max_depth=5),
     }
 
@@ -301,7 +302,23 @@ def _ingest_queries() -> dict[str, str]:
     usable = f"props IS NOT NULL AND trim(props, {p.BLANKS}) <> '' AND lower(props) <> 'none'"
     part = "p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice"
     customer = "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
+    event_metrics = query(
+        UPLOAD,
+        select=f"""SELECT 'event_stream' AS dataset_source, {iso('day')} AS metric_date, event_type AS region, bucket AS product_name, {generic},
+  {rnd('avg(value) * count(*)', 6)} AS daily_spend_amount, count(*) AS transaction_count, {rnd('avg(value)', 6)} AS avg_ticket_size, 95.0::DOUBLE AS success_rate_pct, {tail}
+FROM upload WHERE event_type IS NOT NULL GROUP BY day, event_type, bucket""",
+    )
+    exported = NORMALIZED.replace("coalesce(state, 'West')", "coalesce(state, 'None')")
     return {
+        "adapter_mixed_dates": query(*raw, select=NORMAL_SELECT),
+        "ingest_metrics_us_dates": event_metrics,
+        "src_csv_wide_ids": "SELECT event_id + 4611686018427387904 AS event_id, CAST(event_id::HUGEINT + 10000000000000000000 AS VARCHAR) AS trace_id FROM events",
+        "src_json_lines": customer,
+        "src_sqlite_narrative_all": query(
+            v.RAW_COMPLAINTS,
+            exported.replace("FROM raw_complaints WHERE", "FROM raw_complaints WHERE length(consumer_complaint_narrative) > 10 AND"),
+            select=NORMAL_SELECT,
+        ),
         "adapter_normalize": query(*raw, select=NORMAL_SELECT),
         "adapter_csv_scan": query(*raw, select=NORMAL_SELECT),
         "src_sqlite_narrative": query(
@@ -318,12 +335,7 @@ def _ingest_queries() -> dict[str, str]:
   FROM (SELECT url AS name FROM pages UNION ALL SELECT p_name || ' #' || p_brand || '.tar.csv' FROM part))""",
         "schema_profile": profile,
         "schema_roles": _roles(),
-        "ingest_metrics": query(
-            UPLOAD,
-            select=f"""SELECT 'event_stream' AS dataset_source, {iso('day')} AS metric_date, event_type AS region, bucket AS product_name, {generic},
-  {rnd('avg(value) * count(*)', 6)} AS daily_spend_amount, count(*) AS transaction_count, {rnd('avg(value)', 6)} AS avg_ticket_size, 95.0::DOUBLE AS success_rate_pct, {tail}
-FROM upload WHERE event_type IS NOT NULL GROUP BY day, event_type, bucket""",
-        ),
+        "ingest_metrics": event_metrics,
         "ingest_metrics_errors": query(
             UPLOAD,
             select=f"""SELECT 'error_stream' AS dataset_source, {iso('day')} AS metric_date, 'Default' AS region, 'Standard' AS product_name, {generic},

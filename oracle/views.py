@@ -14,11 +14,11 @@ metrics_events AS (
   FROM events GROUP BY ALL)"""
 
 
-def orders_view(name: str, source: str, merchant: str) -> str:
+def orders_view(name: str, source: str, merchant: str, region: str = "r_name", product: str = "c_mktsegment") -> str:
     return f"""
 {name} AS (
   SELECT '{source}' AS dataset_source, CAST(o_orderdate AS DATE) AS metric_date,
-    r_name AS region, c_mktsegment AS product_name, 'Retail' AS customer_tier, {merchant} AS merchant_category,
+    {region} AS region, {product} AS product_name, 'Retail' AS customer_tier, {merchant} AS merchant_category,
     sum(o_totalprice) AS daily_spend_amount, count(*) AS transaction_count, avg(o_totalprice) AS avg_ticket_size,
     100.0::DOUBLE - 10.0::DOUBLE * avg(CASE WHEN o_orderstatus = 'P' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS success_rate_pct,
     100.0::DOUBLE + 30.0::DOUBLE * sum(sum_qty) / sum(n_lines) AS avg_latency_ms,
@@ -34,6 +34,7 @@ def orders_view(name: str, source: str, merchant: str) -> str:
 
 
 METRICS_ORDERS = orders_view("metrics_orders", "ORDERS", "'General'")
+METRICS_ORDERS_PRIORITY = orders_view("metrics_orders_priority", "ORDERS", "'General'", "o_orderpriority", "'All'")
 METRICS_ORDERS_FINE = orders_view("metrics_orders_fine", "ORDERS_FINE", "o_orderpriority")
 
 TICKETS = """

@@ -115,10 +115,17 @@ def iforest_scores(spark, sf_dir):
 
 @register
 def iforest_scores_sparse(spark, sf_dir):
-    scored = score_series(views.metrics_orders(spark, sf_dir))
+    """Slices of more days than a tree samples."""
+    scored = score_series(views.metrics_orders_priority(spark, sf_dir))
     return present(scored.select(*series.SLICE_COLUMNS, "metric_date", "iso_score", "is_isolated"))
 
 
+@register
+def anomaly_signals_fine(spark, sf_dir):
+    """Several rows per slice and day: the scan keeps the row that ``slice_dedupe`` keeps."""
+    return present(scan_metrics(views.metrics_orders_fine(spark, sf_dir), NO_FOREST))
+
+
 @register
 def anomaly_signals_full(spark, sf_dir):
     return present(scan_metrics(views.metrics_events(spark, sf_dir)))
@@ -356,6 +363,16 @@ def adapter_normalize(spark, sf_dir):
     return shown_tickets(complaints.normalize_complaints(raw(spark, sf_dir), complaints.CONSUMER_COMPLAINTS))
 
 
+@register
+def adapter_mixed_dates(spark, sf_dir):
+    """The export with its dates written in four forms."""
+    day = F.to_date("date_received", "MM/dd/yyyy")
+    forms = [F.date_format(day, p) for p in ("M/d/yyyy", "d-MMM-yyyy", "MMM d, yyyy", "yyyy-MM-dd")]
+    which = (F.col("complaint_id").cast("bigint") % len(forms) + 1).cast("int")
+    mixed = raw(spark, sf_dir).withColumn("date_received", F.element_at(F.array(*forms), which))
+    return shown_tickets(complaints.normalize_complaints(mixed, complaints.CONSUMER_COMPLAINTS))
+
+
 @register
 def adapter_csv_scan(spark, sf_dir):
     path = uploads.to_csv(raw(spark, sf_dir).withColumn("unmapped", F.lit("x")))
@@ -423,6 +440,16 @@ def ingest_metrics(spark, sf_dir):
     return present(ingestion.ingest_metrics(upload(spark, sf_dir), EVENT_MAPPING, RUN_DATE))
 
 
+@register
+def ingest_metrics_us_dates(spark, sf_dir):
+    """The upload with its times written month first, with and without a time of day."""
+    time = F.try_to_timestamp("ts")
+    forms = [F.date_format(time, p) for p in ("MM/dd/yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy hh:mm a")]
+    written = F.element_at(F.array(*forms), (F.col("event_id") % len(forms) + 1).cast("int"))
+    rewritten = upload(spark, sf_dir).withColumn("ts", F.coalesce(written, "ts"))
+    return present(ingestion.ingest_metrics(rewritten, EVENT_MAPPING, RUN_DATE))
+
+
 @register
 def ingest_metrics_errors(spark, sf_dir):
     """Primary metric named after failures and no dimensions: the success rate is derived from it."""
@@ -452,6 +479,22 @@ def src_csv(spark, sf_dir):
     return present(files.read_table(spark, uploads.to_csv(views.table(spark, sf_dir, "events"))))
 
 
+@register
+def src_csv_wide_ids(spark, sf_dir):
+    """Ids of 19 digits, and of 20 beyond a bigint, which stay apart."""
+    wide = views.table(spark, sf_dir, "events").select(
+        (F.col("event_id") + F.lit(1 << 62)).alias("event_id"),
+        (F.col("event_id").cast("decimal(38,0)") + F.lit(str(10**19)).cast("decimal(38,0)")).cast("string").alias("trace_id"),
+    )
+    read = files.read_table(spark, uploads.to_csv(wide))
+    return present(read.withColumn("trace_id", F.col("trace_id").cast("decimal(38,0)").cast("string")))
+
+
+@register
+def src_json_lines(spark, sf_dir):
+    return present(files.read_table(spark, uploads.to_json_lines(views.table(spark, sf_dir, "customer"))))
+
+
 @register
 def src_json(spark, sf_dir):
     path = uploads.to_json_arrays(views.table(spark, sf_dir, "customer"), "c_custkey")
@@ -475,6 +518,12 @@ def src_sqlite(spark, sf_dir):
     return present(files.read_table(spark, uploads.to_sqlite(views.table(spark, sf_dir, "customer"), "customer")))
 
 
+@register
+def src_sqlite_narrative_all(spark, sf_dir):
+    path = uploads.to_sqlite(raw(spark, sf_dir), "consumer_complaints")
+    return shown_tickets(files.read_complaints(spark, path, complaints.CONSUMER_COMPLAINTS))
+
+
 @register
 def src_sqlite_narrative(spark, sf_dir):
     path = uploads.to_sqlite(raw(spark, sf_dir), "consumer_complaints")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulseward.functions.dates import writes_day_first
 from pulseward.functions.numeric import key_id
 from pulseward.functions.text import dataset_slug
 from pulseward.operators.complaints import ComplaintMapping, complaint_daily
@@ -52,6 +54,8 @@ def ingest_file(
         return {"dataset_name": name, "total_records": 0, "metrics_inserted": 0, "tickets_embedded": 0}
     if mapping is None:
         mapping = DatasetMapping.from_inferred(infer_roles(table, slug_of(spark, path), sample=0))
+        if dict(table.dtypes)[mapping.timestamp_col] == "string":
+            mapping = replace(mapping, day_first=writes_day_first(table, mapping.timestamp_col))
     append_metrics(ingest_metrics(table, mapping, run_date), metrics_path)
     if mapping.narrative_col in table.columns:
         created = datetime(run_date.year, run_date.month, run_date.day)

@@ -41,6 +41,12 @@ def to_json_arrays(df: DataFrame, key: str, suffix: str = "json") -> str:
     return path
 
 
+def to_json_lines(df: DataFrame) -> str:
+    path = f"{scratch_path(df.sparkSession, 'upload')}.json"
+    as_text(df).write.json(path)
+    return path
+
+
 def to_sqlite(df: DataFrame, table: str) -> str:
     """A folder of SQLite files, one per partition; needs a folder mounted on every executor."""
     folder = f"{scratch_path(df.sparkSession, 'upload').removeprefix('file://').removeprefix('file:')}.sqlite"

@@ -74,13 +74,15 @@ def _orders_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _orders_metrics(joined: DataFrame, merchant: Column, source: str) -> DataFrame:
+def _orders_metrics(
+    joined: DataFrame, merchant: Column, source: str, region: str = "r_name", product: str = "c_mktsegment"
+) -> DataFrame:
     lines = F.sum("n_lines")
     return (
         joined.groupBy(
             F.to_date("o_orderdate").alias("metric_date"),
-            F.col("r_name").alias("region"),
-            F.col("c_mktsegment").alias("product_name"),
+            F.col(region).alias("region"),
+            F.col(product).alias("product_name"),
             merchant.alias("merchant_category"),
         )
         .agg(
@@ -115,6 +117,12 @@ def metrics_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders_metrics(_orders_joined(spark, sf_dir), F.lit("General"), "ORDERS")
 
 
+def metrics_orders_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders in five slices by priority, each of six years of days."""
+    joined = _orders_joined(spark, sf_dir).withColumn("everything", F.lit("All"))
+    return _orders_metrics(joined, F.lit("General"), "ORDERS", "o_orderpriority", "everything")
+
+
 def metrics_orders_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``metrics_orders`` with several rows per slice and day."""
     return _orders_metrics(_orders_joined(spark, sf_dir), F.col("o_orderpriority"), "ORDERS_FINE")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,23 +72,29 @@ def read_csv(
 
 
 WHOLE_NUMBER = r"^\s*[+-]?\d{1,18}\s*$"
+LONG_NUMBER = r"^\s*[+-]?\d{19,38}\s*$"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 TRUTH = r"(?i)^(true|false)$"
 
 
 def _inferred_types(text: DataFrame) -> list[tuple[str, str]]:
-    """The narrowest of bigint, double, boolean or string every value of a column fits. Runs one aggregate.
+    """The narrowest of bigint, decimal, double, boolean or string every value of a column fits. Runs one aggregate.
 
-    The patterns decide without casting: a failed cast costs an exception per value.
+    Patterns decide, and only whole numbers of 19 digits or more are cast: a failed cast costs an exception per value.
+    Whole numbers beyond a bigint are decimals, so that no two become the same.
     """
-    patterns = {"bigint": WHOLE_NUMBER, "double": NUMBER, "boolean": TRUTH}
+    kinds = ["bigint", "decimal(38,0)", "double", "boolean"]
     checks = []
     for i, c in enumerate(text.columns):
         value = F.col(f"`{c}`")
-        for kind, pattern in patterns.items():
-            checks.append(F.coalesce(F.every(value.rlike(pattern)), F.lit(kind == "double")).alias(f"{kind}{i}"))
+        short, long = value.rlike(WHOLE_NUMBER), value.rlike(LONG_NUMBER)
+        fits = [short | (long & value.try_cast("bigint").isNotNull()), short | long, value.rlike(NUMBER), value.rlike(TRUTH)]
+        for k, (kind, fit) in enumerate(zip(kinds, fits)):
+            checks.append(F.coalesce(F.every(fit), F.lit(kind == "double")).alias(f"k{k}_{i}"))
     row = text.agg(*checks).first()
-    return [(c, next((k for k in patterns if row[f"{k}{i}"]), "string")) for i, c in enumerate(text.columns)]
+    return [
+        (c, next((kind for k, kind in enumerate(kinds) if row[f"k{k}_{i}"]), "string")) for i, c in enumerate(text.columns)
+    ]
 
 
 def _typed(text: DataFrame, name: str, kind: str):
@@ -97,9 +102,28 @@ def _typed(text: DataFrame, name: str, kind: str):
     return (c if kind == "string" else c.try_cast(kind)).alias(name)
 
 
+def json_starts(spark: SparkSession, path: str) -> set[str]:
+    """The distinct first characters of the files below ``path``, ``[`` for an array; empty files have none."""
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("place"),
+        F.substring(F.ltrim("value"), 1, 1).alias("start"),
+    )
+    firsts = rows.where("start <> ''").groupBy("file").agg(F.min_by("start", "place").alias("start"))
+    kind = F.when(F.col("start").isin("[", "{"), F.col("start")).otherwise("other")
+    return {r["kind"] for r in firsts.select(kind.alias("kind")).distinct().collect()}  # three rows at most
+
+
 def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """JSON arrays of records; text columns named like a time come out as timestamps where all of them parse."""
-    reader = spark.read.option("multiLine", True)
+    """JSON arrays of records, or one record a line; what is neither is an error.
+
+    Text columns named like a time come out as timestamps where all of them parse.
+    """
+    starts = json_starts(spark, path)
+    if len(starts) > 1:
+        raise ValueError(f"{path} mixes JSON arrays with records or other text; read them apart")
+    # Lines split over tasks; an array is read by one.
+    reader = spark.read.option("multiLine", starts != {"{"}).option("mode", "FAILFAST")
     df = (reader.schema(schema) if schema is not None else reader).json(path)
     if schema is not None:
         return df
@@ -134,31 +158,31 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read by suffix; an unknown suffix is tried as CSV, then as JSON."""
+def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Read by suffix; an unknown suffix is read as JSON where all files open a JSON value, else as CSV.
+
+    ``multi_line=False`` says that no quoted CSV field holds a line break, and splits large CSV files over tasks.
+    """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no dataset at {path}")
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     if suffix in SQLITE_SUFFIXES:
         return read_sqlite(spark, path)
     if suffix in (".csv", ".txt"):
-        return read_csv(spark, path)
+        return read_csv(spark, path, multi_line=multi_line)
     if suffix == ".json":
         return read_json(spark, path)
     if suffix == ".parquet":
         return read_parquet(spark, path)
-    return read_unknown(spark, path)
-
-
-def read_unknown(spark: SparkSession, path: str) -> DataFrame:
-    """CSV unless the first line opens a JSON value."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    if first and first[0][0].lstrip()[:1] in ("[", "{"):
-        try:
-            return read_json(spark, path)
-        except AnalysisException:
-            pass
-    return read_csv(spark, path)
+    return read_unknown(spark, path, multi_line)
+
+
+def read_unknown(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON where every file opens a JSON value, else CSV."""
+    starts = json_starts(spark, path)
+    if starts and "other" not in starts:
+        return read_json(spark, path)
+    return read_csv(spark, path, multi_line=multi_line)
 
 
 def read_complaints(

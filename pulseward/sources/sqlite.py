@@ -40,9 +40,12 @@ _CASTS = {T.LongType: (int, pa.int64()), T.DoubleType: (float, pa.float64())}
 def _converted(value, cast):
     """SQLite keeps any value in any column; what does not fit the declared type reads as null."""
     try:
-        return None if value is None else cast(value)
+        if value is None or cast is int and isinstance(value, float) and not value.is_integer():
+            return None
+        cast_value = cast(value.decode("utf-8") if isinstance(value, bytes) else value)
     except (TypeError, ValueError):
         return None
+    return None if cast is int and not -(2**63) <= cast_value < 2**63 else cast_value
 
 
 class RowRange(InputPartition):

@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from pulseward.functions.dates import parsed_time, writes_day_first
 from pulseward.functions.text import dataset_slug
 from pulseward.operators.complaints import CONSUMER_COMPLAINTS, ComplaintMapping, complaint_daily, normalize_complaints
 from pulseward.operators.inference import infer_roles, schema_roles
@@ -138,6 +139,54 @@ def test_unparsed_dates_count_as_the_run_date_and_null_labels_drop(spark):
     assert (summary.total_records, summary.metrics_inserted, summary.start_date) == (3, 1, date(2026, 1, 1))
 
 
+def test_dates_in_other_forms(spark):
+    texts = ["03/12/2014", "3/12/2014 16:05", "3/12/2014 4:05:06 PM", "12-Mar-2014", "12 March 2014", "Mar 12, 2014", "2014/3/12", " 2014-03-12T01:02:03 "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {str(r[0]) for r in df.select(parsed_time(F.col("t")).cast("date")).collect()} == {"2014-03-12"}
+    assert [r[0] for r in spark.createDataFrame([("13/12/2014",), ("soon",), ("",), (None,)], "t string").select(parsed_time(F.col("t"))).collect()] == [None] * 4
+    days = spark.createDataFrame([("13/12/2014",), ("01/02/2014",), (None,)], "t string")
+    assert writes_day_first(days, "t") and not writes_day_first(df, "t")
+    assert {str(r[0]) for r in days.select(parsed_time(F.col("t"), True).cast("date")).collect()} == {"2014-12-13", "2014-02-01", "None"}
+
+
+def test_a_late_value_decides_the_time_column(spark):
+    rows = [(f"2026-01-{1 + i % 28:02d}" if i < 99 else "late", "1 Jan 2026") for i in range(100)]
+    assert infer_roles(spark.createDataFrame(rows, "a string, b string"), "t").timestamp_col == "b"
+
+
+def test_day_first_uploads(spark, tmp_path):
+    path = write(tmp_path / "eu.csv", "event_date,amount\n13/02/2026,1.0\n01/02/2026,2.0\n")
+    summary = ingest_file(spark, path, str(tmp_path / "m"), str(tmp_path / "t"), RUN)
+    assert (summary["start_date"], summary["end_date"]) == (date(2026, 2, 1), date(2026, 2, 13))
+
+
+def test_json_lines_and_unreadable_json(spark, tmp_path):
+    lines = "\n".join(json.dumps({"x": i}) for i in range(100))
+    assert read_table(spark, write(tmp_path / "a.json", lines)).count() == 100
+    assert read_table(spark, write(tmp_path / "a.dat", "\n" + lines)).count() == 100
+    assert read_table(spark, write(tmp_path / "b.json", json.dumps([{"x": 1}, {"x": 2}], indent=1))).count() == 2
+    with pytest.raises(Exception):
+        read_table(spark, write(tmp_path / "c.json", lines + "\n{broken")).collect()
+    (tmp_path / "d.json").mkdir()
+    write(tmp_path / "d.json" / "1.json", lines)
+    write(tmp_path / "d.json" / "2.json", '[{"x": 1}]')
+    with pytest.raises(ValueError):
+        read_table(spark, str(tmp_path / "d.json"))
+
+
+def test_long_integers_stay_apart(spark, tmp_path):
+    text = "a,b,c\n9007199254740993000,18446744073709551615,9223372036854775807\n9007199254740993001,18446744073709551614,1.5\n"
+    df = read_table(spark, write(tmp_path / "ids.csv", text), multi_line=False)
+    assert dict(df.dtypes) == {"a": "bigint", "b": "decimal(38,0)", "c": "double"}
+    assert df.select("a").distinct().count() == df.select("b").distinct().count() == 2
+
+
+def test_sqlite_values_that_do_not_fit(spark, tmp_path):
+    rows = [("1", b"01/02/2026", b"\xff", "Fee", "t", "CA", "Yes", "x", 1.5), ("2", "d", "p", "Fee", "t", "CA", "Yes", 2, 2.0)]
+    got = read_sqlite(spark, sqlite_file(tmp_path / "v.sqlite", rows)).orderBy("complaint_id").collect()
+    assert [(r.date_received, r["product"], r.amount, r.n) for r in got] == [("01/02/2026", None, None, None), ("d", "p", 2.0, 2)]
+
+
 def test_narratives_are_capped_in_order(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["x", "None", " ", None, "y", "z"])], "n int, note string")
     mapping = DatasetMapping("d", "n", "event_count", narrative_col="note")
