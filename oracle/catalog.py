@@ -139,14 +139,6 @@ def _event_queries() -> dict[str, str]:
             *found,
             select="SELECT id AS anomaly_id, CASE WHEN id % 3 = 0 THEN 0.5::DOUBLE ELSE 0.94::DOUBLE END AS confidence_score FROM found",
         ),
-        "initial_state": query(
-            *found,
-            select=f"""SELECT id AS anomaly_id, strftime(detected_at, '%Y-%m-%dT%H:%M:%S+00:00') AS detected_at, region, product_name,
-  customer_tier, metric_name, {rnd('actual_value', 6)} AS actual_value, expected_value, deviation_pct, z_score, severity,
-  'API_TRIGGER' AS trigger_source, dataset_source, 'Investigating ' || metric_name || ' in ' || region || '.' AS active_hypothesis,
-  0::BIGINT AS iteration_count, 0::BIGINT AS sql_history, 0::BIGINT AS ticket_citations, 0::BIGINT AS reasoning_trace, '' AS root_cause_summary,
-  0.0::DOUBLE AS confidence_score, '' AS mitigation_steps, FALSE AS is_complete FROM found""",
-        ),
     }
 
 
@@ -490,28 +482,21 @@ def _report_queries() -> dict[str, str]:
     CASE WHEN missing THEN 0.0::DOUBLE ELSE {precision} END AS retrieval_precision, CASE WHEN missing THEN 0.0::DOUBLE ELSE confidence_score END AS confidence,
     NOT missing AS synthesis_pass, CASE WHEN missing THEN 'FAIL' ELSE 'PASS' END AS overall_status
   FROM (SELECT *, anomaly_id % 7 = 0 AS missing FROM reported))"""
-    fixed = lambda c: f"printf('%.2f%%', {rnd(c, 2)})"
-    document = f"""'# 🔍 Executive Root Cause Analysis (RCA) Report' || {nl} || {nl} || '- **Incident ID**: `anom_' || anomaly_id || '`' || {nl} ||
-  '- **Target Segment**: `' || region || '` | `' || product_name || '` | `' || customer_tier || '`' || {nl} ||
-  '- **Metric Anomaly**: `' || metric_name || '` (Actual: **' || {fixed('actual_value')} || '**, Expected: **' || {fixed('expected_value')} || '**, Deviation: **' || {fixed('deviation_pct')} || '**)' || {nl} ||
-  '- **Severity**: `' || severity || '`' || {nl} || '- **Confidence Score**: **94.0%**' || {nl} ||
-  {nl} || '---' || {nl} || {nl} || '## 📌 Executive Summary' || {nl} || root_cause_summary ||
-  {nl} || {nl} || '---' || {nl} || {nl} || '## 🛠️ Recommended Action & Mitigation Plan' || {nl} || mitigation_steps ||
-  {nl} || {nl} || '---' || {nl} || {nl} || '## 📊 Technical Evidence (SQL Analytics Agent)' || {nl} ||
-  {nl} || '```sql' || {nl} || evidence_query || {nl} || '```' || {nl} || '- **Rows Matched**: ' || n_rows || {nl} || '- **Explanation**: Inspect historical daily metrics and telemetry trend.' || {nl} ||
-  {nl} || '---' || {nl} || {nl} || '## 💬 Customer Support Citations (Vector RAG Agent)' || {nl} ||
-  array_to_string(list_transform(cites, lambda c: '- **Ticket #' || c.ticket_id || '** (Similarity: `' || printf('%.2f', {rnd('c.similarity_score', 2)}) || '`): *"' || c.complaint_text || '"*' || {nl}), '') ||
-  {nl} || '---' || {nl} || {nl} || '## 🧠 Multi-Agent Reasoning Trace' || {nl} || array_to_string(trace, '')"""
-    agents = "list_transform(trace, lambda x: regexp_extract(x, '\\[(.+?)\\]', 1))"
-    feed = f"""SELECT anomaly_id, row_number() OVER (PARTITION BY anomaly_id ORDER BY major, minor) - 1 AS seq, event, detail FROM (
-  SELECT anomaly_id, 0 AS major, 0 AS minor, 'anomaly_info' AS event, metric_name AS detail FROM traced
-  UNION ALL SELECT anomaly_id, pos, 0, 'agent_thought', agent FROM agents
-  UNION ALL SELECT anomaly_id, pos, 1, 'sql_evidence', CAST(n_rows AS VARCHAR) FROM agents WHERE agent = 'SQL Analytics Agent'
-  UNION ALL SELECT anomaly_id, pos, i, 'ticket_evidence', CAST(cites[i].ticket_id AS VARCHAR) FROM (
-    SELECT *, unnest(range(1, len(cites) + 1)) AS i FROM agents WHERE agent = 'Vector RAG Agent')
-  UNION ALL SELECT anomaly_id, 90, 0, 'rca_report', '0.94' FROM traced
-  UNION ALL SELECT anomaly_id, 91, 0, 'complete', 'DONE' FROM traced)"""
-    agent_rows = f"agents AS (SELECT anomaly_id, n_rows, cites, pos, ({agents})[pos] AS agent FROM (SELECT *, unnest(range(1, len(trace) + 1)) AS pos FROM traced))"
+    fixed = lambda c: f"printf('%.2f', {rnd(c, 2)})"
+    document = f"""'# Incident ' || anomaly_id || ': ' || metric_name || {nl} || {nl} ||
+  '| Region | Product | Tier | Actual | Expected | Deviation | Severity | Confidence |' || {nl} || '|---|---|---|---|---|---|---|---|' || {nl} ||
+  '| ' || region || ' | ' || product_name || ' | ' || customer_tier || ' | ' || {fixed('actual_value')} || ' | ' || {fixed('expected_value')} || ' | ' ||
+  {fixed('deviation_pct')} || '% | ' || severity || ' | 0.94 |' || {nl} || {nl} || root_cause_summary ||
+  {nl} || {nl} || '## Next steps' || {nl} || {nl} || mitigation_steps || {nl} || {nl} || '## Metric rows' || {nl} || {nl} ||
+  'Inspect historical daily metrics and telemetry trend. ' || n_rows || ' rows.' || {nl} || {nl} || '    ' || evidence_query || {nl} || {nl} ||
+  '## Tickets' || {nl} || {nl} ||
+  array_to_string(list_transform(cites, lambda c: c.ticket_id || '. (' || printf('%.2f', {rnd('c.similarity_score', 2)}) || ') ' || c.complaint_text || {nl}), '')"""
+    feed = """SELECT anomaly_id, row_number() OVER (PARTITION BY anomaly_id ORDER BY major, minor) - 1 AS seq, event, detail FROM (
+  SELECT anomaly_id, 0 AS major, 0 AS minor, 'anomaly_info' AS event, metric_name AS detail FROM reported
+  UNION ALL SELECT anomaly_id, 1, 0, 'sql_evidence', CAST(n_rows AS VARCHAR) FROM reported
+  UNION ALL SELECT anomaly_id, 2, i, 'ticket_evidence', CAST(cites[i].ticket_id AS VARCHAR) FROM (SELECT *, unnest(range(1, len(cites) + 1)) AS i FROM reported)
+  UNION ALL SELECT anomaly_id, 3, 0, 'rca_report', '0.94' FROM reported
+  UNION ALL SELECT anomaly_id, 4, 0, 'complete', 'DONE' FROM reported)"""
     metric = f"{iso('metric_date')} AS metric_date, customer_tier, {rnd('daily_spend_amount', 6)} AS daily_spend_amount, transaction_count, " + ", ".join(
         f"{rnd(c, 6)} AS {c}" for c in ("success_rate_pct", "avg_latency_ms", "chargeback_rate_pct")
     )
@@ -543,17 +528,17 @@ FROM (SELECT region, product_name, count(*) AS anomalies, min(id) AS first_anoma
 JOIN bad_days USING (region, product_name)""",
         ),
         "evidence_arrays": "SELECT conv_id, turn, role || '#1,' || role || '#2' AS findings FROM conversations",
-        "evidence_route": query(
+        "evidence_gaps": query(
             *reported,
-            select="""SELECT anomaly_id, i + 1 AS iteration_count, 1::BIGINT AS sql_count, len(cites) AS citation_count,
-  CASE WHEN len(cites) > 0 OR i + 1 >= 4 THEN 'synthesis_agent' ELSE 'rag_agent' END AS next_agent FROM reported, (SELECT unnest(range(0, 4)) AS i)""",
+            select="""SELECT anomaly_id, CAST(n_rows AS BIGINT) AS metric_rows, len(cites) AS citations,
+  CASE WHEN n_rows = 0 AND len(cites) = 0 THEN 'both' WHEN n_rows = 0 THEN 'metrics' WHEN len(cites) = 0 THEN 'tickets' ELSE 'none' END AS lacking FROM reported""",
         ),
         "report_summary": query(
             *reported,
-            select="SELECT anomaly_id, root_cause_summary, confidence_score, mitigation_steps, sql_queries::BIGINT AS sql_queries, citations, thoughts::BIGINT AS thoughts FROM reported",
+            select="SELECT anomaly_id, root_cause_summary, confidence_score, mitigation_steps, sql_queries::BIGINT AS sql_queries, citations FROM reported",
         ),
-        "report_markdown": query(*reported, select=f"SELECT anomaly_id, {document} AS document FROM traced"),
-        "investigation_events": query(*reported, agent_rows, select=feed),
+        "report_markdown": query(*reported, select=f"SELECT anomaly_id, {document} AS document FROM reported"),
+        "investigation_events": query(*reported, select=feed),
         "text_block": """SELECT doc_id, md5(coalesce(nullif(array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)), ''), 'empty')) AS lines,
   'lang: ' || lang || '; source: ' || source || chr(10) || 'n: ' || n_chars AS facts,
   CASE WHEN doc_id % 5 <> 0 THEN source ELSE 'none given' END AS fallback FROM documents""",

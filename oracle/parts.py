@@ -98,7 +98,7 @@ def evidence(cited: bool) -> list[str]:
         " ELSE 'Chargeback Dispute Spike' END"
     )
     signed = f"printf('%+.1f%%', {rnd('deviation_pct', 1)})"
-    quotes = "array_to_string(list_transform(cites[1:3], lambda c: '- Citation: \"' || substr(c.complaint_text, 1, 100) || '...\"'), chr(10))"
+    quotes = "array_to_string(list_transform(cites, lambda c: '- Citation: \"' || c.complaint_text || '\"'), chr(10))"
     nl = "chr(10)"
     return [
         lists,
@@ -111,7 +111,6 @@ def evidence(cited: bool) -> list[str]:
   LEFT JOIN arrays USING ({SEGMENT}) LEFT JOIN latest USING (region, product_name))""",
         f"""reported AS (
   SELECT *, id AS anomaly_id, 0.94::DOUBLE AS confidence_score, 1 AS sql_queries, len(cites) AS citations,
-    CASE WHEN len(cites) > 0 THEN 6 ELSE 8 END AS thoughts,
     '### Executive Incident Assessment: ' || {title} || {nl} || {nl} ||
     '**Telemetry Anomaly**: In the **' || region || '** region for **' || product_name || '**, anomalous ' || metric_name ||
     ' reached **' || CAST(actual_value AS VARCHAR) || '** (Baseline: **' || CAST(expected_value AS VARCHAR) || '**, Deviation: **' || {signed} || '**).' || {nl} || {nl} ||
@@ -123,17 +122,6 @@ def evidence(cited: bool) -> list[str]:
     '2. Audit backend transaction queue thresholds for ' || product_name || '.' || {nl} ||
     '3. Proactively communicate resolution updates to affected customer tiers.' AS mitigation_steps,
     'SELECT metric_date, region, product_name, customer_tier, daily_spend_amount, transaction_count, success_rate_pct, avg_latency_ms, chargeback_rate_pct FROM daily_spend_metrics WHERE region = '''
-      || region || ''' AND product_name = ''' || product_name || ''' ORDER BY metric_date DESC LIMIT 10;' AS evidence_query,
-    product_name || ' ' || region || ' ' || metric_name AS question
+      || replace(region, '''', '''''') || ''' AND product_name = ''' || replace(product_name, '''', '''''') || ''' ORDER BY metric_date DESC LIMIT 10;' AS evidence_query
   FROM joined)""",
-        f"""traced AS (
-  SELECT *, CASE WHEN len(cites) > 0 THEN [t1, t2, t3, t4, replace(t5, '#', '3'), t6] ELSE [t1, t2, t3, t4, t3, t4, replace(t5, '#', '4'), t6] END AS trace
-  FROM (SELECT *,
-    '- **[Lead Detective Supervisor]**: Telemetry is not gathered yet. Dispatching sql_agent.' || {nl} AS t1,
-    '- **[SQL Analytics Agent]**: Executed SQL: ' || evidence_query || ' (Found ' || n_rows || ' rows). Summary: Inspect historical daily metrics and telemetry trend.' || {nl} AS t2,
-    '- **[Lead Detective Supervisor]**: Tickets are not searched yet. Dispatching rag_agent.' || {nl} AS t3,
-    '- **[Vector RAG Agent]**: Searched customer dispute tickets for: ''' || question || '''. Retrieved ' || len(cites) || ' relevant citations.' || {nl} AS t4,
-    '- **[Lead Detective Supervisor]**: Iteration #: Sufficient quantitative telemetry and qualitative ticket evidence collected. Dispatching RCA Synthesis Agent.' || {nl} AS t5,
-    '- **[RCA Synthesis Agent]**: Synthesized final RCA report with confidence score 0.94.' || {nl} AS t6
-    FROM reported))""",
     ]

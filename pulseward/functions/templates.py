@@ -19,7 +19,7 @@ SUMMARY_EVIDENCE = (
     "- Qualitative analysis of %d customer support citations corroborates operational friction:\n"
 )
 SUMMARY_CAUSE = "**Root Cause**: Operational degradation and transaction volume friction in **%s** for **%s**."
-CITATION_LINE = '- Citation: "%s..."'
+CITATION_LINE = '- Citation: "%s"'
 NO_CITATION_LINE = "- No direct dispute complaints filed."
 MITIGATION = (
     "1. Isolate degraded infrastructure routing channels in %s.\n"
@@ -27,7 +27,6 @@ MITIGATION = (
     "3. Proactively communicate resolution updates to affected customer tiers."
 )
 CONFIDENCE = 0.94
-QUOTED_CITATIONS, QUOTE_LENGTH = 3, 100
 DEFAULT_SUMMARY, DEFAULT_MITIGATION = "Detailed RCA established.", "1. Audit telemetry alerts."
 EVIDENCE_QUERY = (
     "SELECT metric_date, region, product_name, customer_tier, daily_spend_amount, transaction_count, "
@@ -36,13 +35,6 @@ EVIDENCE_QUERY = (
 )
 EVIDENCE_EXPLANATION = "Inspect historical daily metrics and telemetry trend."
 
-SUPERVISOR, SQL_AGENT, TICKET_AGENT, SYNTHESIS = (
-    "Lead Detective Supervisor",
-    "SQL Analytics Agent",
-    "Vector RAG Agent",
-    "RCA Synthesis Agent",
-)
-
 
 def number_text(value: Column) -> Column:
     """A double in plain notation, with at least one decimal."""
@@ -56,10 +48,7 @@ def summary_text(citation_texts: Column, queries: Column, found: Column) -> Colu
     """Root-cause summary of the anomaly of the row and its evidence."""
     region, product = F.col("region"), F.col("product_name")
     quoted = F.array_join(
-        F.transform(
-            F.slice(citation_texts, 1, QUOTED_CITATIONS),
-            lambda t: F.format_string(CITATION_LINE, F.substring(t, 1, QUOTE_LENGTH)),
-        ),
+        F.transform(citation_texts, lambda t: F.format_string(CITATION_LINE, t)),
         "\n",
     )
     return F.concat(
@@ -85,72 +74,42 @@ def mitigation_text() -> Column:
 
 
 def evidence_query() -> Column:
-    """The default evidence query of an anomaly as text."""
-    return F.format_string(EVIDENCE_QUERY, F.col("region"), F.col("product_name"))
+    """The default evidence query of an anomaly as text, its labels quoted for SQL."""
+    quoted = [F.replace(F.col(c), F.lit("'"), F.lit("''")) for c in ("region", "product_name")]
+    return F.format_string(EVIDENCE_QUERY, *quoted)
 
 
 def report_document() -> Column:
     """A report row joined to its anomaly as one Markdown document."""
-    percent = F.format_string("%.1f%%", F.col("confidence_score") * 100)
-    fixed = lambda c: F.format_string("%.2f%%", F.col(c))
-    queries = F.array_join(
-        F.transform(
-            F.col("evidence_data.sql_history"),
-            lambda q: F.concat(
-                F.lit("\n```sql\n"),
-                q["query"],
-                F.lit("\n```\n- **Rows Matched**: "),
-                q["row_count"].cast("string"),
-                F.lit("\n- **Explanation**: "),
-                q["explanation"],
-                F.lit("\n"),
-            ),
-        ),
-        "",
-    )
-    tickets = F.array_join(
-        F.transform(
-            F.col("evidence_data.ticket_citations"),
-            lambda t: F.concat(
-                F.lit("- **Ticket #"),
-                t["ticket_id"].cast("string"),
-                F.format_string("** (Similarity: `%.2f`): ", t["similarity_score"]),
-                F.lit('*"'),
-                t["complaint_text"],
-                F.lit('"*\n'),
-            ),
-        ),
-        "",
+    amount = lambda c: F.format_string("%.2f", F.col(c))
+    metrics = F.transform(
+        "evidence_data.sql_history",
+        lambda q: F.format_string("%s %d rows.\n\n    %s\n\n", q["explanation"], q["row_count"], q["query"]),
     )
-    trace = F.array_join(
-        F.transform(
-            F.col("reasoning_trace"),
-            lambda s: F.concat(F.lit("- **["), s["agent"], F.lit("]**: "), s["thought"], F.lit("\n")),
-        ),
-        "",
+    tickets = F.transform(
+        "evidence_data.ticket_citations",
+        lambda c: F.format_string("%d. (%.2f) %s\n", c["ticket_id"], c["similarity_score"], c["complaint_text"]),
     )
     return F.concat(
-        F.lit("# 🔍 Executive Root Cause Analysis (RCA) Report\n\n"),
-        F.format_string("- **Incident ID**: `anom_%d`\n", F.col("anomaly_id")),
+        F.format_string("# Incident %d: %s\n\n", F.col("anomaly_id"), F.col("metric_name")),
+        F.lit("| Region | Product | Tier | Actual | Expected | Deviation | Severity | Confidence |\n"),
+        F.lit("|---|---|---|---|---|---|---|---|\n"),
         F.format_string(
-            "- **Target Segment**: `%s` | `%s` | `%s`\n", F.col("region"), F.col("product_name"), F.col("customer_tier")
-        ),
-        F.format_string(
-            "- **Metric Anomaly**: `%s` (Actual: **%s**, Expected: **%s**, Deviation: **%s**)\n",
-            F.col("metric_name"),
-            fixed("actual_value"),
-            fixed("expected_value"),
-            fixed("deviation_pct"),
+            "| %s | %s | %s | %s | %s | %s%% | %s | %s |\n\n",
+            F.col("region"),
+            F.col("product_name"),
+            F.col("customer_tier"),
+            amount("actual_value"),
+            amount("expected_value"),
+            amount("deviation_pct"),
+            F.col("severity"),
+            amount("confidence_score"),
         ),
-        F.format_string("- **Severity**: `%s`\n- **Confidence Score**: **%s**\n", F.col("severity"), percent),
-        F.lit("\n---\n\n## 📌 Executive Summary\n"),
         F.col("root_cause_summary"),
-        F.lit("\n\n---\n\n## 🛠️ Recommended Action & Mitigation Plan\n"),
+        F.lit("\n\n## Next steps\n\n"),
         F.col("mitigation_steps"),
-        F.lit("\n\n---\n\n## 📊 Technical Evidence (SQL Analytics Agent)\n"),
-        queries,
-        F.lit("\n---\n\n## 💬 Customer Support Citations (Vector RAG Agent)\n"),
-        tickets,
-        F.lit("\n---\n\n## 🧠 Multi-Agent Reasoning Trace\n"),
-        trace,
+        F.lit("\n\n## Metric rows\n\n"),
+        F.array_join(metrics, ""),
+        F.lit("## Tickets\n\n"),
+        F.array_join(tickets, ""),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulseward.functions.templates import EVIDENCE_EXPLANATION, evidence_query
 
 # Fixed values of the evidence queries.
-EVIDENCE_ROWS, MAX_ITERATIONS = 10, 4
+EVIDENCE_ROWS = 10
 EVIDENCE_COLUMNS = [
     "metric_date",
     "region",
@@ -94,41 +94,10 @@ def append_evidence(df: DataFrame, column: str, more: str) -> DataFrame:
     return df.withColumn(column, F.concat(F.col(column), F.col(more))).drop(more)
 
 
-def initial_state(anomalies: DataFrame, trigger_source: str = "API_TRIGGER") -> DataFrame:
-    """The record an investigation of each anomaly starts from."""
-    nothing = F.array().cast("array<string>")
-    return anomalies.select(
-        F.col("id").alias("anomaly_id"),
-        F.date_format("detected_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("detected_at"),
-        "region",
-        "product_name",
-        "customer_tier",
-        "metric_name",
-        *[F.col(c).cast("double").alias(c) for c in ("actual_value", "expected_value", "deviation_pct", "z_score")],
-        "severity",
-        F.lit(trigger_source).alias("trigger_source"),
-        "dataset_source",
-        F.concat(F.lit("Investigating "), F.col("metric_name"), F.lit(" in "), F.col("region"), F.lit(".")).alias(
-            "active_hypothesis"
-        ),
-        F.lit(0).alias("iteration_count"),
-        nothing.alias("sql_history"),
-        nothing.alias("ticket_citations"),
-        nothing.alias("reasoning_trace"),
-        F.lit("").alias("root_cause_summary"),
-        F.lit(0.0).alias("confidence_score"),
-        F.lit("").alias("mitigation_steps"),
-        F.lit(False).alias("is_complete"),
+def evidence_gaps(counted: DataFrame) -> DataFrame:
+    """Which evidence an anomaly still lacks, from ``metric_rows`` and ``citations``: metrics, tickets, both or none."""
+    no_metrics, no_tickets = F.col("metric_rows") == 0, F.col("citations") == 0
+    lacking = (
+        F.when(no_metrics & no_tickets, "both").when(no_metrics, "metrics").when(no_tickets, "tickets").otherwise("none")
     )
-
-
-def evidence_route(df: DataFrame) -> DataFrame:
-    """Where an investigation goes next, from what it has: ``sql_count``, ``citation_count``, ``iteration_count``."""
-    turn = F.col("iteration_count") + 1
-    both = (F.col("sql_count") > 0) & (F.col("citation_count") > 0)
-    route = (
-        F.when(both | (turn >= MAX_ITERATIONS), "synthesis_agent")
-        .when(F.col("sql_count") == 0, "sql_agent")
-        .otherwise("rag_agent")
-    )
-    return df.withColumn("iteration_count", turn).withColumn("next_agent", route)
+    return counted.withColumn("lacking", lacking)

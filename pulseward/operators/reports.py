@@ -7,47 +7,6 @@ from pyspark.sql import functions as F
 
 from pulseward.functions import templates as t
 from pulseward.functions.text import text_or_default
-from pulseward.operators.tickets import query_text
-
-
-def _thought(agent: str, text: Column) -> Column:
-    return F.struct(F.lit(agent).alias("agent"), text.alias("thought"))
-
-
-def _trace() -> Column:
-    """The turns of an investigation: telemetry, tickets (twice when none are found), synthesis."""
-    record = F.element_at("sql_history", 1)
-    found = F.size("ticket_citations")
-    question = query_text(F.col("product_name"), F.col("region"), F.col("metric_name"))
-    to_sql = _thought(t.SUPERVISOR, F.lit("Telemetry is not gathered yet. Dispatching sql_agent."))
-    ran_sql = _thought(
-        t.SQL_AGENT,
-        F.concat(
-            F.lit("Executed SQL: "),
-            record["query"],
-            F.format_string(" (Found %d rows). Summary: ", record["row_count"]),
-            record["explanation"],
-        ),
-    )
-    to_tickets = _thought(t.SUPERVISOR, F.lit("Tickets are not searched yet. Dispatching rag_agent."))
-    searched = _thought(
-        t.TICKET_AGENT,
-        F.format_string("Searched customer dispute tickets for: '%s'. Retrieved %d relevant citations.", question, found),
-    )
-
-    def to_synthesis(turn: int) -> Column:
-        return _thought(
-            t.SUPERVISOR,
-            F.lit(
-                f"Iteration {turn}: Sufficient quantitative telemetry and qualitative ticket evidence collected. "
-                "Dispatching RCA Synthesis Agent."
-            ),
-        )
-
-    done = _thought(t.SYNTHESIS, F.lit(f"Synthesized final RCA report with confidence score {t.CONFIDENCE:.2f}."))
-    return F.when(
-        found > 0, F.array(to_sql, ran_sql, to_tickets, searched, to_synthesis(3), done)
-    ).otherwise(F.array(to_sql, ran_sql, to_tickets, searched, to_tickets, searched, to_synthesis(4), done))
 
 
 def build_reports(evidence: DataFrame) -> DataFrame:
@@ -59,7 +18,6 @@ def build_reports(evidence: DataFrame) -> DataFrame:
         text_or_default(summary, t.DEFAULT_SUMMARY).alias("root_cause_summary"),
         F.lit(t.CONFIDENCE).alias("confidence_score"),
         F.struct("sql_history", "ticket_citations").alias("evidence_data"),
-        _trace().alias("reasoning_trace"),
         text_or_default(t.mitigation_text(), t.DEFAULT_MITIGATION).alias("mitigation_steps"),
     )
 
@@ -75,8 +33,8 @@ def report_counts(reports: DataFrame) -> DataFrame:
     return reports.select(
         "anomaly_id",
         F.size("evidence_data.sql_history").alias("sql_queries"),
+        F.aggregate("evidence_data.sql_history", F.lit(0).cast("bigint"), lambda n, q: n + q["row_count"]).alias("metric_rows"),
         F.size("evidence_data.ticket_citations").alias("citations"),
-        F.size("reasoning_trace").alias("thoughts"),
         "confidence_score",
     )
 
@@ -106,25 +64,10 @@ def investigation_events(reports: DataFrame, anomalies: DataFrame) -> DataFrame:
             )
         ),
     )
-    findings = F.flatten(
-        F.transform(
-            "reasoning_trace",
-            lambda s: F.concat(
-                F.array(event("agent_thought", F.to_json(s))),
-                F.when(
-                    s["agent"] == t.SQL_AGENT,
-                    F.transform("evidence_data.sql_history", lambda q: event("sql_evidence", F.to_json(q))),
-                )
-                .when(
-                    s["agent"] == t.TICKET_AGENT,
-                    F.transform("evidence_data.ticket_citations", lambda c: event("ticket_evidence", F.to_json(c))),
-                )
-                .otherwise(F.array().cast("array<struct<event:string,data:string>>")),
-            ),
-        )
-    )
+    metrics = F.transform("evidence_data.sql_history", lambda q: event("sql_evidence", F.to_json(q)))
+    cited = F.transform("evidence_data.ticket_citations", lambda c: event("ticket_evidence", F.to_json(c)))
     verdict = event("rca_report", F.to_json(F.struct("root_cause_summary", "confidence_score", "mitigation_steps")))
     complete = event("complete", F.to_json(F.struct(F.lit("DONE").alias("status"), "anomaly_id")))
     return joined.select(
-        "anomaly_id", F.posexplode(F.concat(F.array(info), findings, F.array(verdict, complete))).alias("seq", "e")
+        "anomaly_id", F.posexplode(F.concat(F.array(info), metrics, cited, F.array(verdict, complete))).alias("seq", "e")
     ).select("anomaly_id", "seq", "e.event", "e.data")

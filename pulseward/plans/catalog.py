@@ -711,21 +711,9 @@ def evidence_arrays(spark, sf_dir):
 
 
 @register
-def initial_state(spark, sf_dir):
-    state = evidence.initial_state(ticket_events(spark, sf_dir))
-    lists = ["sql_history", "ticket_citations", "reasoning_trace"]
-    return present(state.select(*[F.size(c).alias(c) if c in lists else F.col(c) for c in state.columns]))
-
-
-@register
-def evidence_route(spark, sf_dir):
-    counted = reports.report_counts(cited_reports(spark, sf_dir)).select(
-        "anomaly_id",
-        F.explode(F.sequence(F.lit(0), F.lit(3))).alias("iteration_count"),
-        F.col("sql_queries").alias("sql_count"),
-        F.col("citations").alias("citation_count"),
-    )
-    return present(evidence.evidence_route(counted))
+def evidence_gaps(spark, sf_dir):
+    counted = reports.report_counts(cited_reports(spark, sf_dir)).select("anomaly_id", "metric_rows", "citations")
+    return present(evidence.evidence_gaps(counted))
 
 
 @register
@@ -734,7 +722,6 @@ def report_summary(spark, sf_dir):
     counts = [
         F.size("evidence_data.sql_history").alias("sql_queries"),
         F.size("evidence_data.ticket_citations").alias("citations"),
-        F.size("reasoning_trace").alias("thoughts"),
     ]
     return present(found.select("anomaly_id", "root_cause_summary", "confidence_score", "mitigation_steps", *counts))
 
@@ -751,7 +738,6 @@ def investigation_events(spark, sf_dir):
     feed = reports.investigation_events(cited_reports(spark, sf_dir, found), found)
     paths = {
         "anomaly_info": "$.metric",
-        "agent_thought": "$.agent",
         "sql_evidence": "$.row_count",
         "ticket_evidence": "$.ticket_id",
         "rca_report": "$.confidence_score",

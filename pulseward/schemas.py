@@ -52,12 +52,10 @@ CITATION = (
     "struct<ticket_id:bigint,customer_id:string,issue_category:string,complaint_text:string,similarity_score:double>"
 )
 
-THOUGHT = "struct<agent:string,thought:string>"
-
 REPORTS = (
     "anomaly_id bigint, root_cause_summary string, confidence_score double, "
     f"evidence_data struct<sql_history:array<{SQL_EVIDENCE}>,ticket_citations:array<{CITATION}>>, "
-    f"reasoning_trace array<{THOUGHT}>, mitigation_steps string"
+    "mitigation_steps string"
 )
 
 STATUS_LOG = "anomaly_id bigint, seq int, status string"

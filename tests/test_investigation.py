@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SOUTH, metric_row
-from pulseward.functions.templates import number_text
+from pulseward.functions.templates import evidence_query, number_text
 from pulseward.functions.text import parsed_json, signed_percent, text_lines, text_object, text_or_default, text_pairs
 from pulseward.operators import evidence, reports, scorecard
 from pulseward.operators.tickets import embed_tickets
@@ -52,13 +52,12 @@ def test_report_gathers_both_kinds_of_evidence(written):
     assert report.confidence_score >= 0.70 and len(report.root_cause_summary) > 100
     assert "reached **74.0** (Baseline: **98.5**, Deviation: **-24.9%**)" in report.root_cause_summary
     assert '- Citation: "OTP: corporate credit card' in report.root_cause_summary
-    assert [s.agent for s in report.reasoning_trace][-1] == "RCA Synthesis Agent" and len(report.reasoning_trace) == 6
 
 
 def test_report_without_evidence(written):
     report = written[8]
     assert report.evidence_data.sql_history[0].row_count == 0 and report.evidence_data.sql_history[0].data == []
-    assert report.evidence_data.ticket_citations == [] and len(report.reasoning_trace) == 8
+    assert report.evidence_data.ticket_citations == []
     assert "- No direct dispute complaints filed." in report.root_cause_summary
     assert report.mitigation_steps.startswith("1. Isolate degraded infrastructure routing channels in Mars.")
 
@@ -71,13 +70,10 @@ def test_investigation_skips_reported_anomalies(spark, anomalies, seed_metrics,
 def test_feed_and_documents(spark, anomalies, seed_metrics, tickets, tmp_path):
     done = investigate(anomalies, seed_metrics, tickets)
     feed = [r.event for r in reports.investigation_events(done, anomalies).where("anomaly_id = 7").orderBy("seq").collect()]
-    assert feed == [
-        "anomaly_info", "agent_thought", "agent_thought", "sql_evidence", "agent_thought", "agent_thought", "ticket_evidence",
-        "agent_thought", "agent_thought", "rca_report", "complete",
-    ]
+    assert feed == ["anomaly_info", "sql_evidence", "ticket_evidence", "rca_report", "complete"]
     write_documents(reports.report_documents(done, anomalies), str(tmp_path / "docs"))
     text = next((tmp_path / "docs" / "anomaly_id=7").glob("part-*")).read_text(encoding="utf-8")
-    assert "- **Incident ID**: `anom_7`" in text and "(Actual: **74.00%**" in text and "- **Ticket #1** (Similarity: `" in text
+    assert text.startswith("# Incident 7: success_rate_plunge") and "| 74.00 | 98.50 | -24.87% |" in text and "\n1. (" in text
 
 
 def test_gateway_predicate(spark):
@@ -86,17 +82,15 @@ def test_gateway_predicate(spark):
     assert evidence.gateway_degraded(df).count() == 3
 
 
-def test_routes(spark):
-    rows = [(0, 0, 0), (1, 0, 1), (1, 2, 2), (1, 0, 3)]
-    df = spark.createDataFrame(rows, "sql_count int, citation_count int, iteration_count int")
-    got = [r.next_agent for r in evidence.evidence_route(df).orderBy("iteration_count").collect()]
-    assert got == ["sql_agent", "rag_agent", "synthesis_agent", "synthesis_agent"]
+def test_gaps_in_the_evidence(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (3, 0), (3, 1)], "metric_rows int, citations int")
+    got = [r.lacking for r in evidence.evidence_gaps(df).orderBy("metric_rows", "citations").collect()]
+    assert got == ["both", "metrics", "tickets", "none"]
 
 
-def test_initial_state_shape(anomalies):
-    row = evidence.initial_state(anomalies).where("anomaly_id = 7").first()
-    assert len(row) == 22 and row.detected_at == "2026-01-30T00:00:00+00:00"
-    assert row.active_hypothesis == "Investigating success_rate_plunge in South." and row.sql_history == [] and not row.is_complete
+def test_evidence_query_quotes_labels(spark):
+    df = spark.createDataFrame([("O'Hare", "P")], "region string, product_name string")
+    assert "region = 'O''Hare'" in df.select(evidence_query()).first()[0]
 
 
 def test_scorecard(spark):
