@@ -410,13 +410,13 @@ def schema_roles(spark, sf_dir):
     return present(out)
 
 
-EVENT_MAPPING = ingestion.DatasetMapping(
-    dataset_name="event_stream",
-    timestamp_col="ts",
-    primary_metric="value",
-    metric_cols=["event_id", "user_id", "value"],
-    dimension_cols=["event_type", "bucket"],
-    narrative_col="props",
+EVENT_MAPPING = inference.TableRoles(
+    source="event_stream",
+    time="ts",
+    measure="value",
+    measures=["event_id", "user_id", "value"],
+    labels=["event_type", "bucket"],
+    narrative="props",
 )
 RUN_DATE = date(2024, 2, 1)
 
@@ -454,7 +454,7 @@ def ingest_metrics_us_dates(spark, sf_dir):
 def ingest_metrics_errors(spark, sf_dir):
     """Primary metric named after failures and no dimensions: the success rate is derived from it."""
     renamed = upload(spark, sf_dir).withColumnRenamed("value", "error_count")
-    mapping = ingestion.DatasetMapping("error_stream", "ts", "error_count", ["error_count"])
+    mapping = inference.TableRoles("error_stream", "ts", "error_count", ["error_count"])
     return present(ingestion.ingest_metrics(renamed, mapping, RUN_DATE))
 
 

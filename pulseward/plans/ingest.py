@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pulseward.functions.dates import writes_day_first
 from pulseward.functions.numeric import key_id
 from pulseward.functions.text import dataset_slug
-from pulseward.operators.complaints import ComplaintMapping, complaint_daily
-from pulseward.operators.inference import InferredSchema, infer_roles
-from pulseward.operators.ingestion import DatasetMapping, ingest_head, ingest_metrics, ingest_summary, ingest_tickets
+from pulseward.operators.complaints import ComplaintExport, complaint_daily
+from pulseward.operators.inference import TableRoles, infer_roles
+from pulseward.operators.ingestion import ingest_head, ingest_metrics, ingest_summary, ingest_tickets
 from pulseward.operators.tickets import embed_tickets
 from pulseward.plans.store import append_metrics, append_tickets, staged
 from pulseward.sources.files import read_complaints, read_table
@@ -24,7 +24,7 @@ def slug_of(spark: SparkSession, path: str) -> str:
     return spark.range(1).select(dataset_slug(F.lit(PurePosixPath(path).name))).first()[0]
 
 
-def infer_file(spark: SparkSession, path: str, sample: int = 5) -> InferredSchema:
+def infer_file(spark: SparkSession, path: str, sample: int = 5) -> TableRoles:
     """Roles of the columns of a file; an empty file is an error."""
     return infer_roles(read_table(spark, path), slug_of(spark, path), sample)
 
@@ -35,7 +35,7 @@ def ingest_file(
     metrics_path: str,
     tickets_path: str,
     run_date: date,
-    mapping: DatasetMapping | None = None,
+    mapping: TableRoles | None = None,
     order_by: str | None = None,
     max_records: int | None = None,
 ) -> dict:
@@ -50,16 +50,16 @@ def ingest_file(
         table = ingest_head(table, max_records, order_by or table.columns[0])
     table = staged(table, "ingest")
     if table.isEmpty():
-        name = mapping.dataset_name if mapping else "empty_dataset"
+        name = mapping.source if mapping else "empty_dataset"
         return {"dataset_name": name, "total_records": 0, "metrics_inserted": 0, "tickets_embedded": 0}
     if mapping is None:
-        mapping = DatasetMapping.from_inferred(infer_roles(table, slug_of(spark, path), sample=0))
-        if dict(table.dtypes)[mapping.timestamp_col] == "string":
-            mapping = replace(mapping, day_first=writes_day_first(table, mapping.timestamp_col))
+        mapping = infer_roles(table, slug_of(spark, path), sample=0)
+        if dict(table.dtypes)[mapping.time] == "string":
+            mapping = replace(mapping, day_first=writes_day_first(table, mapping.time))
     append_metrics(ingest_metrics(table, mapping, run_date), metrics_path)
-    if mapping.narrative_col in table.columns:
+    if mapping.narrative in table.columns:
         created = datetime(run_date.year, run_date.month, run_date.day)
-        tickets = ingest_tickets(table, mapping, created, order_by or mapping.timestamp_col)
+        tickets = ingest_tickets(table, mapping, created, order_by or mapping.time)
         append_tickets(embed_tickets(with_ticket_ids(tickets)), tickets_path)
     return ingest_summary(table, mapping, run_date).first().asDict()
 
@@ -75,7 +75,7 @@ def with_ticket_ids(tickets: DataFrame) -> DataFrame:
 def ingest_complaints(
     spark: SparkSession,
     path: str,
-    mapping: ComplaintMapping,
+    mapping: ComplaintExport,
     metrics_path: str,
     tickets_path: str,
     dataset_source: str,

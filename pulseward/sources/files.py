@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseward.operators.complaints import ComplaintMapping, mapped_columns, normalize_complaints
+from pulseward.operators.complaints import ComplaintExport, mapped_columns, normalize_complaints
 from pulseward.operators.inference import TIME_WORDS
 from pulseward.sources.sqlite import SQLITE_SUFFIXES, read_sqlite
 
@@ -188,7 +188,7 @@ def read_unknown(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 def read_complaints(
     spark: SparkSession,
     path: str,
-    mapping: ComplaintMapping,
+    mapping: ComplaintExport,
     max_records: int | None = None,
     order_by: str | None = None,
     filter_has_narrative: bool = True,
@@ -203,7 +203,7 @@ def read_complaints(
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no dataset at {path}")
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
-    order_by = order_by or mapping.entity_id_col
+    order_by = order_by or mapping["entity"]
     if suffix == ".csv":
         raw = mapped_columns(csv_reader(spark, multi_line).csv(path), mapping)
         raw = raw.select(*[F.when(~F.col(f"`{c}`").isin(MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
@@ -223,17 +223,17 @@ def read_complaints(
 
 def sqlite_narratives(
     df: DataFrame,
-    mapping: ComplaintMapping,
+    mapping: ComplaintExport,
     max_records: int | None = None,
     order_by: str | None = None,
     filter_has_narrative: bool = True,
 ) -> DataFrame:
     """Rows with a narrative longer than ten characters, the first ``max_records`` of them."""
     if filter_has_narrative:
-        text = F.col(f"`{mapping.text_col}`")
+        text = F.col(f"`{mapping['narrative']}`")
         df = df.where(text.isNotNull() & (F.length(text) > MIN_NARRATIVE))
     if max_records is not None:
-        df = df.orderBy(F.col(f"`{order_by or mapping.entity_id_col}`")).limit(max_records)
+        df = df.orderBy(F.col(f"`{order_by or mapping['entity']}`")).limit(max_records)
     return mapped_columns(df, mapping)
 
 

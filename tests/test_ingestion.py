@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from pulseward.functions.dates import parsed_time, writes_day_first
 from pulseward.functions.text import dataset_slug
-from pulseward.operators.complaints import CONSUMER_COMPLAINTS, ComplaintMapping, complaint_daily, normalize_complaints
-from pulseward.operators.inference import infer_roles, schema_roles
-from pulseward.operators.ingestion import DatasetMapping, ingest_metrics, ingest_summary, ingest_tickets
+from pulseward.operators.complaints import CONSUMER_COMPLAINTS, ComplaintExport, complaint_daily, normalize_complaints
+from pulseward.operators.inference import TableRoles, infer_roles, schema_roles
+from pulseward.operators.ingestion import ingest_metrics, ingest_summary, ingest_tickets
 from pulseward.operators.signals import DetectorSettings, scan_metrics
 from pulseward.operators.telemetry import overview
 from pulseward.operators.tickets import search_tickets
@@ -37,12 +37,12 @@ PAYMENTS = (
 
 def test_payment_log_roles(spark, tmp_path):
     roles = infer_file(spark, write(tmp_path / "Payment Logs (v2).csv", PAYMENTS))
-    assert roles.dataset_name == "payment_logs_v2"
-    assert roles.timestamp_col == "txn_timestamp"
-    assert roles.metric_cols == ["amount", "fee"] and roles.primary_metric == "amount"
-    assert roles.narrative_col == "failure_reason"
-    assert roles.dimension_cols == ["merchant_id", "currency", "status"]
-    assert roles.row_count == 3 and len(roles.sample_rows) == 3
+    assert roles.source == "payment_logs_v2"
+    assert roles.time == "txn_timestamp"
+    assert roles.measures == ["amount", "fee"] and roles.measure == "amount"
+    assert roles.narrative == "failure_reason"
+    assert roles.labels == ["merchant_id", "currency", "status"]
+    assert roles.rows == 3 and len(roles.preview) == 3
 
 
 def test_server_json_roles(spark, tmp_path):
@@ -52,23 +52,23 @@ def test_server_json_roles(spark, tmp_path):
     ]
     df = read_table(spark, write(tmp_path / "servers.json", json.dumps(records)))
     roles = infer_roles(df, "servers")
-    assert roles.timestamp_col == "timestamp" and set(roles.metric_cols) == {"cpu_percent", "latency_ms"}
-    assert "server_id" in roles.dimension_cols and roles.narrative_col is None
+    assert roles.time == "timestamp" and set(roles.measures) == {"cpu_percent", "latency_ms"}
+    assert "server_id" in roles.labels and roles.narrative is None
 
 
 def test_timestamp_by_value_and_by_position(spark):
     by_value = spark.createDataFrame([("x", "2026-01-01")], "a string, b string")
-    assert infer_roles(by_value, "t").timestamp_col == "b"
+    assert infer_roles(by_value, "t").time == "b"
     by_position = spark.createDataFrame([("x", "y")], "a string, b string")
-    assert infer_roles(by_position, "t").timestamp_col == "a"
-    assert infer_roles(by_position, "t").primary_metric == "event_count"
+    assert infer_roles(by_position, "t").time == "a"
+    assert infer_roles(by_position, "t").measure == "event_count"
 
 
 def test_long_texts_become_the_narrative_once(spark):
     long = "x" * 30
     df = spark.createDataFrame([("2026-01-01", long, long, True, "n")], "day_date string, a string, message string, flag boolean, d string")
     roles = infer_roles(df, "t")
-    assert (roles.narrative_col, roles.dimension_cols, roles.metric_cols) == ("a", ["message", "d"], ["flag"])
+    assert (roles.narrative, roles.labels, roles.measures) == ("a", ["message", "d"], ["flag"])
     table = {r.column_name: (r.role, r.is_primary) for r in schema_roles(df).collect()}
     assert table == {
         "day_date": ("timestamp", False),
@@ -132,7 +132,7 @@ def test_unparsed_dates_count_as_the_run_date_and_null_labels_drop(spark):
     df = spark.createDataFrame(
         [("bad", "a", 1.0), (None, "a", 3.0), ("2026-01-01", None, 5.0)], "when_time string, dim string, latency double"
     )
-    mapping = DatasetMapping("d", "when_time", "latency", ["latency"], ["dim"])
+    mapping = TableRoles("d", "when_time", "latency", ["latency"], ["dim"])
     rows = ingest_metrics(df, mapping, RUN).collect()
     assert [(r.metric_date, r.region, r.product_name, r.transaction_count, r.avg_latency_ms) for r in rows] == [(RUN, "a", "Standard", 2, 2.0)]
     summary = ingest_summary(df, mapping, RUN).first()
@@ -151,7 +151,7 @@ def test_dates_in_other_forms(spark):
 
 def test_a_late_value_decides_the_time_column(spark):
     rows = [(f"2026-01-{1 + i % 28:02d}" if i < 99 else "late", "1 Jan 2026") for i in range(100)]
-    assert infer_roles(spark.createDataFrame(rows, "a string, b string"), "t").timestamp_col == "b"
+    assert infer_roles(spark.createDataFrame(rows, "a string, b string"), "t").time == "b"
 
 
 def test_day_first_uploads(spark, tmp_path):
@@ -189,7 +189,7 @@ def test_sqlite_values_that_do_not_fit(spark, tmp_path):
 
 def test_narratives_are_capped_in_order(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["x", "None", " ", None, "y", "z"])], "n int, note string")
-    mapping = DatasetMapping("d", "n", "event_count", narrative_col="note")
+    mapping = TableRoles("d", "n", "event_count", narrative="note")
     rows = ingest_tickets(df, mapping, datetime(2026, 1, 1), "n", cap=2).orderBy("customer_id").collect()
     assert [(r.customer_id, r.message) for r in rows] == [("CUST-0001", "x"), ("CUST-0002", "y")]
 
@@ -276,7 +276,7 @@ def test_csv_complaints(spark, tmp_path):
 
 def test_missing_columns_take_defaults(spark):
     df = spark.createDataFrame([("2026-01-01", "text one")], "day string, body string")
-    mapping = ComplaintMapping(date_col="day", product_col="p", issue_col="i", text_col="body", entity_id_col="e", region_col="r")
+    mapping = ComplaintExport({"received": "day", "product": "p", "issue": "i", "narrative": "body", "entity": "e", "region": "r"})
     row = normalize_complaints(df, mapping).first()
     assert (row.region, row.product_name, row.issue_category) == ("West", "Credit Card", "Account Dispute")
     assert row.customer_id.startswith("CUST-")
