@@ -67,7 +67,7 @@ def _event_queries() -> dict[str, str]:
     summary = "CASE WHEN id % 3 = 0 THEN root_cause_summary END AS root_cause_summary"
     fake = p.key_id("'DOCUMENTS'", "'2024-01-06 00:00:00'", "'en'", "'src5'", "'Retail'", "'chargeback_dispute_spike'")
     scored_feed = "CASE WHEN id % 3 = 0 THEN 0.94 ELSE 0.8 END"
-    top = "(SELECT '{m}' AS mode, id, severity FROM reported ORDER BY {o}, id DESC LIMIT 20)"
+    top = "(SELECT '{m}' AS mode, id, severity FROM reported ORDER BY {o}, id DESC)"
     return {
         "scan_partition": query(
             v.METRICS_EVENTS,
@@ -402,9 +402,9 @@ def _ticket_queries() -> dict[str, str]:
     cut = lambda n: f"sqrt(list_sum(list_transform(embedding[1:{n}], lambda x: x::DOUBLE * x::DOUBLE)))"
     return {
         "vector_normalize": f"""SELECT vec_id, 48::BIGINT AS cut_size, 80::BIGINT AS padded_size, position,
-  {rnd(f'CAST(embedding[position + 1]::DOUBLE / {cut(48)} AS FLOAT)::DOUBLE', 5)} AS cut_value,
-  {rnd(f'CASE WHEN position + 17 <= 64 THEN CAST(embedding[position + 17]::DOUBLE / {cut(64)} AS FLOAT)::DOUBLE ELSE 0.0 END', 5)} AS padded_value
-FROM embeddings, (SELECT unnest(range(0, 48)) AS position)""",
+  CASE WHEN position < 48 THEN {rnd(f'CAST(embedding[position + 1]::DOUBLE / {cut(48)} AS FLOAT)::DOUBLE', 5)} END AS cut_value,
+  {rnd(f'CASE WHEN position < 64 THEN CAST(embedding[position + 1]::DOUBLE / {cut(64)} AS FLOAT)::DOUBLE ELSE 0.0 END', 5)} AS padded_value
+FROM embeddings, (SELECT unnest(range(0, 80)) AS position)""",
         "ticket_topk": query(v.TICKETS, similar, best, select=f"{full}, {rnd('similarity', 6)} AS similarity_score FROM topped"),
         "ticket_filtered_topk": query(
             v.TICKETS,

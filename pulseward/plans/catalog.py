@@ -236,9 +236,10 @@ def next_open_anomaly(spark, sf_dir):
 
 @register
 def feed_sorted(spark, sf_dir):
-    joined = events.with_report(ticket_events(spark, sf_dir), plain_reports(spark, sf_dir))
+    """The whole feed in each order, as all of its rows; the joined feed is written once."""
+    joined = store.staged(events.with_report(ticket_events(spark, sf_dir), plain_reports(spark, sf_dir)), "feed")
     ranked = [
-        events.sorted_feed(joined, mode).limit(20).select(F.lit(mode).alias("mode"), "id", "severity")
+        events.sorted_feed(joined, mode).select(F.lit(mode).alias("mode"), "id", "severity")
         for mode in ("confidence", "severity", "date")
     ]
     return ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
@@ -555,7 +556,7 @@ def anchor(spark, sf_dir) -> list[float]:
 
 @register
 def vector_normalize(spark, sf_dir):
-    """Per vector and every eighth position: cut to 48, padded to 80."""
+    """Every position of each vector, cut to 48 and padded to 80."""
     vectors_df = views.table(spark, sf_dir, "embeddings")
     cut = vectors.vector_normalize(F.col("embedding"), 48)
     padded = vectors.vector_normalize(F.col("embedding"), 80)
@@ -565,16 +566,16 @@ def vector_normalize(spark, sf_dir):
             "vec_id",
             F.size("cut").alias("cut_size"),
             F.size("padded").alias("padded_size"),
-            F.posexplode(F.slice("cut", 1, 48)).alias("position", "cut_value"),
-            "padded",
+            F.posexplode("padded").alias("position", "padded_value"),
+            "cut",
         )
         .select(
             "vec_id",
             "cut_size",
             "padded_size",
             "position",
-            F.col("cut_value").alias("cut_value"),
-            F.element_at("padded", F.col("position") + 17).alias("padded_value"),
+            F.get("cut", F.col("position")).alias("cut_value"),
+            "padded_value",
         ),
         5,
     )
