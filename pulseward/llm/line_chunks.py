@@ -1,117 +1,98 @@
 """Line dedup by content-defined chunks (DataFrame operations only).
 
-A text's lines are cut into chunks where a rolling hash over the hashes of the last WINDOW lines is divisible by
-MODULUS, so that a passage is cut alike wherever it stands, but for its first lines. Chunks of several lines that
-occur more than once in the corpus are removed everywhere but at their first occurrence. Two chunks count as equal
-when their bytes are: texts are a grouping key, and a digest that stands for several texts removes nothing.
+A rule that cuts texts by a rolling hash finds a repeated passage only where it happens to cut alike at both of its
+ends. Here the union over all such rules is removed: a chunk of several lines repeats under some rule only if all its
+pairs of neighbouring lines do, and each pair is itself a chunk under some rule. So every window of WINDOW lines is a
+chunk, and lines go that are in a chunk which stands earlier in the corpus. A repeated passage of WINDOW lines or more is
+found whole, wherever it stands; a single line that repeats between other lines is not looked for.
+
+Two chunks count as equal when their bytes are: lines are a grouping key, and a line digest that stands for several
+texts removes nothing. The earliest place of a line has no earlier chunk, so every line stays somewhere.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseward.llm.common import staged
 
-#: Lines in the rolling hash, its base, and one over the share of lines that end a chunk.
-WINDOW, BASE, MODULUS = 2, 31, 4
-#: Lines of a chunk that may be removed, at least.
-MIN_LINES = 2
+#: Lines in a chunk.
+WINDOW = 2
 
 
-def cut_lines(lines: Column, hashes: Column) -> Column:
-    """Numbers (from 1) of the lines that end a chunk."""
-    rolled = lambda i: sum(
-        (F.element_at(hashes, i - k) * F.lit(BASE**k) for k in range(1, WINDOW)), F.element_at(hashes, i)
-    )
-    return F.filter(
-        F.sequence(F.lit(1), F.size(lines)),
-        lambda i: (i == F.size(lines)) | F.when(i >= WINDOW, rolled(i) % MODULUS == 0).otherwise(F.lit(False)),
-    )
-
-
-def chunked(docs: DataFrame) -> DataFrame:
-    """``doc_id, key`` (hash of the text), ``lines`` and ``ends``; null texts are empty, which is one empty line."""
+def lined(docs: DataFrame) -> DataFrame:
+    """``doc_id, key`` (hash of the text) and ``lines``; null texts are empty, which is one empty line."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    number = lambda line: F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
-    return (
-        docs.select("doc_id", F.xxhash64(text).alias("key"), F.split(text, "\n").alias("lines"))
-        .withColumn("hashes", F.transform("lines", number))
-        .withColumn("ends", cut_lines(F.col("lines"), F.col("hashes")))
-        .drop("hashes")
-    )
+    return docs.select("doc_id", F.xxhash64(text).alias("key"), F.split(text, "\n").alias("lines"))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, key, chunk, n_lines, body) of chunks of MIN_LINES lines or more with something in them."""
-    # The outer form: for the inner one the planner filters on the size of "ends" below the projections that make it,
-    # which computes every line's hash once per line of the text.
-    one = chunked(docs).select("doc_id", "key", "lines", "ends", F.posexplode_outer("ends").alias("chunk", "last"))
-    start = F.when(F.col("chunk") == 0, 0).otherwise(F.element_at("ends", F.greatest("chunk", F.lit(1))))
-    sized = one.withColumn("first", start).withColumn("n_lines", F.col("last") - F.col("first"))
-    body = F.array_join(F.slice("lines", F.col("first") + 1, F.col("n_lines")), "\n")
-    return sized.where(F.col("n_lines") >= MIN_LINES).select("doc_id", "key", "chunk", "n_lines", body.alias("body")).where(
-        F.length(F.trim(F.translate("body", "\n", ""))) > 0
+    """Rows (doc_id, key, at, one, two): chunks with something in them, by the number of their first line (from 1) and the
+    digests of their lines."""
+    marked = F.transform(
+        "lines", lambda line: F.struct(F.unhex(F.md5(line)).alias("digest"), (F.trim(line) == "").alias("blank"))
+    )
+    pairs = F.zip_with(
+        "marked",
+        F.slice("marked", F.lit(WINDOW), F.size("marked")),
+        lambda a, b: F.struct(a["digest"].alias("one"), b["digest"].alias("two"), (a["blank"] & b["blank"]).alias("blank")),
     )
+    # The outer form: for the inner one the planner filters on the size of an array below the projections that make it.
+    one = lined(docs).select("doc_id", "key", marked.alias("marked")).select("doc_id", "key", F.posexplode_outer(pairs).alias("at", "pair"))
+    return one.where(F.col("pair.two").isNotNull() & ~F.col("pair.blank")).select(
+        "doc_id", "key", (F.col("at") + 1).alias("at"), "pair.one", "pair.two"
+    )
+
+
+def ambiguous(docs: DataFrame) -> DataFrame:
+    """Digests that stand for several lines. Bytes are compared by grouping; copies meet in the map tasks first."""
+    line = lined(docs).select(F.explode_outer("lines").alias("line"))
+    texts = line.groupBy(F.unhex(F.md5("line")).alias("digest"), "line").agg(F.lit(1).alias("texts"))
+    return texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Occurrences to remove: (doc_id, key, chunk, n_lines).
+    """Occurrences to remove: (doc_id, key, at).
 
     The first occurrence, by ``doc_id`` (null last) and place in the document, stays. Rows that share id and text are one
     document; rows that share only the id come in the order of a hash of their texts.
     """
-    found = chunks(docs)
-    digest = F.md5("body")
-    occurrences = staged(
-        found.select("doc_id", "key", "chunk", "n_lines", digest.alias("digest")).distinct(), "chunks"
-    )
-    # Bytes are compared by grouping: the body is part of the key, copies meet in the map tasks first.
-    by_body = found.select(digest.alias("digest"), "body").groupBy("digest", "body").agg(F.count("*").alias("n"))
-    clear = by_body.groupBy("digest").agg(F.count("*").alias("bodies"), F.sum("n").alias("n")).where("n > 1 and bodies = 1")
-    several = occurrences.join(clear.select("digest"), "digest")
-    several = staged(several, "repeated")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "chunk")
-    firsts = several.groupBy("digest").agg(F.min(order).alias("first"))
-    here = several.join(firsts, "digest")
-    return here.where(order != F.col("first")).select("doc_id", "key", "chunk", "n_lines")
+    found = staged(chunks(docs), "chunks")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "at")
+    ends = found.groupBy("one", "two").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    firsts = ends.where("first <> last").select("one", "two", "first")
+    later = staged(found.join(firsts, ["one", "two"]).where(order != F.col("first")).drop("first"), "repeated")
+    unclear = staged(ambiguous(docs), "ambiguous")
+    for side in ("one", "two"):
+        later = later.join(unclear.withColumnRenamed("digest", side), side, "left_anti")
+    return later.select("doc_id", "key", "at")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` less its repeated chunks, and ``removed_chunks``, ``removed_lines``, ``n_lines``.
+    """``docs`` with ``text`` less its repeated lines, and ``removed_chunks`` (runs of lines), ``removed_lines``, ``n_lines``.
 
-    A document loses whole chunks; the rest keeps its order, joined by line breaks. A text without lines left is empty.
+    The rest keeps its order, joined by line breaks. A text without lines left is empty.
     Columns of the input with those names are replaced.
     """
-    marks = repeats(docs).groupBy("doc_id", "key").agg(
-        F.collect_set("chunk").alias("__gone"), F.sum("n_lines").alias("__lines")
+    marks = repeats(docs).groupBy("doc_id", "key").agg(F.collect_set("at").alias("__at"))
+    shifted = lambda lines: F.transform(lines, lambda i: i + 1)
+    marks = marks.select(
+        F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.array_union("__at", shifted("__at")).alias("__gone")
     )
-    marks = marks.withColumnsRenamed({"doc_id": "__id", "key": "__key"})
     added = ("removed_chunks", "removed_lines", "n_lines")
     columns = [c for c in docs.columns if c not in added]
     text = F.coalesce(F.col("text"), F.lit(""))
     left = docs.select(*columns).withColumn("__want", F.xxhash64(text))
     joined = left.join(marks, left["doc_id"].eqNullSafe(marks["__id"]) & (left["__want"] == marks["__key"]), "left")
-    number = lambda line: F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
-    lined = joined.withColumn("__rows", F.split(text, "\n"))
-    hashed = lined.withColumn("__hashes", F.when(F.col("__gone").isNotNull(), F.transform("__rows", number)))
-    ends = hashed.withColumn("__ends", F.when(F.col("__gone").isNotNull(), cut_lines(F.col("__rows"), F.col("__hashes"))))
-    kept = F.filter(F.sequence(F.lit(0), F.size("__ends") - 1), lambda k: ~F.array_contains("__gone", k))
-    pieces = F.transform(
-        kept,
-        lambda k: F.array_join(
-            F.slice(
-                F.col("__rows"),
-                F.when(k == 0, 0).otherwise(F.element_at("__ends", F.greatest(k, F.lit(1)))) + 1,
-                F.element_at("__ends", k + 1) - F.when(k == 0, 0).otherwise(F.element_at("__ends", F.greatest(k, F.lit(1)))),
-            ),
-            "\n",
-        ),
-    )
-    clean = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(pieces, "\n"))
-    return ends.select(
+    rows = joined.withColumn("__rows", F.split(text, "\n"))
+    kept = F.array_except(F.sequence(F.lit(1), F.size("__rows")), F.col("__gone"))
+    rest = F.array_join(F.transform(kept, lambda i: F.element_at(F.col("__rows"), i)), "\n")
+    clean = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)
+    number = lambda items: F.coalesce(F.when(items.isNotNull(), F.size(items)), F.lit(0)).cast("long")
+    return rows.select(
         *[clean.alias("text") if c == "text" else F.col(c) for c in columns],
         F.size("__rows").cast("long").alias("n_lines"),
-        F.greatest(F.size("__gone"), F.lit(0)).cast("long").alias("removed_chunks"),
-        F.coalesce("__lines", F.lit(0)).cast("long").alias("removed_lines"),
+        number(F.array_except("__gone", shifted("__gone"))).alias("removed_chunks"),
+        number(F.col("__gone")).alias("removed_lines"),
     )

@@ -96,6 +96,39 @@ def test_line_chunks_remove_later_passages_only(spark):
     assert got[2].n_lines - got[2].removed_lines == len(got[2].text.split("\n"))
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 5])
+def test_line_chunks_find_short_passages(spark, n):
+    rows = []
+    for i in range(20):
+        passage = [prose(1000 * n + 10 * i + k, 12) for k in range(n)]
+        around = [[prose(50_000 + 10 * i + 4 * side + k, 9) for k in range(4)] for side in (0, 1)]
+        rows += [(2 * i, "\n".join(x[:2] + passage + x[2:])) for x in around[:1]]
+        rows += [(2 * i + 1, "\n".join(x[:2] + passage + x[2:])) for x in around[1:]]
+    got = {r.doc_id: r for r in line_chunks.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        lines = text.split("\n")
+        assert got[i].text == ("\n".join(lines[:2] + lines[-2:]) if i % 2 else text)
+        assert (got[i].removed_lines, got[i].removed_chunks, got[i].n_lines) == ((n, 1, n + 4) if i % 2 else (0, 0, n + 4))
+
+
+def test_line_chunks_lose_no_line(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i if i < 59 else None, "\n".join(rng.choice(["a", "b", "c", "d", "", " "], rng.integers(1, 12)))) for i in range(60)]
+    got = line_chunks.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    full = {x for _, t in rows for x in t.split("\n") if x.strip()}
+    assert {x for r in got for x in r.text.split("\n") if x.strip()} == full
+    seen, want = set(), []
+    for i, text in rows:
+        lines = text.split("\n")
+        pairs = [(k, p) for k, p in enumerate(zip(lines, lines[1:])) if "".join(p).strip()]
+        gone = set()
+        for k, p in pairs:
+            gone |= {k, k + 1} if p in seen else set()
+            seen.add(p)
+        want.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    assert set(want) == {(r.doc_id, r.text) for r in got}
+
+
 def test_licenses(spark):
     text = prose(1, 40) + "\nReleased under the MIT License.\n" + prose(2, 40)
     altered = license_scan.TEMPLATES["BSD-2-Clause"].replace("source code", "source texts")
