@@ -20,6 +20,7 @@ def dataset_slug(file_name: Column) -> Column:
 
 
 def customer_id(entity_id: Column) -> Column:
+    """For display only: different ids can share it."""
     return F.concat(F.lit("CUST-"), F.right(entity_id, F.lit(6)))
 
 

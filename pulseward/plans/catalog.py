@@ -355,8 +355,8 @@ def raw(spark, sf_dir) -> DataFrame:
 
 
 def shown_tickets(df: DataFrame) -> DataFrame:
-    """Tickets with the whole message condensed to a checksum."""
-    return present(df.withColumn("message", F.md5("message")))
+    """Tickets with the whole message condensed to a checksum and the id in its display form only."""
+    return present(df.drop("entity_id").withColumn("message", F.md5("message")))
 
 
 @register

@@ -65,11 +65,15 @@ def ingest_file(
 
 
 def with_ticket_ids(tickets: DataFrame) -> DataFrame:
-    """A reproducible ``ticket_id`` from source, customer, time and message; equal tickets are numbered."""
-    key = ["dataset_source", "customer_id", "ticket_created_at", "message"]
+    """A reproducible ``ticket_id`` from source, customer, time and message; equal tickets are numbered.
+
+    The customer is the whole ``entity_id`` where there is one.
+    """
+    who = F.concat(F.lit("CUST-"), F.col("entity_id")) if "entity_id" in tickets.columns else F.col("customer_id")
+    key = [F.col("dataset_source"), who, F.col("ticket_created_at"), F.col("message")]
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("issue_category", "subject"))
     numbered = tickets.withColumn("nth", nth)
-    return numbered.withColumn("ticket_id", key_id(*[F.col(c) for c in key[:3]], F.md5("message"), F.col("nth"))).drop("nth")
+    return numbered.withColumn("ticket_id", key_id(*key[:3], F.md5("message"), F.col("nth"))).drop("nth")
 
 
 def ingest_complaints(

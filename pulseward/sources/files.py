@@ -210,7 +210,7 @@ def read_complaints(
         tickets = normalize_complaints(raw, mapping, filter_has_narrative)
         if max_records is None:
             return tickets
-        return tickets.orderBy("ticket_created_at", "customer_id", "message").limit(max_records)
+        return tickets.orderBy("ticket_created_at", "customer_id", "message", "entity_id").limit(max_records)
     if suffix in SQLITE_SUFFIXES:
         return normalize_complaints(
             sqlite_narratives(read_sqlite(spark, path), mapping, max_records, order_by, filter_has_narrative),

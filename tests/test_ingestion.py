@@ -13,7 +13,7 @@ from pulseward.operators.ingestion import ingest_metrics, ingest_summary, ingest
 from pulseward.operators.signals import DetectorSettings, scan_metrics
 from pulseward.operators.telemetry import overview
 from pulseward.operators.tickets import search_tickets
-from pulseward.plans.ingest import infer_file, ingest_complaints, ingest_file
+from pulseward.plans.ingest import infer_file, ingest_complaints, ingest_file, with_ticket_ids
 from pulseward.plans.store import read_stored
 from pulseward.schemas import ANOMALY_EVENTS, DAILY_METRICS, TICKETS
 from pulseward.sources.files import preferred_source, read_complaints, read_csv, read_table
@@ -291,6 +291,23 @@ def test_daily_complaint_kpis(spark):
     )
 
 
+def test_long_labels_and_ids_stay_apart(spark):
+    long = "x" * 100
+    rows = [("01/02/2026", f"{long} {i}", f"{long} {i}", "same text", f"{i}00123456", f"{long} {i}") for i in (1, 2)]
+    df = spark.createDataFrame(rows, "date_received string, product string, issue string, consumer_complaint_narrative string, complaint_id string, state string")
+    tickets = normalize_complaints(df, CONSUMER_COMPLAINTS)
+    for column in ("region", "product_name", "issue_category"):
+        assert {r[0] for r in tickets.select(column).collect()} == {f"{long} 1", f"{long} 2"}
+    assert {(r.customer_id, r.entity_id) for r in tickets.collect()} == {("CUST-123456", "100123456"), ("CUST-123456", "200123456")}
+    for kept in ("region", "product_name"):
+        other = "product_name" if kept == "region" else "region"
+        daily = complaint_daily(tickets.withColumn(other, F.lit("same")), "C")
+        assert sorted((r[kept], r.transaction_count) for r in daily.collect()) == [(f"{long} 1", 1), (f"{long} 2", 1)]
+    ids = {r.entity_id: r.ticket_id for r in with_ticket_ids(tickets.withColumn("dataset_source", F.lit("C"))).collect()}
+    alone = with_ticket_ids(tickets.where("entity_id like '2%'").withColumn("dataset_source", F.lit("C"))).first()
+    assert len(set(ids.values())) == 2 and alone.ticket_id == ids["200123456"]
+
+
 def test_complaints_are_stored_as_tickets_and_kpis(spark, tmp_path):
     text = "date_received,product,issue,consumer_complaint_narrative,complaint_id,state,consumer_disputed?\n" + "".join(
         f"01/0{1 + i % 3}/2026,Card,Fee,complaint number {i} about a fee,{i},CA,{'Yes' if i % 2 else 'No'}\n" for i in range(6)
