@@ -139,6 +139,24 @@ def test_licenses(spark):
     assert set(got) == {1, 2, 5} and not got[5].confirmed
 
 
+def test_licenses_near_each_other_and_in_long_lines():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    gpl, mit, isc = (license_scan.TEMPLATES[n] for n in ("GPL-3.0-or-later", "MIT", "ISC"))
+    dual = f"{gpl} {prose(7, 5)}\n{mit}\n{isc} {isc}"
+    got = scanner.notices(dual)
+    assert [r["license"] for r in got if r["confirmed"]] == ["GPL-3.0-or-later", "MIT", "ISC", "ISC"] and len(got) == 4
+    assert [dual[r["start"] :][: r["n_chars"]] for r in got] == [gpl, mit, isc, isc] and all(r["exact"] for r in got)
+    edited = gpl.replace("program", "library").replace("modify", "change").replace("published", "printed")
+    line = f"{prose(8, 300)} the license of it {edited} of the {prose(9, 300)}"
+    (found,) = [r for r in scanner.notices(line) if r["confirmed"]]
+    assert found["license"] == "GPL-3.0-or-later" and found["words_missing"] == 3
+    assert found["start"] == line.index(edited) and line[found["start"] :][: found["n_chars"]] == edited
+    (rest,) = [r for r in scanner.notices(line) if not r["confirmed"]]
+    assert rest["start"] == 0 and line[: rest["n_chars"]].endswith("of it ")
+    apache = license_scan.TEMPLATES["Apache-2.0"].replace("compliance", "accord").replace("limitations", "limits")
+    assert [r["license"] for r in scanner.notices(apache)] == ["Apache-2.0"]
+
+
 def test_language_mixtures(spark):
     english = "the quick brown fox jumps over the lazy dog and then runs through the forest with other animals "
     german = "der schnelle braune fuchs springt über den faulen hund und läuft danach durch den wald mit anderen tieren "
