@@ -229,8 +229,6 @@ def near_duplicates(
         results = staged(linked(pairs, sets, similarity), "pairs")
         tested = results if tested is None else tested.unionByName(results)
         if results.where("linked").isEmpty():
-            if comps is None or round_no == PIVOT_ROUNDS:
-                break
             continue
         comps = staged(components(tested.where("linked").select("a", "b")), "classes")
     member = nodes.select("content", "size", "node")

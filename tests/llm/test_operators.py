@@ -74,6 +74,20 @@ def test_near_duplicates(odd):
     assert len(rows) == odd.count()
 
 
+def test_near_duplicates_that_only_members_link(spark):
+    for seed in range(100):
+        common, shared, left, right = (prose(10 * seed + k, n).split() for k, n in enumerate((60, 25, 5, 5)))
+        texts = [" ".join(x) for x in (common, common + shared + left, common + shared + right)]
+        grams, owner, _ = minhash.shingles(texts, 1)
+        grams, owner, _ = minhash.distinct(grams, owner)
+        if len(set(minhash.dart_signatures(grams, np.ones(len(grams)), owner, 3, 1)[:, 0].tolist())) == 1:
+            break
+    # One bucket of three; its pivot, the text without words of its own, is near neither of the two that are near each other.
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = minhash.near_duplicates(docs, bands=1, rows=1, words=1).collect()
+    assert {(r.doc_id, r.class_id, r.class_size) for r in rows} == {(0, 0, 1), (1, 1, 2), (2, 1, 2)}
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     elements = rng.integers(0, 2**63, 300).astype(np.uint64)
