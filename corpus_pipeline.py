@@ -41,7 +41,8 @@ STAGES = [
     ("pack_sequences", pack),
 ]
 
-#: The classifier, the near-duplicates and the tokens have no SQL; tests compare the stages with brute force.
+#: The classifier, the near-duplicates and the tokens have no SQL. Tests hold the operators against a few rows each; none runs
+#: the stages together.
 ORACLE_SQL = None
 
 
