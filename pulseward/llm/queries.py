@@ -11,6 +11,7 @@ from pulseward.llm import (
     exact_dedup,
     fingerprints,
     language_mix,
+    lexical_search,
     license_scan,
     line_chunks,
     minhash,
@@ -18,6 +19,8 @@ from pulseward.llm import (
     packing,
     quality_cnn,
     token_rollups,
+    url_filters,
+    whitening,
 )
 from pulseward.llm.common import documents
 from pulseward.session import scratch_path
@@ -103,8 +106,95 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
 
 
+#: Rules that decide by host and path, and words that block a URL no such rule fits. Fixed values.
+HOST_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+BLOCKED_WORDS = ["bets", "casino", "jackpot", "loans", "pills", "poker", "porn", "viagra"]
+
+
+@register
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict: by the host rules, else by words that stand alone anywhere in host or path."""
+    listed = [(p, a, 1) for p, a in HOST_RULES] + [(f"*^{w}^", "block", 0) for w in BLOCKED_WORDS]
+    rules = spark.createDataFrame(listed, "pattern string, action string, rank int")
+    found = url_filters.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+    by_rank = lambda rank: F.when(F.col("rank") == rank, F.col("pattern"))
+    return found.select("page_id", "host", "path", by_rank(1).alias("rule"), "verdict", by_rank(0).alias("pattern"), "fitted")
+
+
+@register
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@register
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_url_filters": r"""
+            WITH cut AS (
+                SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+            ), split AS (
+                SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+                FROM cut
+            ), fits AS (
+                SELECT *, starts_with(path, '/en/') AS en,
+                       [w FOR w IN ['bets', 'casino', 'jackpot', 'loans', 'pills', 'poker', 'porn', 'viagra']
+                        IF regexp_matches(host || path, '(?s)^(.*)([^A-Za-z0-9]|^)' || w || '([^A-Za-z0-9]|$)')] AS words
+                FROM split
+            ), ruled AS (
+                SELECT *, [x FOR x IN [
+                    CASE WHEN en AND (host = 'www.example.com' OR suffix(host, '.www.example.com')) THEN 'www.example.com/en/' END,
+                    CASE WHEN en AND (host = 'example.com' OR suffix(host, '.example.com')) THEN 'example.com/en/' END,
+                    CASE WHEN starts_with(path, '/es/') AND (host = 'net' OR suffix(host, '.net')) THEN 'net/es/' END,
+                    CASE WHEN starts_with(path, '/fr/') AND (host = 'net' OR suffix(host, '.net')) THEN 'net/fr/' END,
+                    CASE WHEN starts_with(path, '/') AND (host = 'com' OR suffix(host, '.com')) THEN 'com/' END
+                ] IF x IS NOT NULL] AS rules FROM fits
+            )
+            SELECT page_id, host, path, rules[1] AS rule,
+                   CASE WHEN len(rules) = 0 THEN CASE WHEN len(words) > 0 THEN 'block' ELSE 'allow' END
+                        WHEN rules[1] IN ('com/', 'www.example.com/en/') THEN 'allow' ELSE 'block' END AS verdict,
+                   CASE WHEN len(rules) = 0 THEN '*^' || list_sort([lpad(CAST(length(w) AS VARCHAR), 2, '0') || w FOR w IN words],
+                        'DESC')[1][3:] || '^' END AS pattern,
+                   CAST(len(rules) + len(words) AS BIGINT) AS fitted
+            FROM ruled
+        """,
+        "op12_lexical_search": r"""
+            WITH words AS (
+                SELECT rowid AS r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM (SELECT *, row_number() OVER () AS rowid FROM documents)
+            ), tfs AS (
+                SELECT r, doc_id, term, count(*) AS tf FROM words GROUP BY ALL
+            ), sizes AS (
+                SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY r
+            ), whole AS (
+                SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sizes
+            ), asked AS (
+                SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM benchmark
+            ), weights AS (
+                SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+                FROM tfs, whole GROUP BY term
+            ), added AS (
+                SELECT t.r, t.doc_id, t.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))) AS part
+                FROM tfs t JOIN weights USING (term) JOIN sizes s ON t.r = s.r, whole
+            ), scored AS (
+                SELECT item_id, r, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN added USING (term) GROUP BY ALL
+            )
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM scored WHERE score > 0
+            QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+        """,
         "op2_line_chunks": r"""
             WITH lines AS (
                 SELECT doc_id, i, line, count(*) OVER (PARTITION BY doc_id) AS n,
