@@ -201,26 +201,35 @@ def oracle_sql() -> dict[str, str]:
                        CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h
                 FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                              generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+            ), rolled AS (
+                SELECT *, lag(h) OVER (PARTITION BY doc_id ORDER BY i) * 31 + h AS r FROM lines
+            ), seeds(seed, multiplier) AS (
+                VALUES (SEEDS)
             ), cuts AS (
-                SELECT *, i = n OR (i >= 2 AND (h + 31 * lag(h) OVER d) % 4 = 0) AS cut FROM lines
-                WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+                SELECT seed, doc_id, i, line, i = n OR (i >= 2 AND ((r * multiplier) % 1073741789) % 2 = 0) AS cut FROM rolled, seeds
             ), numbered AS (
-                SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY i
+                SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY seed, doc_id ORDER BY i
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM cuts
             ), chunks AS (
-                SELECT doc_id, chunk, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS body
-                FROM numbered GROUP BY doc_id, chunk
+                SELECT DISTINCT doc_id, start, size, body FROM (
+                    SELECT doc_id, min(i) AS start, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS body
+                    FROM numbered GROUP BY seed, doc_id, chunk)
+                WHERE size >= 2 AND length(trim(replace(body, chr(10), ''), ' ')) > 0
+            ), later AS (
+                SELECT doc_id, start, size FROM chunks QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, start) > 1
+            ), gone AS (
+                SELECT DISTINCT doc_id, unnest(range(start, start + size)) AS i FROM later
             ), marked AS (
-                SELECT *, n_lines >= 2 AND length(trim(replace(body, chr(10), ''), ' ')) > 0
-                    AND row_number() OVER (PARTITION BY body ORDER BY n_lines < 2, doc_id, chunk) > 1 AS gone FROM chunks
+                SELECT l.*, g.i IS NOT NULL AS gone FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i
+            ), edges AS (
+                SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS edge FROM marked
             )
             SELECT d.doc_id,
                    CASE WHEN count(*) FILTER (gone) = 0 THEN any_value(d.text)
-                        ELSE coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '') END AS text,
-                   CAST(sum(n_lines) AS BIGINT) AS n_lines, count(*) FILTER (gone) AS removed_chunks,
-                   CAST(coalesce(sum(n_lines) FILTER (gone), 0) AS BIGINT) AS removed_lines
-            FROM documents d JOIN marked m USING (doc_id) GROUP BY d.doc_id
-        """,
+                        ELSE coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') END AS text,
+                   count(*) AS n_lines, count(*) FILTER (edge) AS removed_chunks, count(*) FILTER (gone) AS removed_lines
+            FROM documents d JOIN edges e USING (doc_id) GROUP BY d.doc_id
+        """.replace("(SEEDS)", ", ".join(str(x) for x in enumerate(line_chunks.MULTIPLIERS))),
         "op6_mix_sources": """
             WITH sizes AS (
                 SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS chars FROM documents GROUP BY source

@@ -110,37 +110,78 @@ def test_line_chunks_remove_later_passages_only(spark):
     assert got[2].n_lines - got[2].removed_lines == len(got[2].text.split("\n"))
 
 
-@pytest.mark.parametrize("n", [2, 3, 4, 5])
+def plain_line_chunks(rows):
+    """Removed lines (from 0) of each row, in the given order, by the stated rule."""
+    seen, out = {}, []
+    for number, (_, text) in enumerate(rows):
+        lines = (text or "").split("\n")
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+        found = set()
+        for multiplier in line_chunks.MULTIPLIERS:
+            start = 0
+            for i in range(len(lines)):
+                if i == len(lines) - 1 or (i and (31 * h[i - 1] + h[i]) * multiplier % line_chunks.PRIME % 2 == 0):
+                    found.add((start, i + 1))
+                    start = i + 1
+        gone = set()
+        for a, b in sorted(found):
+            body = "\n".join(lines[a:b])
+            if b - a > 1 and body.replace("\n", "").strip(" "):
+                gone |= set(range(a, b)) if body in seen else set()
+                seen[body] = number
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 8])
 def test_line_chunks_find_short_passages(spark, n):
     rows = []
-    for i in range(20):
+    for i in range(60):
         passage = [prose(1000 * n + 10 * i + k, 12) for k in range(n)]
-        around = [[prose(50_000 + 10 * i + 4 * side + k, 9) for k in range(4)] for side in (0, 1)]
-        rows += [(2 * i, "\n".join(x[:2] + passage + x[2:])) for x in around[:1]]
-        rows += [(2 * i + 1, "\n".join(x[:2] + passage + x[2:])) for x in around[1:]]
+        for side in (0, 1):
+            around = [prose(50_000 + 10 * i + 4 * side + k, 9) for k in range(4)]
+            rows.append((2 * i + side, "\n".join(around[:2] + passage + around[2:])))
     got = {r.doc_id: r for r in line_chunks.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
         lines = text.split("\n")
-        assert got[i].text == ("\n".join(lines[:2] + lines[-2:]) if i % 2 else text)
-        assert (got[i].removed_lines, got[i].removed_chunks, got[i].n_lines) == ((n, 1, n + 4) if i % 2 else (0, 0, n + 4))
+        left = got[i].text.split("\n")
+        assert left[:2] == lines[:2] and left[-2:] == lines[-2:] and got[i].n_lines == n + 4
+        assert i % 2 or got[i].text == text
+    removed = sum(got[i].removed_lines for i, _ in rows if i % 2)
+    assert removed >= {2: 0.7, 3: 0.85}.get(n, 0.9) * 60 * n
 
 
-def test_line_chunks_lose_no_line(spark):
+def test_line_chunks_need_a_chunk_that_stood_before(spark):
+    lines = [[prose(100 * i + k, 6) for k in range(3)] for i in range(40)]
+    rows = [(3 * i + k, "\n".join(t)) for i, (x, y, z) in enumerate(lines) for k, t in enumerate(((x, y), (y, z), (x, y, z)))]
+    got = {r.doc_id: r.text for r in line_chunks.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == t for i, t in rows if i % 3 < 2)
+    assert {got[3 * i + 2] for i in range(40)} <= {t for x, y, z in lines for t in ("\n".join((x, y, z)), z)}
+
+
+def test_line_chunks_lose_no_line(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i if i < 59 else None, "\n".join(rng.choice(["a", "b", "c", "d", "", " "], rng.integers(1, 12)))) for i in range(60)]
-    got = line_chunks.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_chunks.drop_repeats(docs).collect()
     full = {x for _, t in rows for x in t.split("\n") if x.strip()}
     assert {x for r in got for x in r.text.split("\n") if x.strip()} == full
-    seen, want = set(), []
-    for i, text in rows:
-        lines = text.split("\n")
-        pairs = [(k, p) for k, p in enumerate(zip(lines, lines[1:])) if "".join(p).strip()]
-        gone = set()
-        for k, p in pairs:
-            gone |= {k, k + 1} if p in seen else set()
-            seen.add(p)
-        want.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
-    assert set(want) == {(r.doc_id, r.text) for r in got}
+    want = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)) for (i, t), gone in zip(rows, plain_line_chunks(rows))]
+    assert sorted(want, key=repr) == sorted(((r.doc_id, r.text) for r in got), key=repr)
+
+
+def test_line_chunks_compare_bytes(spark):
+    rows = [(1, "a\nb", 7), (2, "c\nd", 7), (3, "a\nb", 7), (None, "c\nd", 7), (4, "e\nf", 8), (5, "e\nf", 8)]
+    mark = "array<struct<at: int, size: int, hash: bigint, later: boolean>>"
+    moved = spark.createDataFrame([(i, t, i, [(1, 2, h, i not in (1, 4))]) for i, t, h in rows], f"doc_id long, text string, __key long, __marks {mark}")
+    assert {r.doc_id for r in line_chunks.with_equal_bytes(moved).collect()} == {3, None, 5}
+
+
+def test_line_chunks_of_odd_rows(odd):
+    clashing = odd.withColumnRenamed("key", "removed_lines").withColumnRenamed("copy", "hash").withColumnRenamed("row", "at")
+    rows = line_chunks.drop_repeats(clashing).collect()
+    assert len(rows) == odd.count() and {r.text for r in rows if r.doc_id in (9, 14)} == {None}
+    assert [r.n_lines for r in rows if r.doc_id == 10] == [1]
 
 
 def test_licenses(spark):
