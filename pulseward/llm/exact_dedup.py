@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from pulseward.llm.common import ordered, pick_rows, staged
 
-#: Runs that meet in one merge.
-FAN = 32
+#: Runs that meet in one merge: two, as in a binomial tree.
+FAN = 2
 _KEYS = ["text_sha256", "n_bytes", "check64"]
 
 
@@ -33,7 +33,7 @@ def digests(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .select(
             "doc_id",
             "row",
-            F.shiftright("row", 33).alias("run"),
+            F.shiftright("row", 33).cast("int").alias("run"),
             F.sha2("norm", 256).alias("text_sha256"),
             F.octet_length("norm").cast("long").alias("n_bytes"),
             F.xxhash64("norm").alias("check64"),
@@ -50,10 +50,10 @@ def merge_tree(leaves: DataFrame, rounds: int, fan: int = FAN) -> DataFrame:
     bucket = F.pmod(F.xxhash64(*_KEYS), F.lit(fan**rounds))
     runs = leaves
     for r in range(rounds):
-        digit = lambda x, r=r: F.floor(x / F.lit(fan**r)).cast("long") % fan
-        run = F.col("run") + (digit(bucket) - digit(F.col("run"))) * F.lit(fan**r)
-        # The exchange is by run; sorted by digest, the runs that arrive merge in one pass.
-        moved = runs.withColumn("run", run).repartition("run").sortWithinPartitions("run", *_KEYS)
+        digit = lambda x, r=r: F.floor(x / F.lit(fan**r)).cast("int") % fan
+        run = F.col("run") + (digit(bucket) - digit(F.col("run"))) * F.lit(fan**r).cast("int")
+        # Every run has a partition of its own; sorted by digest, the runs that arrive there merge in one pass.
+        moved = runs.withColumn("run", run).repartitionById(fan**rounds, "run").sortWithinPartitions("run", *_KEYS)
         runs = _merge(moved)
     return runs
 

@@ -18,42 +18,46 @@ from pyspark.sql import functions as F
 from pulseward.llm.common import blocks, mix, powers
 
 #: Code points in a shingle, and the share of hashes that is kept.
-SHINGLE, FRACTION = 6, 1 / 16
+SHINGLE, FRACTION = 6, 1 / 4
 
 
 class Sketch:
-    """A fingerprint: kept hashes (distinct, ascending, 32 bits) and a hash of the whole text."""
+    """A fingerprint: kept hashes (distinct, ascending, 32 bits) and a hash of the whole text, which a merged one lacks."""
 
     __slots__ = ("hashes", "whole")
 
-    def __init__(self, hashes: np.ndarray, whole: int):
+    def __init__(self, hashes: np.ndarray, whole: int | None):
         self.hashes, self.whole = hashes, whole
 
     def text(self) -> str:
-        """16 hex digits of the whole text's hash, a colon, and the hashes as base64 of big-endian 32-bit numbers."""
-        return f"{self.whole:016x}:" + base64.b64encode(self.hashes.astype(">u4").tobytes()).decode()
+        """16 hex digits of the whole text's hash (none if merged), a colon, and the hashes as base64 of big-endian 32-bit numbers."""
+        return ("" if self.whole is None else f"{self.whole:016x}") + ":" + base64.b64encode(self.hashes.astype(">u4").tobytes()).decode()
 
     @staticmethod
     def parse(text: str) -> Sketch:
         whole, data = text.split(":")
-        return Sketch(np.frombuffer(base64.b64decode(data), ">u4").astype(np.uint32), int(whole, 16))
+        return Sketch(np.frombuffer(base64.b64decode(data), ">u4").astype(np.uint32), int(whole, 16) if whole else None)
 
     def merged(self, other: Sketch) -> Sketch:
-        return Sketch(np.union1d(self.hashes, other.hashes), self.whole ^ other.whole if self.whole != other.whole else self.whole)
+        """The fingerprint of both texts' shingles together; merging again, in any order, changes nothing."""
+        return Sketch(np.union1d(self.hashes, other.hashes), None)
+
+    def _same_text(self, other: Sketch) -> bool:
+        return self.whole is not None and self.whole == other.whole
 
     def _shared(self, other: Sketch) -> int:
         return len(np.intersect1d(self.hashes, other.hashes, assume_unique=True))
 
     def likeness(self, other: Sketch) -> float:
         """Estimated Jaccard similarity; of two empty sketches 1 if the texts are equal, else 0."""
-        if self.whole == other.whole:
+        if self._same_text(other):
             return 1.0
         shared = self._shared(other)
         return shared / max(1, len(self.hashes) + len(other.hashes) - shared)
 
     def containment(self, other: Sketch) -> float:
         """Estimated share of this text's shingles that the other has."""
-        if self.whole == other.whole:
+        if self._same_text(other):
             return 1.0
         return self._shared(other) / max(1, len(self.hashes))
 

@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
-A candidate block is a run of lines around license words. A diff of words confirms templates in it: which of a
-template's words a passage of the block has in order, lacks, or has besides, against the template's own length. Each confirmed
-passage is reported with its place and what is left on both sides is scanned again, so a block can have several notices.
-A passage is compressed alone and with each template as a raw zstandard dictionary; the bytes saved, against those the
-template saves on itself, rank the templates of a piece that none is confirmed in.
+A candidate block is a run of lines around license words. It is compressed alone and with every template as a raw zstandard
+dictionary; the bytes a template saves rank the templates. In that order, a diff of words looks for a passage that confirms one:
+which of the template's words a passage has in order, lacks, or has besides, against the template's own length. The first
+confirmed passage is reported with its place, and what is left on both sides of it is ranked and compared again, so a block
+can have several notices.
 """
 
 from __future__ import annotations
@@ -156,6 +156,12 @@ class Scanner:
     def confirms(shared: int, missing: int, extra: int) -> bool:
         return shared >= CONFIRM_FOUND * (shared + missing) and shared >= CONFIRM_PURE * (shared + extra)
 
+    def ranked(self, piece: str) -> list[tuple[int, str]]:
+        """(bytes saved, template) of all templates, the largest reduction first, then by name."""
+        data = piece.encode("utf-8", "surrogatepass")
+        alone = len(self.plain.compress(data))
+        return sorted(((alone - len(self.given[n].compress(data)), n) for n in self.names), key=lambda x: (-x[0], x[1]))
+
     def notices(self, block: str) -> list[dict]:
         """Rows of the block in order: each confirmed passage, and each piece around them that still has a license word, with
         the template that fits it best."""
@@ -166,32 +172,30 @@ class Scanner:
             begin, stop, low, high = todo.pop()
             if not _CUE.search(block, begin, stop):
                 continue
-            here, hit = Counter(own[low:high]), None
-            for name in self.names:
+            order = self.ranked(block[begin:stop])
+            here, found = Counter(own[low:high]), None
+            for _, name in order:
                 # What can be confirmed at all has so many of the template's words in any order.
                 need = self.counts[name]
-                if (need & here).total() < CONFIRM_FOUND * need.total():
-                    continue
-                found = self.passage(own[low:high], name)
-                if found and self.confirms(*found[:3]):
-                    # The one that explains most: a short notice within a longer one is part of it.
-                    key = found[0] - found[1] - found[2]
-                    if hit is None or key > hit[0]:
-                        hit = key, name, found
-            if hit:
-                _, name, (shared, missing, extra, first, end) = hit
+                if (need & here).total() >= CONFIRM_FOUND * need.total():
+                    found = self.passage(own[low:high], name)
+                    if found and self.confirms(*found[:3]):
+                        break
+                    found = None
+            if found:
+                shared, missing, extra, first, end = found
                 a, b = places[low + first][0], places[low + end - 1][1]
                 b += len(block[b:stop]) - len(block[b:stop].lstrip(_ENDS))
                 out.append(self.row(block, a, b, name, shared, missing, extra))
                 todo += [(begin, a, low, low + first), (b, stop, low + end, high)]
             else:
-                out.append(self.unconfirmed(block, begin, stop, own[low:high]))
+                out.append(self.unconfirmed(block, begin, stop, own[low:high], order))
         return sorted(out, key=lambda row: row["start"])
 
-    def unconfirmed(self, block: str, begin: int, stop: int, own: list[str]) -> dict:
+    def unconfirmed(self, block: str, begin: int, stop: int, own: list[str], order: list[tuple[int, str]]) -> dict:
         """Of the templates that save the largest shares of what they save on themselves, within a tenth, the one with the
         least share of words lacking or besides."""
-        saved = {n: (a - b) / self.saves[n] for n in self.names for a, b in [self.sizes(block[begin:stop], n)]}
+        saved = {name: size / self.saves[name] for size, name in order}
         bound = max(saved.values()) - 0.1
         choices = []
         for name in self.names:

@@ -23,6 +23,7 @@ from pulseward.llm import (
     whitening,
 )
 from pulseward.llm.common import documents
+from pulseward.llm.tokens import multilingual_files
 from pulseward.session import scratch_path
 
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,10 +81,16 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches: all documents, those that repeat lines revised, exact copies deleted; one batch comes twice."""
+    """Totals after three batches: all documents, those that repeat lines revised, exact copies deleted; one batch comes twice.
+
+    The first batch is counted under two tokenizer versions, the revision under one, and the delete is out of both.
+    """
     docs = documents(spark, sf_dir)
-    rollup = token_rollups.Rollup(spark, scratch_path(spark, "llm-rollup"))
-    rollup.commit(1, docs.withColumn("op", F.lit("upsert")))
+    path = scratch_path(spark, "llm-rollup")
+    rollup, other = token_rollups.Rollup(spark, path), token_rollups.Rollup(spark, path, "byte_bpe_multi_50k", multilingual_files())
+    first = docs.withColumn("op", F.lit("upsert"))
+    rollup.commit(1, first)
+    other.commit(1, first)
     revised = token_rollups.without_repeated_lines(docs).withColumn("op", F.lit("upsert"))
     rollup.commit(2, revised)
     rollup.commit(2, revised)

@@ -2,9 +2,13 @@
 
 A batch of changes inserts, revises or deletes documents. Its texts are counted once; against the ledger of what was
 counted before, each change becomes signed amounts, which are summed by source, language and tokenizer version and
-stored as that batch's deltas. Totals are the sums of all deltas. A batch is committed by its delta folder's success
-marker, written last: a failed batch leaves no trace in the totals and can be run again, a committed one is not applied
-twice.
+stored as that commit's deltas. Totals are the sums of all deltas. A commit is a batch under a tokenizer version. It is done with
+its delta folder's success marker, written last: a failed one leaves no trace in the totals and can be run again, a
+done one is not applied twice.
+
+Each version has totals of its own: an insert or a revision counts under the version it is committed with, and leaves the
+others as they are; a delete takes the document out of every version's totals. From time to time the ledger is summed up
+in a snapshot, so that a commit reads one row per document and version and the changes since.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ from pulseward.llm.tokens import default_files, encoder
 VERSION = "byte_bpe_50k"
 _GROUP = ["source", "lang", "tokenizer"]
 _AMOUNTS = ["documents", "chars", "tokens"]
-LEDGER = "doc_id long, source string, lang string, tokenizer string, documents long, chars long, tokens long, batch long"
+LEDGER = "doc_id long, source string, lang string, tokenizer string, documents long, chars long, tokens long, place long"
+#: Commits from one snapshot of the ledger to the next.
+SNAPSHOT_EVERY = 8
 DELTAS = "source string, lang string, tokenizer string, documents long, chars long, tokens long"
 
 
@@ -51,57 +57,83 @@ class Rollup:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
-    def _committed(self) -> list[int]:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/deltas/batch=*/_SUCCESS")
+    def _done(self, kind: str) -> list[str]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/*/_SUCCESS")
         found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where) or []
-        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+        return sorted(f.getPath().getParent().getName() for f in found)
+
+    def _committed(self) -> list[tuple[int, int, str]]:
+        """(place, batch, version) of the commits that are done, in their order."""
+        names = [name.split("_", 2) for name in self._done("deltas")]
+        return sorted((int(place), int(batch), bytes.fromhex(version).decode()) for place, batch, version in names)
+
+    @staticmethod
+    def _name(place: int, batch: int, version: str) -> str:
+        return f"{place:08d}_{batch}_{version.encode().hex()}"
 
-    def _read(self, kind: str, schema: str, batches: list[int]) -> DataFrame:
-        paths = [f"{self.path}/{kind}/batch={b}" for b in batches]
+    def _read(self, kind: str, schema: str, names: list[str]) -> DataFrame:
+        paths = [f"{self.path}/{kind}/{name}" for name in names]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def current(self, before: int | None = None) -> DataFrame:
-        """Each document as last counted by committed batches (below ``before``); deleted ones with zero amounts."""
-        ledger = self._read("ledger", LEDGER, [b for b in self._committed() if before is None or b < before])
-        return ledger.groupBy("doc_id", "tokenizer").agg(
-            *[F.max_by(c, "batch").alias(c) for c in ("source", "lang", *_AMOUNTS)]
+    def current(self) -> DataFrame:
+        """Each document and version as last counted by the commits that are done; deleted ones with zero amounts."""
+        done = self._committed()
+        snapshots = [int(name) for name in self._done("snapshots") if int(name) <= len(done)]
+        since = max(snapshots, default=0)
+        rows = self._read("ledger", LEDGER, [self._name(*d) for d in done[since:]])
+        if since:
+            rows = rows.unionByName(self._read("snapshots", LEDGER, [f"{since:08d}"]))
+        return rows.groupBy("doc_id", "tokenizer").agg(
+            *[F.max_by(c, "place").alias(c) for c in ("source", "lang", *_AMOUNTS)], F.max("place").alias("place")
         )
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
-        """Apply ``changes`` (op, doc_id, source, lang, text) as batch number ``batch``; False if it was applied before.
+        """Apply ``changes`` (op, doc_id, source, lang, text) as batch number ``batch`` under this version; False if that is done.
 
-        ``op`` is ``upsert`` (insert or revise) or ``delete``. Batches are numbered in the order of their changes; of several
-        changes to a document in one batch a delete wins, else the one with the largest text. Deleting an unknown document,
-        or revising to the same counts, changes nothing. Changes without an id are ignored.
+        ``op`` is ``upsert`` (insert or revise) or ``delete``. Batches are numbered in the order of their changes, over all versions;
+        of several changes to a document in one batch a delete wins, else the one with the largest text. Deleting an unknown
+        document, or revising to the same counts, changes nothing. Changes without an id or with another ``op`` are ignored, null
+        and empty texts count as a document without tokens; repeated rows count once; other columns are ignored.
         """
         done = self._committed()
-        if batch in done:
+        if any((b, v) == (batch, self.version) for _, b, v in done):
             return False
-        if done and batch < done[-1]:
-            raise ValueError(f"batch {batch} comes after {done[-1]}, which is committed")
+        if done and batch < max(b for _, b, _ in done):
+            raise ValueError(f"batch {batch} comes after {max(b for _, b, _ in done)}, which is committed")
+        name = self._name(len(done), batch, self.version)
         known = changes.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
         counted = count_tokens(known.where("op = 'upsert'"), self.files)
         deleted = known.where("op = 'delete'").select("doc_id").distinct()
         pick = F.struct("chars", "tokens", "source", "lang")
         upserts = counted.groupBy("doc_id").agg(F.max(pick).alias("v")).join(deleted, "doc_id", "left_anti")
-        zero = F.lit(0).cast("long")
-        new = upserts.select("doc_id", "v.source", "v.lang", F.lit(1).cast("long").alias("documents"), "v.chars", "v.tokens").union(
-            deleted.select("doc_id", F.lit(None).cast("string"), F.lit(None).cast("string"), zero, zero, zero)
-        )
-        new.withColumn("tokenizer", F.lit(self.version)).withColumn("batch", F.lit(batch).cast("long")).select(
-            *[c.split()[0] for c in LEDGER.split(", ")]
-        ).write.mode("overwrite").parquet(f"{self.path}/ledger/batch={batch}")
-        new = self._read("ledger", LEDGER, [batch])
-        old = self.current(batch).where(F.col("tokenizer") == self.version).join(new.select("doc_id"), "doc_id", "left_semi")
+        before = self.current()
+        held = before.where("documents <> 0").select("doc_id", "tokenizer").join(deleted, "doc_id", "left_semi")
+        none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+        new = upserts.select(
+            "doc_id", "v.source", "v.lang", F.lit(self.version).alias("tokenizer"), F.lit(1).cast("long").alias("documents"), "v.chars", "v.tokens"
+        ).union(held.select("doc_id", none, none, "tokenizer", zero, zero, zero))
+        new.withColumn("place", F.lit(len(done)).cast("long")).select(*[c.split()[0] for c in LEDGER.split(", ")]).write.mode(
+            "overwrite"
+        ).parquet(f"{self.path}/ledger/{name}")
+        new = self._read("ledger", LEDGER, [name])
+        old = before.join(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
         signed = new.select(*_GROUP, *_AMOUNTS).unionByName(old.select(*_GROUP, *[(-F.col(c)).alias(c) for c in _AMOUNTS]))
         deltas = signed.groupBy(*_GROUP).agg(*[F.sum(c).alias(c) for c in _AMOUNTS])
         some = " or ".join(f"{c} <> 0" for c in _AMOUNTS)
-        deltas.where(some).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+        deltas.where(some).write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
+        if (len(done) + 1) % SNAPSHOT_EVERY == 0:
+            self.snapshot()
         return True
 
+    def snapshot(self) -> None:
+        """Sum up the ledger of all commits that are done; documents that are deleted go."""
+        columns = [c.split()[0] for c in LEDGER.split(", ")]
+        path = f"{self.path}/snapshots/{len(self._committed()):08d}"
+        self.current().where("documents <> 0").select(*columns).write.mode("overwrite").parquet(path)
+
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, documents, chars, tokens``; groups without documents are left out."""
-        deltas = self._read("deltas", DELTAS, self._committed())
+        deltas = self._read("deltas", DELTAS, [self._name(*d) for d in self._committed()])
         return deltas.groupBy(*_GROUP).agg(*[F.sum(c).alias(c) for c in _AMOUNTS]).where("documents <> 0")
 
 

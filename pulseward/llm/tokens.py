@@ -25,6 +25,13 @@ def default_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def multilingual_files() -> tuple[str, str]:
+    """A vocabulary for many languages; it has ranks only, and no special token."""
+    import public_tokenizers
+
+    return "", public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 class _Words(dict):
     def __init__(self, encode, lead: str):
         super().__init__()
@@ -56,7 +63,7 @@ class Encoder:
         self.first, self.rest = _Words(self.whole, ""), _Words(self.whole, " ")
 
     def encode(self, text: str) -> bytes:
-        if SPECIAL in text:
+        if self.tokenizer_file and SPECIAL in text:
             if self.full is None:
                 from tokenizers import Tokenizer
 
