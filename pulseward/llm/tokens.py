@@ -62,13 +62,21 @@ class Encoder:
         self.tokenizer_file, self.full = tokenizer_file, None
         self.first, self.rest = _Words(self.whole, ""), _Words(self.whole, " ")
 
+    def _with_special(self, text: str) -> list[int]:
+        if self.full is None:
+            from tokenizers import Tokenizer
+
+            self.full = Tokenizer.from_file(self.tokenizer_file)
+        return self.full.encode(text, add_special_tokens=False).ids
+
+    def count(self, text: str) -> int:
+        """The number of ids. Whole texts: a cache of words costs more than it saves where most words are rare."""
+        special = self.tokenizer_file and SPECIAL in text
+        return len(self._with_special(text) if special else self.whole(text))
+
     def encode(self, text: str) -> bytes:
         if self.tokenizer_file and SPECIAL in text:
-            if self.full is None:
-                from tokenizers import Tokenizer
-
-                self.full = Tokenizer.from_file(self.tokenizer_file)
-            return array("I", self.full.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("I", self._with_special(text)).tobytes()
         if _IRREGULAR.search(text):
             return array("I", self.whole(text)).tobytes()
         head, *tail = text.split(" ")

@@ -334,6 +334,20 @@ def test_ids_are_those_of_the_tokenizer():
     full, fast = Tokenizer.from_file(files[0]), encoder(*files)
     for text in ["", " ", "a  b", "a \n b", "a\n\n b  ", "x's we'll 12,5 €  ü　ñ 漢字", "a \n  b", "<|endoftext|> b", "\ta \t b", "é e a  b"]:
         assert np.frombuffer(fast.encode(text), "<u4").tolist() == full.encode(text, add_special_tokens=False).ids, text
+        assert fast.count(text) == len(fast.encode(text)) // 4
+
+
+def test_ids_are_those_of_the_tokenizer_on_odd_strings_and_documents(spark):
+    from tokenizers import Tokenizer
+
+    files = default_files()
+    full, fast = Tokenizer.from_file(files[0]), encoder(*files)
+    rng = np.random.default_rng(12)
+    marks = np.array(list(" \n\t\r  　a9_'.,é漢ß€") + ["  ", "'s", " the", "<|endoftext|>", "\u0301", "\U0001f600"])
+    texts = ["".join(rng.choice(marks, rng.integers(0, 30))) for _ in range(4000)]
+    texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for text, want in zip(texts, full.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(fast.encode(text), "<u4").tolist() == want.ids and fast.count(text) == len(want.ids), repr(text)
 
 
 CHANGE = "op string, doc_id long, source string, lang string, text string"
