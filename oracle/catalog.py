@@ -386,7 +386,7 @@ def _ticket_queries() -> dict[str, str]:
     )
     full = f"SELECT ticket_id, {shown}, md5(message) AS message"
     anchor = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
-    similar = f"scored_tickets AS (SELECT *, round(list_cosine_similarity(embedding::DOUBLE[], {anchor}::DOUBLE[]), 6) AS similarity FROM tickets WHERE embedding IS NOT NULL)"
+    similar = f"scored_tickets AS (SELECT *, round(list_cosine_similarity(embedding::DOUBLE[], {anchor}::DOUBLE[]), 12) AS similarity FROM tickets WHERE embedding IS NOT NULL)"
 
     def top(where: str, k: int) -> str:
         return f"topped AS (SELECT * FROM scored_tickets WHERE {where} ORDER BY similarity DESC, ticket_id LIMIT {k})"
@@ -441,7 +441,7 @@ FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id LEFT JOIN normed m O
             normed,
             f"asked AS (SELECT b, count(*)::DOUBLE AS n FROM (SELECT {BUCKETS} AS b FROM (SELECT unnest({passage}) AS w)) GROUP BY b)",
             f"""sims AS (
-  SELECT doc_id, round(sum({norms} * a.n) / sqrt((SELECT sum(n * n) FROM asked)) / any_value(len32), 6) AS similarity
+  SELECT doc_id, round(sum({norms} * a.n) / sqrt((SELECT sum(n * n) FROM asked)) / any_value(len32), 12) AS similarity
   FROM counted c JOIN normed m USING (doc_id) JOIN asked a USING (b)
   JOIN (SELECT doc_id, sqrt(sum({norms} * {norms})) AS len32 FROM counted c JOIN normed m USING (doc_id) GROUP BY doc_id) l USING (doc_id) GROUP BY doc_id)""",
             select=f"""SELECT doc_id AS ticket_id, lang AS region, {rnd('similarity', 6)} AS similarity_score FROM (
@@ -462,7 +462,7 @@ FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id LEFT JOIN normed m O
   FROM q_counted q JOIN counted c USING (b) JOIN q_normed qm USING (query_id) JOIN normed m USING (doc_id) GROUP BY query_id, doc_id)""",
             """pairs AS (
   SELECT a.query_id, t.ticket_id, a.region AS q_region, a.product_name AS q_product, a.customer_tier AS q_tier, t.region, t.product_name, t.customer_tier,
-    round(similarity, 6) AS similarity FROM sims JOIN asked a USING (query_id) JOIN tickets t ON t.ticket_id = doc_id)""",
+    round(similarity, 12) AS similarity FROM sims JOIN asked a USING (query_id) JOIN tickets t ON t.ticket_id = doc_id)""",
             p.chosen(0.02, 0.01),
             select=f"SELECT query_id, rank, pass = 1 AS is_fallback, ticket_id, {rnd('similarity', 4)} AS similarity_score FROM chosen",
         ),

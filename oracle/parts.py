@@ -61,7 +61,7 @@ ANCHORED = [
     """pairs AS (
   SELECT q.query_id, t.ticket_id, q.region AS q_region, q.product_name AS q_product, q.customer_tier AS q_tier,
     t.region, t.product_name, t.customer_tier,
-    round(list_cosine_similarity(t.embedding::DOUBLE[], q.query_vector::DOUBLE[]), 6) AS similarity
+    round(list_cosine_similarity(t.embedding::DOUBLE[], q.query_vector::DOUBLE[]), 12) AS similarity
   FROM anchored q JOIN tickets t ON q.dataset_source = t.dataset_source WHERE t.embedding IS NOT NULL)""",
 ]
 

@@ -1,150 +1,100 @@
-"""Blocks of query vectors against blocks of ticket vectors, best matches only."""
+"""Pivots of vectors, and the tickets of a task against a stream of queries, best matches only."""
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 
 from pulseward.functions.vectors import dense_rows
 
-STRICT, BROAD = 0, 1
-CHUNK_CELLS = 4_000_000
-
-# Stored vectors are single floats; scores are compared to the digits those carry.
-SIMILARITY_DIGITS = 6
-
-MATCH_SCHEMA = "query_id bigint, pass int, ticket_id bigint, similarity double"
-TICKET_FIELDS = ["ticket_id", "dataset_source", "region", "product_name", "customer_tier", "embedding"]
-QUERY_FIELDS = ["query_id", "dataset_source", "region", "product_name", "customer_tier", "query_vector"]
-
-
-def contains_pattern(value: str | None) -> re.Pattern | None:
-    """``ILIKE '%value%'`` as a pattern; ``%`` and ``_`` inside the value are wildcards."""
-    if not value or not value.strip():
-        return None
-    wild = {"%": ".*", "_": "."}
-    return re.compile("".join(wild.get(ch, re.escape(ch)) for ch in value.strip()), re.IGNORECASE | re.DOTALL)
-
-
-class QueryBlock:
-    """A bounded set of queries with their filters."""
-
-    def __init__(self, queries: pa.Table):
-        columns = queries.select(QUERY_FIELDS).to_pydict()
-        self.ids = np.asarray(columns["query_id"], dtype=np.int64)
-        self.dataset = columns["dataset_source"]
-        self.region = columns["region"]
-        self.product = [contains_pattern(p) for p in columns["product_name"]]
-        self.tier = [contains_pattern(t) for t in columns["customer_tier"]]
-        self.by_width = {}
-        for rows, matrix in dense_rows(queries["query_vector"]):
-            norms = np.sqrt((matrix * matrix).sum(axis=1))
-            usable = norms > 0
-            self.by_width[matrix.shape[1]] = (rows[usable], matrix[usable] / norms[usable][:, None])
-        self._strict: dict[tuple, np.ndarray] = {}
-
-        self._same: dict[str, np.ndarray] = {}
-
-    def same_dataset(self, dataset: str) -> np.ndarray:
-        if dataset not in self._same:
-            self._same[dataset] = np.array([d is None or d == dataset for d in self.dataset], dtype=bool)
-        return self._same[dataset]
-
-    def strict(self, key: tuple) -> np.ndarray:
-        """Which queries' filters a (dataset, region, product, tier) passes."""
-        found = self._strict.get(key)
-        if found is None:
-            dataset, region, product, tier = key
-            found = np.array(
-                [
-                    (d is None or d == dataset)
-                    and (not r or r == region)
-                    and (p is None or (product is not None and p.search(product) is not None))
-                    and (t is None or (tier is not None and t.search(tier) is not None))
-                    for d, r, p, t in zip(self.dataset, self.region, self.product, self.tier)
-                ],
-                dtype=bool,
-            )
-            if len(self._strict) > 4096:
-                self._strict.clear()
-            self._strict[key] = found
-        return found
-
-
-def _best(query, ticket, similarity, k):
-    """The k best tickets of every query; ids break ties."""
-    order = np.lexsort((ticket, -similarity, query))
-    query, ticket, similarity = query[order], ticket[order], similarity[order]
-    starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=int)
-    rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
-    keep = rank < k
-    return query[keep], ticket[keep], similarity[keep]
-
-
-class BestMatches:
-    """Running best k tickets per query and pass while ticket batches stream by."""
-
-    def __init__(self, block: QueryBlock, k: int, strict_min: float, broad_min: float):
-        self.block, self.k = block, k
-        self.minimum = {STRICT: strict_min, BROAD: broad_min}
-        self.found = {STRICT: [], BROAD: []}
-        self.held = {STRICT: 0, BROAD: 0}
-
-    def add(self, tickets) -> None:
-        ids = np.asarray(tickets.column("ticket_id"))
-        labels = list(
-            zip(*[tickets.column(c).to_pylist() for c in ("dataset_source", "region", "product_name", "customer_tier")])
-        )
-        for rows, matrix in dense_rows(tickets.column("embedding")):
-            if matrix.shape[1] not in self.block.by_width:
-                continue
-            queries, vectors = self.block.by_width[matrix.shape[1]]
-            if not len(queries):
+# Scores are compared to so many digits; what is beyond is the rounding of their sums.
+SIMILARITY_DIGITS = 12
+# Angles come from cosines of vectors stored as single floats; a bound is widened by what that can be off.
+ANGLE_SLACK = 1e-6
+
+# Vectors that pivots are fitted to, pivots at most, and rounds of the fit.
+PIVOT_SAMPLE, PIVOTS, PIVOT_ROUNDS = 2048, 64, 5
+
+
+def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a direction, and those scaled to length one."""
+    norms = np.sqrt((matrix * matrix).sum(axis=1))
+    usable = np.isfinite(norms) & (norms > 0)
+    return usable, matrix[usable] / norms[usable][:, None]
+
+
+def fit_pivots(vectors: pa.Array) -> dict[int, np.ndarray]:
+    """Directions that the vectors of each length lie around: a few rounds of spherical k-means."""
+    out = {}
+    for _, matrix in dense_rows(vectors):
+        _, unit = unit_rows(matrix)
+        unit = np.unique(unit, axis=0)
+        if not len(unit):
+            continue
+        count = min(PIVOTS, max(1, len(unit) // 8))
+        centres = unit[np.linspace(0, len(unit) - 1, count).astype(int)]
+        for _ in range(PIVOT_ROUNDS):
+            nearest = (unit @ centres.T).argmax(axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, nearest, unit)
+            moved, directions = unit_rows(sums)
+            centres[moved] = directions
+        out[matrix.shape[1]] = centres
+    return out
+
+
+def angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+
+
+class Best:
+    """The running best k tickets of one query."""
+
+    def __init__(self, k: int, minimum: float):
+        self.k, self.least = k, minimum
+        self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0)
+
+    def reached_by(self, bound: float) -> bool:
+        """Whether a score up to ``bound`` can still be among the best."""
+        return bound >= self.least - 10.0**-SIMILARITY_DIGITS
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        fine = scores >= self.least
+        ids, scores = np.concatenate((self.ids, ids[fine])), np.concatenate((self.scores, scores[fine]))
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.ids, self.scores = ids[order], scores[order]
+        if len(order) == self.k:
+            self.least = max(self.least, float(self.scores[-1]))
+
+
+class TicketCells:
+    """The tickets of one task by cell: ids and directions."""
+
+    def __init__(self, rows: pa.Table):
+        self.cells = {}
+        cells = rows["cell"].to_numpy()
+        ids = rows["id"].to_numpy()
+        for at, matrix in dense_rows(rows["vector"]):
+            usable, unit = unit_rows(matrix)
+            mine = at[usable]
+            order = np.argsort(cells[mine], kind="stable")
+            starts = np.flatnonzero(np.diff(cells[mine][order], prepend=cells[mine][order][:1] - 1))
+            for part in np.split(order, starts[1:]):
+                if len(part):
+                    self.cells[int(cells[mine][part[0]])] = ids[mine][part], unit[part]
+
+    def search(self, asked: np.ndarray, visits: list[dict], best: Best) -> tuple[int, int]:
+        """Look at the cells in the order of their bounds until none can add anything; (tickets compared, skipped)."""
+        usable, unit = unit_rows(np.asarray([asked], np.float64))
+        compared = skipped = 0
+        for visit in sorted(visits, key=lambda v: -v["bound"]):
+            held = self.cells.get(visit["cell"])
+            if held is None or not len(unit):
                 continue
-            norms = np.sqrt((matrix * matrix).sum(axis=1))
-            rows, unit = rows[norms > 0], matrix[norms > 0] / norms[norms > 0][:, None]
-            step = max(1, CHUNK_CELLS // len(queries))
-            for start in range(0, len(rows), step):
-                part = rows[start : start + step]
-                cells = np.round(unit[start : start + step] @ vectors.T, SIMILARITY_DIGITS)
-                self._take(cells, ids[part], [labels[i] for i in part], queries)
-
-    def _take(self, cells, ids, labels, queries) -> None:
-        strict = np.array([self.block.strict(label)[queries] for label in labels])
-        broad = np.array([self.block.same_dataset(label[0])[queries] for label in labels])
-        for stage, allowed in ((STRICT, strict), (BROAD, broad)):
-            masked = np.where(allowed, cells, -np.inf)
-            floor = np.full(cells.shape[1], self.minimum[stage])
-            if len(ids) > self.k:
-                floor = np.maximum(floor, np.partition(masked, len(ids) - self.k, axis=0)[len(ids) - self.k])
-            at, of = np.nonzero(masked >= floor)
-            if len(at):
-                self.found[stage].append((queries[of], ids[at], masked[at, of]))
-                self.held[stage] += len(at)
-            if self.held[stage] > 4 * self.k * len(self.block.ids) + 100_000:
-                self.found[stage] = [self._merged(stage)]
-                self.held[stage] = len(self.found[stage][0][0])
-
-    def _merged(self, stage):
-        if not self.found[stage]:
-            empty = np.zeros(0, dtype=np.int64)
-            return empty, empty, np.zeros(0)
-        return _best(*[np.concatenate(part) for part in zip(*self.found[stage])], self.k)
-
-    def table(self) -> pa.Table:
-        parts = []
-        for stage in (STRICT, BROAD):
-            query, ticket, similarity = self._merged(stage)
-            parts.append(
-                pa.table(
-                    {
-                        "query_id": pa.array(self.block.ids[query], pa.int64()),
-                        "pass": pa.array(np.full(len(query), stage), pa.int32()),
-                        "ticket_id": pa.array(ticket, pa.int64()),
-                        "similarity": pa.array(similarity, pa.float64()),
-                    }
-                )
-            )
-        return pa.concat_tables(parts)
+            ids, vectors = held
+            if best.reached_by(visit["bound"]):
+                best.add(ids, np.round(vectors @ unit[0], SIMILARITY_DIGITS))
+                compared += len(ids)
+            else:
+                skipped += len(ids)
+        return compared, skipped

@@ -5,19 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseward.functions.embedding import hash_embed, hash_embed_text
-from pulseward.functions.matching import (
-    MATCH_SCHEMA,
-    QUERY_FIELDS,
-    SIMILARITY_DIGITS,
-    TICKET_FIELDS,
-    BestMatches,
-    QueryBlock,
-)
+from pulseward.functions.matching import SIMILARITY_DIGITS
 from pulseward.functions.numeric import key_id, round_stable
 from pulseward.functions.text import strip
 from pulseward.functions.vectors import cosine_to, vector_normalize
@@ -38,10 +30,6 @@ TICKET_DEFAULTS = {
 SEARCH_LIMIT = 5
 SEARCH_MIN, CITATION_MIN, FALLBACK_MIN = 0.50, 0.40, 0.35
 
-# Queries up to this number go to every task; more are matched block by block.
-BROADCAST_QUERIES = 4096
-TICKETS_PER_BLOCK = 20_000
-
 # Results known to have no more rows than this are broadcast to the table they are joined to.
 BROADCAST_ROWS = 100_000
 
@@ -106,7 +94,7 @@ def ticket_topk(
     """The most similar tickets, as a distributed top-k: each task sends at most ``limit`` rows.
 
     Only ids and vectors are scored; the other columns are fetched for the
-    ``limit`` winners.
+    ``limit`` winners. Scores are compared before they are rounded for display.
     """
     scored = (
         df.where(F.col("embedding").isNotNull())
@@ -115,7 +103,8 @@ def ticket_topk(
         .orderBy(F.desc("similarity_score"), "ticket_id")
         .limit(limit)
     )
-    return df.drop("embedding").join(small(scored, limit), "ticket_id")
+    shown = scored.withColumn("similarity_score", F.round("similarity_score", 6))
+    return df.drop("embedding").join(small(shown, limit), "ticket_id")
 
 
 def search_tickets(df: DataFrame, query: str, limit: int = SEARCH_LIMIT, min_similarity: float = SEARCH_MIN) -> DataFrame:
@@ -139,76 +128,6 @@ def citations(matches: DataFrame) -> DataFrame:
     return matches.select(*citation_fields())
 
 
-def _broadcast_matches(rows: pa.Table, tickets: DataFrame, k: int, strict_min: float, broad_min: float) -> DataFrame:
-    held = tickets.sparkSession.sparkContext.broadcast(rows)
-
-    def match(batches):
-        best = BestMatches(QueryBlock(held.value), k, strict_min, broad_min)
-        for batch in batches:
-            best.add(batch)
-        yield from best.table().to_batches()
-
-    return tickets.select(*TICKET_FIELDS).mapInArrow(match, MATCH_SCHEMA)
-
-
-def _blockwise_matches(
-    queries: DataFrame, tickets: DataFrame, k: int, strict_min: float, broad_min: float, per_block: int
-) -> DataFrame:
-    query_blocks = max(1, -(-queries.count() // per_block))
-    ticket_blocks = max(1, -(-tickets.count() // TICKETS_PER_BLOCK))
-
-    def spread(df: DataFrame, key: str, mine: str, blocks: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        )
-
-    left = spread(queries.select(*QUERY_FIELDS), "query_id", "qb", query_blocks, "tb", ticket_blocks)
-    right = spread(tickets.select(*TICKET_FIELDS), "ticket_id", "tb", ticket_blocks, "qb", query_blocks)
-
-    def match(some_queries: pa.Table, some_tickets: pa.Table) -> pa.Table:
-        best = BestMatches(QueryBlock(some_queries), k, strict_min, broad_min)
-        best.add(some_tickets)
-        return best.table()
-
-    return left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInArrow(match, MATCH_SCHEMA)
-
-
-def nearest_tickets(
-    queries: DataFrame,
-    tickets: DataFrame,
-    k: int = SEARCH_LIMIT,
-    strict_min: float = CITATION_MIN,
-    broad_min: float = FALLBACK_MIN,
-    broadcast_queries: int = BROADCAST_QUERIES,
-) -> DataFrame:
-    """The k best tickets of every query within its filters, else within its dataset.
-
-    Exact: every ticket is scored against every query, as matrix products of
-    blocks, and a task keeps the best k per query, so pairs are never rows. Up to
-    ``broadcast_queries`` queries (counted by a small job) are sent to all tasks
-    and the tickets stay where they are; beyond that both sides are hashed into
-    blocks of bounded size and each pair of blocks is one group, whatever the
-    spread of the labels.
-    """
-    usable = tickets.where(F.col("embedding").isNotNull())
-    head = queries.select(*QUERY_FIELDS).limit(broadcast_queries + 1).toArrow()
-    if head.num_rows <= broadcast_queries:
-        local = _broadcast_matches(head, usable, k, strict_min, broad_min)
-    else:
-        local = _blockwise_matches(queries, usable, k, strict_min, broad_min, broadcast_queries)
-
-    best = Window.partitionBy("query_id", "pass").orderBy(F.desc("similarity"), "ticket_id")
-    ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    first_pass = F.min("pass").over(Window.partitionBy("query_id"))
-    chosen = (
-        ranked.withColumn("first_pass", first_pass)
-        .where(F.col("pass") == F.col("first_pass"))
-        .select("query_id", "rank", (F.col("pass") == 1).alias("is_fallback"), "ticket_id", F.col("similarity").alias("similarity_score"))
-    )
-    # k rows per query: fetching the winners' texts then needs no shuffle of the tickets
-    return small(chosen, k * head.num_rows) if head.num_rows <= broadcast_queries else chosen
-
-
 def matched_citations(matches: DataFrame, tickets: DataFrame) -> DataFrame:
     """Matches with the citation fields of their tickets."""
     fields = tickets.select("ticket_id", "customer_id", "issue_category", "subject", "message")

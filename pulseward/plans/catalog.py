@@ -21,6 +21,7 @@ from pulseward.operators import (
     evidence,
     inference,
     ingestion,
+    nearest,
     reports,
     sandbox,
     scorecard,
@@ -31,7 +32,7 @@ from pulseward.operators import (
 from pulseward.operators.signals import DetectorSettings, scan_metrics, score_series
 from pulseward.plans import investigate, store, uploads, views
 from pulseward.schemas import ANOMALY_EVENTS, CITATION, DAILY_METRICS
-from pulseward.session import scratch_path
+from pulseward.session import scratch_path, staged
 from pulseward.sources import files
 from pulseward.streaming import incremental
 
@@ -237,7 +238,7 @@ def next_open_anomaly(spark, sf_dir):
 @register
 def feed_sorted(spark, sf_dir):
     """The whole feed in each order, as all of its rows; the joined feed is written once."""
-    joined = store.staged(events.with_report(ticket_events(spark, sf_dir), plain_reports(spark, sf_dir)), "feed")
+    joined = staged(events.with_report(ticket_events(spark, sf_dir), plain_reports(spark, sf_dir)), "feed")
     ranked = [
         events.sorted_feed(joined, mode).select(F.lit(mode).alias("mode"), "id", "severity")
         for mode in ("confidence", "severity", "date")
@@ -662,7 +663,7 @@ def anchored_queries(spark, sf_dir, found: DataFrame) -> DataFrame:
 @register
 def citations_with_fallback(spark, sf_dir):
     asked = anchored_queries(spark, sf_dir, stored_ticket_events(spark, sf_dir))
-    found = tickets.nearest_tickets(asked, views.tickets(spark, sf_dir), 5, 0.20, 0.15)
+    found = nearest.nearest_tickets(asked, views.tickets(spark, sf_dir), 5, 0.20, 0.15)
     return present(tickets.matched_citations(found, views.tickets(spark, sf_dir, False)))
 
 
@@ -670,7 +671,7 @@ def citations_with_fallback(spark, sf_dir):
 def citations_by_text(spark, sf_dir):
     """Lexical vectors on both sides: the words of segment and metric against whole messages."""
     stored = tickets.embed_tickets(views.tickets(spark, sf_dir, False))
-    found = tickets.nearest_tickets(tickets.anomaly_queries(ticket_events(spark, sf_dir)), stored, 5, 0.02, 0.01)
+    found = nearest.nearest_tickets(tickets.anomaly_queries(ticket_events(spark, sf_dir)), stored, 5, 0.02, 0.01)
     return present(found.select("query_id", "rank", "is_fallback", "ticket_id", "similarity_score"), 4)
 
 

@@ -16,7 +16,8 @@ from pulseward.operators.complaints import ComplaintExport, complaint_daily
 from pulseward.operators.inference import TableRoles, infer_roles
 from pulseward.operators.ingestion import ingest_head, ingest_metrics, ingest_summary, ingest_tickets
 from pulseward.operators.tickets import embed_tickets
-from pulseward.plans.store import append_metrics, append_tickets, staged
+from pulseward.plans.store import append_metrics, append_tickets
+from pulseward.session import staged
 from pulseward.sources.files import read_complaints, read_table
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulseward.functions.embedding import hash_embed
 from pulseward.operators.events import STATUS_ORDER, pending
 from pulseward.operators.evidence import sql_evidence
+from pulseward.operators.nearest import nearest_tickets
 from pulseward.operators.reports import build_reports, report_documents
 from pulseward.operators.tickets import (
     CITATION_MIN,
@@ -18,7 +19,6 @@ from pulseward.operators.tickets import (
     anomaly_queries,
     citation_arrays,
     matched_citations,
-    nearest_tickets,
 )
 from pulseward.plans.store import PARTITION, append_rows, read_stored, write_documents
 from pulseward.schemas import ANOMALY_EVENTS, CITATION, DAILY_METRICS, REPORTS, STATUS_LOG, TICKETS

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseward.session import scratch_path
 from pulseward.sources.files import path_exists
 
 PARTITION = "dataset_source"
@@ -53,13 +52,6 @@ def clear_table(spark: SparkSession, path: str, schema: str) -> None:
     empty.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back, for results that are used several times."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def write_documents(documents: DataFrame, path: str) -> None:
     """One Markdown file per report, in a folder named by its anomaly."""
     documents.write.mode("append").partitionBy("anomaly_id").text(path)

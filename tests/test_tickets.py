@@ -1,3 +1,4 @@
+import re
 from datetime import date, datetime
 
 import numpy as np
@@ -5,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseward.functions.embedding import embed_with, hash_embed, hash_embed_text
-from pulseward.functions.matching import contains_pattern
 from pulseward.functions.vectors import cosine_to, vector_normalize
+from pulseward.operators import nearest
 from pulseward.operators import tickets as t
 from pulseward.schemas import TICKETS
 
@@ -42,16 +43,25 @@ def store(spark):
 
 def cosine(a, b):
     a, b = np.array(a, dtype=np.float32).astype(float), np.array(b, dtype=float)
-    size = np.linalg.norm(a) * np.linalg.norm(b)
-    return round(float(a @ b / size), 6) if size else None
+    size = np.linalg.norm(a) * np.linalg.norm(b) if len(a) == len(b) else 0
+    return float(a @ b / size) if size else None
 
 
 def test_topk_equals_brute_force(spark, store):
     query = [1.0, -0.5, 0.25, 0.0, 2.0, -1.0, 0.5, 0.1]
     got = [(r.ticket_id, r.similarity_score) for r in t.ticket_topk(store, query, 7, 0.1).collect()]
+    assert t.ticket_topk(store, query, 300, 0.1).count() == sum(1 for r in store.collect() if r.embedding and (cosine(r.embedding, query) or 0) >= 0.1)
     scored = [(r.ticket_id, cosine(r.embedding, query)) for r in store.collect() if r.embedding]
     want = sorted([s for s in scored if s[1] is not None and s[1] >= 0.1], key=lambda s: (-s[1], s[0]))[:7]
-    assert sorted(got) == sorted(want)
+    assert sorted(got) == sorted((i, round(s, 6)) for i, s in want)
+
+
+def test_scores_just_below_a_threshold_stay_out(spark, store):
+    c = 0.3999996
+    rows = [(i, [x, (1 - x * x) ** 0.5]) for i, x in ((1, c), (2, 0.4000003), (3, 0.4000001))]
+    df = spark.createDataFrame(rows, "ticket_id bigint, embedding array<float>")
+    assert [r.ticket_id for r in t.ticket_topk(df, [1.0, 0.0], 5, 0.4).orderBy("ticket_id").collect()] == [2, 3]
+    assert [r.ticket_id for r in t.ticket_topk(df, [1.0, 0.0], 1, 0.4).collect()] == [2]
 
 
 def test_zero_and_mismatched_vectors_have_no_similarity(spark):
@@ -60,49 +70,89 @@ def test_zero_and_mismatched_vectors_have_no_similarity(spark):
     assert got[:3] == [None, None, None] and abs(got[3] - 0.5**0.5) < 1e-7
 
 
+def part_of(label, wanted):
+    """Whether a label has the wish in it; wildcards as in LIKE."""
+    if not wanted or not wanted.strip():
+        return True
+    body = "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in wanted.strip())
+    return label is not None and re.search(body, label, re.I | re.S) is not None
+
+
 def brute(queries, rows, k, strict_min, broad_min):
     out = set()
     for q in queries:
-        mine = [r for r in rows if r.embedding and r.dataset_source == q["dataset_source"]]
-        scored = [(r, cosine(r.embedding, q["query_vector"])) for r in mine]
-        scored = [(r, s) for r, s in scored if s is not None]
+        mine = [r for r in rows if r.embedding and (q["dataset_source"] is None or r.dataset_source == q["dataset_source"])]
+        scored = [(r, cosine(r.embedding, q["query_vector"])) for r in mine] if q["query_vector"] else []
+        scored = [(r, round(s, 12)) for r, s in scored if s is not None]
         strict = [
             (r, s)
             for r, s in scored
             if s >= strict_min
-            and r.region == q["region"]
-            and contains_pattern(q["product_name"]).search(r.product_name)
-            and q["customer_tier"].lower() in r.customer_tier.lower()
+            and (not q["region"] or r.region == q["region"])
+            and part_of(r.product_name, q["product_name"])
+            and part_of(r.customer_tier, q["customer_tier"])
         ]
         chosen = strict or [(r, s) for r, s in scored if s >= broad_min]
         for rank, (r, s) in enumerate(sorted(chosen, key=lambda p: (-p[1], p[0].ticket_id))[:k], 1):
-            out.add((q["query_id"], rank, not strict, r.ticket_id, s))
+            out.add((q["query_id"], rank, not strict, r.ticket_id, round(s, 9)))
     return out
 
 
-@pytest.mark.parametrize("broadcast", [1000, 3])
-def test_nearest_tickets_equal_brute_force(spark, store, broadcast, monkeypatch):
-    monkeypatch.setattr(t, "TICKETS_PER_BLOCK", 70)
-    rng = np.random.default_rng(5)
-    asked = [
+ASKED = "query_id bigint, dataset_source string, region string, product_name string, customer_tier string, query_vector array<double>"
+
+
+def asked_of(rng, n, width):
+    return [
         {
             "query_id": i,
-            "dataset_source": "A" if i % 2 else "B",
-            "region": "NSEX"[i % 4],
-            "product_name": ["prod 1", "PROD_2", "%3", "none"][i % 4],
-            "customer_tier": "retail",
-            "query_vector": [float(v) for v in rng.normal(size=8)],
+            "dataset_source": [None, "A", "B"][i % 3] if i % 5 else "A",
+            "region": ["N", "S", "E", "X", None, ""][i % 6],
+            "product_name": ["prod 1", "PROD_2", "%3", "none", None, " ", "a\\b"][i % 7],
+            "customer_tier": ["retail", None, "ENTER"][i % 3],
+            "query_vector": None if i % 19 == 18 else [0.0] * width if i % 23 == 22 else [float(v) for v in rng.normal(size=width)],
         }
-        for i in range(10)
+        for i in range(n)
     ]
-    queries = spark.createDataFrame(
-        [tuple(q.values()) for q in asked],
-        "query_id bigint, dataset_source string, region string, product_name string, customer_tier string, query_vector array<double>",
-    )
-    found = t.nearest_tickets(queries, store.repartition(6), 4, 0.3, 0.2, broadcast_queries=broadcast).collect()
-    got = {(r.query_id, r.rank, r.is_fallback, r.ticket_id, r.similarity_score) for r in found}
-    assert got == brute(asked, store.collect(), 4, 0.3, 0.2)
-    assert {r.is_fallback for r in found} == {True, False}
+
+
+def matches(spark, asked, tickets, *limits, counts=None):
+    queries = spark.createDataFrame([tuple(q.values()) for q in asked], ASKED)
+    found = nearest.nearest_tickets(queries, tickets, *limits, counts=counts).collect()
+    return {(r.query_id, r.rank, r.is_fallback, r.ticket_id, round(r.similarity_score, 9)) for r in found}
+
+
+@pytest.mark.parametrize("together", [4096, 10])
+def test_nearest_tickets_equal_brute_force(spark, store, together, monkeypatch):
+    monkeypatch.setattr(nearest, "CELL_TICKETS", together)
+    monkeypatch.setattr(nearest, "FEWEST_TICKETS", 40)
+    asked = asked_of(np.random.default_rng(5), 60, 8)
+    odd = [(900, None, None, None, None, [1.0] * 8), (901, "A", None, "Prod 1", None, [1.0] * 8), (902, "A", "N", "Prod 1", "Retail", [1.0] * 3)]
+    more = spark.createDataFrame(odd, "ticket_id bigint, dataset_source string, region string, product_name string, customer_tier string, embedding array<float>")
+    rows = store.select(*nearest.TICKET_FIELDS).unionByName(more).repartition(6)
+    got = matches(spark, asked, rows, 4, 0.3, 0.2)
+    assert got == brute(asked, rows.collect(), 4, 0.3, 0.2) and {g[2] for g in got} == {True, False}
+    assert matches(spark, asked, rows.limit(0), 4, 0.3, 0.2) == set()
+
+
+def test_nearest_tickets_skip_clusters_that_cannot_reach_the_best(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 24))
+    vectors = centres[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 24)) * 0.15
+    vectors[:2000] = vectors[0]  # a third of all tickets are the same
+    rows = [(i, "A", "N" if i % 3 else "S", "P", "T", v.tolist()) for i, v in enumerate(vectors)]
+    tickets = spark.createDataFrame(rows, "ticket_id bigint, dataset_source string, region string, product_name string, customer_tier string, embedding array<float>")
+    asked = [
+        {"query_id": i, "dataset_source": "A", "region": None if i % 2 else "S", "product_name": None, "customer_tier": None,
+         "query_vector": (centres[i % 30] + rng.normal(size=24) * 0.15).tolist()}
+        for i in range(40)
+    ]
+    sc = spark.sparkContext
+    counts = sc.accumulator(0), sc.accumulator(0)
+    got = matches(spark, asked, tickets, 5, 0.3, 0.2, counts=counts)
+    assert got == brute(asked, tickets.collect(), 5, 0.3, 0.2)
+    allowed = sum(6000 if q["region"] is None else 2000 for q in asked)
+    print("share of tickets not compared:", 1 - counts[0].value / allowed)
+    assert counts[0].value < 0.4 * allowed and counts[1].value > 0
 
 
 def test_filters(spark, store):
