@@ -71,27 +71,24 @@ def _walk(features, base, split_on, threshold, cost, depth):
     return paths
 
 
-def forest_scores(features: np.ndarray, days: np.ndarray, seed: int, contamination: float):
-    """Decision value and outlier flag for every row of one slice."""
-    n, width = features.shape
-    psi = min(SUBSAMPLE, n)
+def _grow(features, rows, seed, paths=None):
+    """All trees, each on its own rows: first slot of each tree, and split feature, threshold and path length by slot.
+
+    Adds each row's path lengths to ``paths`` if given, where every tree holds every row once.
+    """
+    psi = rows.shape[1]
     depth = math.ceil(math.log2(max(psi, 2)))
     trees = np.arange(TREES, dtype=np.int64)
-
-    if n > psi:
-        rows = np.empty((TREES, psi), dtype=np.int64)
-        for t in trees:
-            rows[t] = np.lexsort((days, mix(seed, t, days, PICK_ROWS)))[:psi]
-    else:
-        rows = np.broadcast_to(np.arange(n), (TREES, n))
-
     slots = TREES << (depth + 1)  # heap-numbered nodes of every tree side by side
     base = trees[:, None] << (depth + 1)
     count = np.zeros(slots, dtype=np.int64)
     split_on = np.full(slots, -1, dtype=np.int64)
     threshold = np.zeros(slots)
 
-    paths = np.zeros(n)
+    def reached(sample, at, level):
+        if paths is not None:
+            paths[:] += np.bincount(sample, weights=level + average_path(count[at]), minlength=len(paths))
+
     sample = rows.ravel()
     at = np.broadcast_to(base + 1, rows.shape).ravel()
     for level in range(depth + 1):
@@ -103,7 +100,7 @@ def forest_scores(features: np.ndarray, days: np.ndarray, seed: int, contaminati
         nodes = at[start]
         count[nodes] = np.diff(np.r_[start, len(at)])
         if level == depth:
-            paths += np.bincount(sample, weights=level + average_path(count[at]), minlength=n)
+            reached(sample, at, level)
             break
         values = features[sample]
         low = np.minimum.reduceat(values, start, axis=0)
@@ -121,14 +118,71 @@ def forest_scores(features: np.ndarray, days: np.ndarray, seed: int, contaminati
         threshold[nodes] = cut
 
         inner = split_on[at] >= 0
-        leaves = ~inner
-        paths += np.bincount(sample[leaves], weights=level + average_path(count[at[leaves]]), minlength=n)
+        reached(sample[~inner], at[~inner], level)
         sample, at = sample[inner], at[inner]
         right = features[sample, split_on[at]] > threshold[at]
         at = at + (at & ((1 << (depth + 1)) - 1)) + right  # doubles the heap number, keeps the tree
+    return base, split_on, threshold, average_path(count), depth
+
 
+def _scores(paths, psi):
+    return -np.round(np.power(2.0, -(paths / TREES) / float(average_path(psi))), 8)
+
+
+def forest_scores(features: np.ndarray, days: np.ndarray, seed: int, contamination: float):
+    """Decision value and outlier flag for every row of one slice."""
+    n = len(features)
+    psi = min(SUBSAMPLE, n)
     if n > psi:  # rows outside a tree's sample still have to walk down it
-        paths = _walk(features, base, split_on, threshold, average_path(count), depth)
-    scores = -np.round(np.power(2.0, -(paths / TREES) / float(average_path(psi))), 8)
+        rows = np.empty((TREES, psi), dtype=np.int64)
+        for t in range(TREES):
+            rows[t] = np.lexsort((days, mix(seed, t, days, PICK_ROWS)))[:psi]
+        paths = _walk(features, *_grow(features, rows, seed))
+    else:
+        paths = np.zeros(n)
+        _grow(features, np.broadcast_to(np.arange(n), (TREES, n)), seed, paths)
+    scores = _scores(paths, psi)
     decision = np.round(scores - np.percentile(scores, 100.0 * contamination), 8)
     return decision, decision < 0
+
+
+def _sampled_days(days: np.ndarray, gaps: np.ndarray, seed: int, psi: int) -> np.ndarray:
+    """The days each tree samples: the first ``psi`` by the mixer among all days, gaps included, a stretch of days at a time."""
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * TREES
+    ends = np.cumsum(gaps + 1)
+    for start in range(0, int(ends[-1]), SCORED_CELLS):
+        number = np.arange(start, min(start + SCORED_CELLS, int(ends[-1])))
+        run = np.searchsorted(ends, number, "right")
+        day = days[run] + number - (ends[run] - gaps[run] - 1)
+        for t in range(TREES):
+            drawn, held = np.concatenate((best[t][0], mix(seed, t, day, PICK_ROWS))), np.concatenate((best[t][1], day))
+            if len(held) > psi:
+                bar = np.partition(drawn, psi - 1)[psi - 1]
+                near = np.flatnonzero(drawn <= bar)
+                first = near[np.lexsort((held[near], drawn[near]))[:psi]]
+                drawn, held = drawn[first], held[first]
+            best[t] = drawn, held
+    return np.stack([held for _, held in best])
+
+
+def run_forest_scores(observed: np.ndarray, filled: np.ndarray, days: np.ndarray, gaps: np.ndarray, seed: int, contamination: float):
+    """Decision value and outlier flag of the observed days of one slice whose gaps are given by their lengths.
+
+    Run ``i`` is an observed day and the ``gaps[i]`` days after it, whose features are ``filled[i]``. The result is that of
+    ``forest_scores`` over all days, but a gap is one point with a weight.
+    """
+    n, count = int((gaps + 1).sum()), len(days)
+    psi = min(SUBSAMPLE, n)
+    points = np.concatenate((observed, filled))
+    picked = _sampled_days(days, gaps, seed, psi)
+    run = np.searchsorted(days, picked, "right") - 1
+    rows = np.where(days[run] == picked, run, run + count)
+    scores = _scores(_walk(points, *_grow(points, rows, seed)), psi)
+    weights = np.concatenate((np.ones(count, np.int64), gaps))
+    order = np.argsort(scores, kind="stable")
+    upto = np.cumsum(weights[order])
+    place = contamination * (n - 1)
+    low = scores[order][np.searchsorted(upto, math.floor(place), "right")]
+    high = scores[order][np.searchsorted(upto, min(math.floor(place) + 1, n - 1), "right")]
+    decision = np.round(scores[:count] - (low + (high - low) * (place - math.floor(place))), 8)
+    return decision, decision < 0

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseward.functions.isolation import forest_scores, slice_seed
+from pulseward.functions.isolation import forest_scores, run_forest_scores, slice_seed
+from pulseward.operators.series import ZEROED_METRICS
 from pulseward.schemas import SLICE_COLUMNS
 
 # Fixed values of the detector.
@@ -39,7 +40,8 @@ def isolation_forest(
     """Add ``iso_score`` (negative is unusual) and ``is_isolated``.
 
     Slices of fewer than seven days, or tables with fewer than two of the feature
-    columns, get 0 and false. ``co_located`` says that every slice lies in one
+    columns, get 0 and false. Rows with ``gap_days`` stand for themselves and so many
+    days after them, which differ by their volume of zero. ``co_located`` says that every slice lies in one
     partition already, as it does in the output of a window over the slice; that
     saves the exchange, and the planner drops the sort.
     """
@@ -54,6 +56,7 @@ def isolation_forest(
         ]
     )
     names = list(slice_cols)
+    runs, volumes = "gap_days" in df.columns, np.array([c in ZEROED_METRICS for c in features])
 
     def slice_starts(table: pa.Table) -> np.ndarray:
         changes = np.zeros(table.num_rows, dtype=bool)
@@ -68,11 +71,18 @@ def isolation_forest(
         matrix = np.column_stack([np.nan_to_num(table[c].to_numpy().astype(np.float64), nan=0.0) for c in features])
         days = table[date_col].cast(pa.int32()).to_numpy().astype(np.int64)
         labels = zip(*[table[c].take(pa.array(starts)).to_pylist() for c in names])
+        gaps = table["gap_days"].to_numpy().astype(np.int64) if runs else np.zeros(n, np.int64)
+        filled = np.where(volumes, 0.0, matrix)
         score, flag = np.zeros(n), np.zeros(n, dtype=bool)
         for start, end, label in zip(starts, np.append(starts[1:], n), labels):
-            if end - start >= MIN_ROWS:
-                seed = slice_seed("|".join(map(str, label)))
-                score[start:end], flag[start:end] = forest_scores(matrix[start:end], days[start:end], seed, contamination)
+            if end - start + gaps[start:end].sum() < MIN_ROWS:
+                continue
+            mine, seed = slice(start, end), slice_seed("|".join(map(str, label)))
+            if gaps[mine].any():
+                found = run_forest_scores(matrix[mine], filled[mine], days[mine], gaps[mine], seed, contamination)
+            else:
+                found = forest_scores(matrix[mine], days[mine], seed, contamination)
+            score[mine], flag[mine] = found
         full = table.append_column("iso_score", pa.array(score)).append_column("is_isolated", pa.array(flag))
         yield from full.combine_chunks().to_batches()
 

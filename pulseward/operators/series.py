@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +110,75 @@ def calendar_fill(
     )
 
 
+def day_runs(
+    df: DataFrame,
+    slice_cols: Sequence[str] = SLICE_COLUMNS,
+    date_col: str = "metric_date",
+    fill_gaps: bool = True,
+) -> DataFrame:
+    """The series of ``calendar_fill`` by runs: the observed rows only, each with ``gap_days``, the days without data after it.
+
+    Rates and latencies are carried as there, so a gap repeats its row's; its volumes are zero. ``place`` numbers the days (the rows,
+    without ``fill_gaps``). A gap of any length is one number here.
+    """
+    ordered = Window.partitionBy(*slice_cols).orderBy(date_col)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = [c for c in CARRIED_METRICS if c in df.columns]
+    zeroed = [c for c in ZEROED_METRICS if c in df.columns]
+    value = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.first(c, ignorenulls=True).over(whole)) if fill_gaps else F.col(c)
+    volume = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if fill_gaps else F.col(c)
+    gap = F.coalesce(F.datediff(F.lead(date_col).over(ordered), F.col(date_col)) - 1, F.lit(0)) if fill_gaps else F.lit(0)
+    place = F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date")) if fill_gaps else F.row_number().over(ordered)
+    return (
+        df.select(
+            *slice_cols,
+            date_col,
+            *[value(c).alias(c) for c in carried],
+            *[volume(c).alias(c) for c in zeroed],
+            gap.alias("gap_days"),
+            place.alias("place"),
+            F.count("*").over(whole).alias("slice_rows"),
+        )
+        .where(F.col("slice_rows") >= MIN_PERIODS)
+        .drop("slice_rows")
+    )
+
+
+def run_baseline(
+    df: DataFrame,
+    window_days: int = 14,
+    slice_cols: Sequence[str] = SLICE_COLUMNS,
+    date_col: str = "metric_date",
+) -> DataFrame:
+    """``rolling_baseline`` of the observed rows of ``day_runs``: a run counts by its days inside the window.
+
+    A window of so many days meets at most as many runs, the one that reaches into it included.
+    """
+    trailing = Window.partitionBy(*slice_cols).orderBy(date_col).rowsBetween(-(window_days - 1), Window.currentRow)
+    metrics = [m for m in BASELINE_METRICS if m in df.columns]
+    recent = df.select("*", F.collect_list(F.struct("place", *metrics)).over(trailing).alias("__recent"))
+    # A run ends where the next one starts; the current row's days are the window's last one.
+    later = F.concat(F.slice(F.transform("__recent", lambda r: r["place"]), 2, window_days), F.array(F.col("place") + 1))
+    days = F.zip_with("__recent", later, lambda r, after: F.greatest(F.lit(0), after - F.greatest(r["place"], F.col("place") - (window_days - 1))))
+    weighed = recent.select("*", days.alias("__days"))
+
+    def total(metric: str, term) -> Column:
+        parts = F.zip_with("__recent", "__days", lambda r, n: F.when(r[metric].isNotNull(), n * term(r[metric])))
+        return F.aggregate(parts, F.lit(0.0), lambda sum_, x: sum_ + F.coalesce(x, F.lit(0.0)))
+
+    counted = weighed.select("*", *[total(m, lambda v: F.lit(1.0)).alias(f"n_{m}") for m in metrics])
+    averaged = counted.select(
+        "*", *[F.when(F.col(f"n_{m}") >= MIN_PERIODS, total(m, lambda v: v) / F.col(f"n_{m}")).alias(f"mean_{m}") for m in metrics]
+    )
+    spreads = []
+    for m in metrics:
+        squares = total(m, lambda v, m=m: (v - F.col(f"mean_{m}")) * (v - F.col(f"mean_{m}")))
+        spread = F.sqrt(squares / (F.col(f"n_{m}") - 1))
+        spreads.append(F.when((F.col(f"n_{m}") >= MIN_PERIODS) & (spread > NOISE), spread).otherwise(F.lit(DEVIATION_FLOOR[m])).alias(f"sd_{m}"))
+    return averaged.select(*df.columns, *[f"mean_{m}" for m in metrics], *spreads)
+
+
 def rolling_baseline(
     df: DataFrame,
     window_days: int = 14,

@@ -14,9 +14,11 @@ from pulseward.operators.forest import isolation_forest, without_forest
 from pulseward.operators.series import (
     BASELINE_METRICS,
     calendar_fill,
+    day_runs,
     dedupe_slices,
     rolling_baseline,
     rolling_zscore,
+    run_baseline,
 )
 from pulseward.schemas import SLICE_COLUMNS
 
@@ -37,7 +39,7 @@ def extract_signals(
     rules = [r for r in ALERT_RULES if r.metric in scored.columns]
     isolated = F.col("is_isolated")
     return (
-        scored.where("is_observed")
+        (scored.where("is_observed") if "is_observed" in scored.columns else scored)
         .select(
             *slice_cols,
             "metric_date",
@@ -50,24 +52,36 @@ def extract_signals(
     )
 
 
-def score_series(
-    metrics: DataFrame, settings: DetectorSettings = DetectorSettings(), slice_cols: Sequence[str] = SLICE_COLUMNS
-) -> DataFrame:
-    """Dedupe, fill, baseline and forest for every slice of a metrics table.
-
-    Only the columns the rules and the forest look at are read and carried along.
-    """
+def _deduped(metrics: DataFrame, slice_cols: Sequence[str]) -> DataFrame:
+    """One row per slice and day, with the columns the rules and the forest look at; no others are read and carried along."""
     wanted = [*slice_cols, "metric_date", *BASELINE_METRICS, "daily_spend_amount", "merchant_category", "id"]
-    slim = metrics.select(*[c for c in wanted if c in metrics.columns])
-    # the exchange of the windows in here is the only one on the slice; the forest works inside its partitions
-    filled = calendar_fill(dedupe_slices(slim, slice_cols), slice_cols, fill_gaps=settings.fill_gaps)
-    scored = rolling_zscore(rolling_baseline(filled, settings.window_days, slice_cols))
-    scored = scored.drop(*[f"{stat}_{m}" for stat in ("mean", "sd") for m in BASELINE_METRICS])
+    return dedupe_slices(metrics.select(*[c for c in wanted if c in metrics.columns]), slice_cols)
+
+
+def _scored(based: DataFrame, settings: DetectorSettings, slice_cols: Sequence[str]) -> DataFrame:
+    # the exchange of the windows before is the only one on the slice; the forest works inside its partitions
+    scored = rolling_zscore(based).drop(*[f"{stat}_{m}" for stat in ("mean", "sd") for m in BASELINE_METRICS])
     if settings.use_forest:
         return isolation_forest(scored, settings.contamination, slice_cols, co_located=True)
     return without_forest(scored)
 
 
+def score_series(
+    metrics: DataFrame, settings: DetectorSettings = DetectorSettings(), slice_cols: Sequence[str] = SLICE_COLUMNS
+) -> DataFrame:
+    """Dedupe, fill, baseline and forest for every day of every slice of a metrics table."""
+    filled = calendar_fill(_deduped(metrics, slice_cols), slice_cols, fill_gaps=settings.fill_gaps)
+    return _scored(rolling_baseline(filled, settings.window_days, slice_cols), settings, slice_cols)
+
+
+def score_runs(
+    metrics: DataFrame, settings: DetectorSettings = DetectorSettings(), slice_cols: Sequence[str] = SLICE_COLUMNS
+) -> DataFrame:
+    """``score_series`` of the observed days: gaps count by their lengths and are never made into rows."""
+    runs = day_runs(_deduped(metrics, slice_cols), slice_cols, fill_gaps=settings.fill_gaps)
+    return _scored(run_baseline(runs, settings.window_days, slice_cols), settings, slice_cols)
+
+
 def scan_metrics(metrics: DataFrame, settings: DetectorSettings = DetectorSettings()) -> DataFrame:
     """Signals of a metrics table that may lack slice or metric columns.
 
@@ -85,4 +99,4 @@ def scan_metrics(metrics: DataFrame, settings: DetectorSettings = DetectorSettin
     labelled = labelled.select(
         *[F.col(c).cast("string").alias(c) if c in SLICE_COLUMNS else F.col(c) for c in labelled.columns]
     )
-    return extract_signals(score_series(labelled, settings), settings.z_threshold)
+    return extract_signals(score_runs(labelled, settings), settings.z_threshold)

@@ -1,10 +1,13 @@
+import time
 from datetime import date, timedelta
 
 import numpy as np
+import pytest
 
+from pulseward.functions import isolation
 from pulseward.functions.isolation import MODULUS, PICK_FEATURE, PICK_THRESHOLD, TREES, average_path, forest_scores, mix
 from pulseward.operators.forest import isolation_forest
-from pulseward.operators.signals import DetectorSettings, scan_metrics, score_series
+from pulseward.operators.signals import DetectorSettings, extract_signals, scan_metrics, score_runs, score_series
 
 COLUMNS = (
     "metric_date date, region string, product_name string, customer_tier string, daily_spend_amount double, "
@@ -132,3 +135,61 @@ def test_short_slices_are_not_scored(spark):
     rows = [(date(2026, 1, 1) + timedelta(days=i), "R", "P", "T", 1.0, 90.0 if i else 99.0, 900.0, 1.6) for i in range(5)]
     found = scan_metrics(spark.createDataFrame(rows, COLUMNS)).collect()
     assert all(s.isolation_score == 0.0 for s in found)
+
+
+RUNS = (
+    "region string, product_name string, customer_tier string, metric_date date, daily_spend_amount double, success_rate_pct double, "
+    "avg_latency_ms double, chargeback_rate_pct double"
+)
+
+
+def sparse_rows(seed, slices, span, share):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(slices):
+        for day in range(span):
+            if rng.random() < share:
+                value = lambda lo, hi: None if rng.random() < 0.1 else float(np.round(rng.uniform(lo, hi), 2))
+                rows.append((f"R{i}", "P", "T", date(2020, 1, 1) + timedelta(days=day), value(0, 900), value(70, 100), value(100, 2500), value(0, 6)))
+    return rows
+
+
+@pytest.mark.parametrize("span, share, window, fill", [(60, 0.4, 14, True), (900, 0.15, 14, True), (200, 0.7, 5, True), (120, 0.5, 14, False)])
+def test_runs_score_observed_days_as_the_filled_calendar_does(spark, span, share, window, fill):
+    df = spark.createDataFrame(sparse_rows(span, 4, span, share) + [("E", "P", "T", date(2020, 1, d), None, None, 5.0, None) for d in (1, 9, 30)], RUNS)
+    chosen = DetectorSettings(window_days=window, fill_gaps=fill)
+    by_day = score_series(df, chosen).where("is_observed").drop("is_observed")
+    by_run = score_runs(df, chosen).select(*by_day.columns)
+    key = ["region", "metric_date"]
+    a, b = (x.orderBy(*key).toPandas() for x in (by_day, by_run))
+    assert len(a) == len(b) > 50 and a[key].equals(b[key]) and a["is_isolated"].equals(b["is_isolated"])
+    for c in a.columns.drop(key + ["product_name", "customer_tier", "is_isolated"]):
+        np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), atol=1e-6, err_msg=c)
+    signals = lambda scored: {tuple(r) for r in extract_signals(scored).drop("z_score", "isolation_score").collect()}
+    assert signals(by_day) == signals(by_run)
+
+
+def test_a_gap_of_thousands_of_years_is_one_run(spark):
+    rows = [("R", "P", "T", d, 10.0, v, 100.0, 0.1) for d, v in ((date(1, 1, 1), 99.0), (date(2024, 1, 1), 98.0), (date(2024, 1, 2), 60.0), (date(9999, 12, 31), 99.0))]
+    start = time.perf_counter()
+    (plunge,) = scan_metrics(spark.createDataFrame(rows, RUNS)).collect()
+    assert plunge.metric_date == date(2024, 1, 2) and time.perf_counter() - start < 60
+    plan = scan_metrics(spark.createDataFrame(rows, RUNS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Generate explode(sequence" not in plan
+
+
+def test_weighted_percentile_and_samples_equal_the_expanded_ones():
+    rng = np.random.default_rng(4)
+    for n in (5, 40, 300):
+        days = np.cumsum(rng.integers(1, 9, n))
+        gaps = np.append(np.diff(days) - 1, 0)
+        observed = rng.normal(size=(n, 4)).round(1)
+        filled = np.where([False, False, False, True], 0.0, observed)
+        every = np.arange(days[0], days[-1] + 1)
+        run = np.searchsorted(days, every, "right") - 1
+        full = np.where((days[run] == every)[:, None], observed[run], filled[run])
+        want = isolation.forest_scores(full, every, 77, 0.03)
+        got = isolation.run_forest_scores(observed, filled, days, gaps, 77, 0.03)
+        seen = days[run] == every
+        np.testing.assert_allclose(got[0], want[0][seen], atol=2e-8)
+        assert (got[1] == want[1][seen]).all()
