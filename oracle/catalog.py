@@ -57,6 +57,9 @@ def _event_queries() -> dict[str, str]:
     early_view = v.METRICS_EVENTS
     weight = "CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END"
     early = s.scan("early_metrics AS (SELECT * FROM metrics_events WHERE metric_date < DATE '2024-01-16')", "early_metrics")
+    early_forest = s.scan(
+        "early_metrics AS (SELECT * FROM metrics_events WHERE metric_date < DATE '2024-01-16')", "early_metrics", use_forest=True, max_depth=5
+    )
     renamed = [
         c.replace("deduped", "e_deduped").replace("filled", "e_filled").replace("spine", "e_spine")
         .replace("baselined", "e_baselined").replace("scored", "e_scored").replace("isolated", "e_isolated")
@@ -85,9 +88,10 @@ def _event_queries() -> dict[str, str]:
             "(SELECT 1 FROM stored s WHERE s.id = f.id))",
         ),
         "incremental_scan": query(
-            *p.event_events(),
-            *renamed,
-            p.events("EVENTS_30D", "stored", "e_signals"),
+            *s.scan(early_view, "metrics_events", use_forest=True, max_depth=5),
+            p.events("EVENTS_30D"),
+            # a WITH of its own keeps the names of the earlier scan apart
+            "stored AS (WITH " + ", ".join([*early_forest, p.events("EVENTS_30D")]) + " SELECT * FROM found)",
             select=f"SELECT {p.EVENT_SELECT} FROM (SELECT * FROM stored UNION ALL SELECT * FROM found f WHERE NOT EXISTS "
             "(SELECT 1 FROM stored s WHERE s.id = f.id))",
         ),

@@ -26,22 +26,29 @@ MIN_PERIODS = 3
 NOISE = 1e-9
 
 
-def dedupe_slices(df: DataFrame, slice_cols: Sequence[str] = SLICE_COLUMNS, date_col: str = "metric_date") -> DataFrame:
-    """Keep one row per slice and day: the smallest by ``id`` where there is one, then by labels, then by metrics.
+def preference(columns: Sequence[str], schema: T.StructType) -> list[str]:
+    """The order in which columns decide which row of a slice and day is kept.
 
-    An aggregate rather than a ranking: it reduces on the map side, so a day with
-    a third of all rows does not land in one task.
+    Labels before numbers, and of those the ones every caller carries first, so that all callers keep the same row.
     """
-    keys = [*slice_cols, date_col]
-    # Labels before numbers, and of those the ones every caller carries first, so that all callers keep the same row.
     first = [*BASELINE_METRICS, "daily_spend_amount"]
 
     def place(column: str) -> int:
         if column in ("id", *first):
             return -1 if column == "id" else 1 + first.index(column)
-        return 9 if isinstance(df.schema[column].dataType, T.NumericType) else 0
+        return 9 if isinstance(schema[column].dataType, T.NumericType) else 0
+
+    return sorted(columns, key=place)
+
 
-    rest = sorted((c for c in df.columns if c not in keys), key=place)
+def dedupe_slices(df: DataFrame, slice_cols: Sequence[str] = SLICE_COLUMNS, date_col: str = "metric_date") -> DataFrame:
+    """Keep one row per slice and day: the smallest by ``id`` where there is one, then by labels, then by metrics.
+
+    An aggregate rather than a ranking: it reduces on the map side, so a day with
+    a third of all rows does not land in one task.
+    """
+    keys = [*slice_cols, date_col]
+    rest = preference([c for c in df.columns if c not in keys], df.schema)
     named = df.where(" and ".join(f"`{c}` is not null" for c in keys))
     if not rest:
         return named.distinct()

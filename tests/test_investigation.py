@@ -1,5 +1,6 @@
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +8,9 @@ from tests.conftest import SOUTH, metric_row
 from pulseward.functions.templates import evidence_query, number_text
 from pulseward.functions.text import parsed_json, signed_percent, text_lines, text_object, text_or_default, text_pairs
 from pulseward.operators import evidence, reports, scorecard
+from pulseward.operators.signals import scan_metrics
 from pulseward.operators.tickets import embed_tickets
-from pulseward.operators.events import current_status
+from pulseward.operators.events import current_status, signals_to_events
 from pulseward.plans.investigate import investigate, investigate_and_persist
 from pulseward.plans.store import append_metrics, append_tickets, clear_table, read_stored, replace_dataset, write_documents
 from pulseward.schemas import ANOMALY_EVENTS, CITATION, DAILY_METRICS, REPORTS, STATUS_LOG
@@ -184,19 +186,32 @@ def test_replacing_one_dataset_keeps_the_others(spark, seed_metrics, tmp_path):
     assert counts == {"FINTECH_90D": 30, "KAGGLE_CFPB": 4}
 
 
-def test_incremental_scan_is_idempotent(spark, tmp_path):
-    segment = ("R", "P", "T")
-    day = lambda i: date(2026, 1, 1 + i)
-    def rows(days):
-        return [metric_row("D", day(i), segment, 100.0, 10, 60.0 if i in (5, 19) else 99.0, 100.0, 0.1) for i in days]
+def test_incremental_scan_equals_scans_of_all_metrics_after_each_arrival(spark, tmp_path):
+    rng = np.random.default_rng(2)
 
-    where = {k: str(tmp_path / k) for k in ("in", "m", "e", "state")}
+    def row(i, segment, noise):
+        bad = i in (5, 19)
+        return metric_row("D", date(2026, 1, 1) + timedelta(days=i), segment, 100.0 + noise, 10, 60.0 if bad else 99.0 - noise, 700.0 + 300 * noise, 0.9 + noise)
 
-    def arrive(days):
-        spark.createDataFrame(rows(days), DAILY_METRICS).coalesce(1).write.mode("append").parquet(where["in"])
-        incremental_scan(spark, where["in"], where["m"], where["e"], where["state"], "D").awaitTermination()
-        return sorted(r.detected_at.day for r in read_stored(spark, where["e"], ANOMALY_EVENTS).collect())
+    def rows(days, segments):
+        return [row(i, s, float(rng.random())) for i in days for s in segments]
 
-    assert arrive(range(10)) == [6]
-    assert arrive(range(10, 25)) == [6, 20]
-    assert arrive(range(5, 8)) == [6, 20]
+    a, b = ("R", "P", "T"), ("R2", "P", "T")
+    # late days, a day that comes again with other values, a slice that starts later, another dataset
+    other = [metric_row("X", date(2026, 1, 1), a, 1.0, 1, 1.0, 9000.0, 9.0)] * 5
+    arrivals = [rows(range(0, 10), [a]), rows(range(14, 30), [a, b]) + other, rows([*range(10, 14), 3, 20], [a]), rows(range(5, 8), [b])]
+    where = {k: str(tmp_path / k) for k in ("in", "m", "e", "state")}
+    seen, want = [], {}
+    for part in arrivals:
+        frame = spark.createDataFrame(part, DAILY_METRICS)
+        frame.coalesce(2).write.mode("append").parquet(where["in"])
+        incremental_scan(spark, where["in"], where["m"], where["e"], where["state"], "D").awaitTermination()
+        seen += [r for r in part if r[0] == "D"]
+        everything = spark.createDataFrame(seen, DAILY_METRICS)
+        for event in signals_to_events(scan_metrics(everything), "D").collect():
+            want.setdefault(event.id, event.asDict())
+        got = {e.id: e.asDict() for e in read_stored(spark, where["e"], ANOMALY_EVENTS).collect()}
+        assert got == want and want
+    assert read_stored(spark, where["m"], DAILY_METRICS).count() == len(seen)
+    incremental_scan(spark, where["in"], where["m"], where["e"], where["state"], "D").awaitTermination()
+    assert read_stored(spark, where["e"], ANOMALY_EVENTS).count() == len(want)
