@@ -186,6 +186,9 @@ FROM metrics_orders GROUP BY metric_date ORDER BY metric_date""",
             v.TICKETS,
             select="SELECT dataset_source FROM metrics_events UNION SELECT dataset_source FROM metrics_orders UNION SELECT dataset_source FROM tickets",
         ),
+        "list_stored_datasets": query(
+            v.METRICS_EVENTS, v.TICKETS, select="SELECT dataset_source FROM metrics_events UNION SELECT dataset_source FROM tickets"
+        ),
         "kpi_delta": query(
             *on_events,
             f"over_view AS ({over})",
@@ -439,6 +442,14 @@ FROM embeddings, (SELECT unnest(range(0, 80)) AS position)""",
             normed,
             select=f"""SELECT d.doc_id, {rnd(f'coalesce(sum({norms} * (c.b + 1)), 0.0)', 3)} AS checksum, count(c.b) AS filled
 FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id LEFT JOIN normed m ON d.doc_id = m.doc_id GROUP BY d.doc_id""",
+        ),
+        "postings_by_level": query(
+            counted,
+            normed,
+            f"weights AS (SELECT doc_id, c.b, {norms} AS w32 FROM counted c JOIN normed m USING (doc_id))",
+            "lengths AS (SELECT doc_id, sqrt(sum(w32 * w32)) AS len32 FROM weights GROUP BY doc_id)",
+            select=f"""SELECT b AS bucket, level, {rnd('max(w)', 6)} AS top, count(*) AS postings, CAST(sum(doc_id) AS BIGINT) AS ids
+FROM (SELECT doc_id, b, w32 / len32 AS w, CAST(ceil(w32 / len32 * 32) AS BIGINT) AS level FROM weights JOIN lengths USING (doc_id)) GROUP BY b, level""",
         ),
         "ticket_search_text": query(
             counted,

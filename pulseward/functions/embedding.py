@@ -64,6 +64,38 @@ def embed_with(load_model: Callable[[], Callable[[list[str]], np.ndarray]], text
     return embed(text)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def sparse_embed(text: Column) -> Column:
+    """The vector of ``hash_embed`` by its filled places: ``indices``, ascending, and their ``values``. Built-in functions only."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % EMBEDDING_DIMENSION
+
+    def counted(places: Column) -> Column:
+        starts = F.array_compact(F.transform(places, lambda b, i: F.when((i == 0) | (F.get(places, i - 1) != b), i)))
+        return _let(starts, lambda s: normed(places, s))
+
+    def normed(places: Column, starts: Column) -> Column:
+        counts = F.transform(starts, lambda at, i: (F.coalesce(F.get(starts, i + 1), F.size(places)) - at).cast("double"))
+        length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+        scaled = lambda c, n: F.transform(c, lambda x: (x / n).cast("float"))
+        return F.struct(
+            F.transform(starts, lambda at: F.get(places, at).cast("int")).alias("indices"),
+            _let(counts, lambda c: _let(length(c), lambda n: scaled(c, n))).alias("values"),
+        )
+
+    return _let(F.sort_array(F.transform(words, bucket)), counted)
+
+
+def unit_weights(values: Column) -> Column:
+    """Single floats scaled to length one as doubles."""
+    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return _let(values, lambda c: _let(length(c), lambda n: F.transform(c, lambda x: x.cast("double") / n)))
+
+
 def hash_embed(text: Column) -> Column:
-    """Lexical vectors of whole texts: they match shared words, not meaning."""
+    """Lexical vectors of whole texts, all places: they match shared words, not meaning."""
     return embed_with(lambda: hash_vectors, text)

@@ -44,23 +44,84 @@ def serialized(column: Column, kind: T.DataType) -> Column:
     return column.cast("string")
 
 
+#: Kinds of nodes a read-only query over given relations is made of; whatever else the analyser lets through is refused.
+ALLOWED_NODES = {
+    "Aggregate",
+    "CTERelationDef",
+    "CTERelationRef",
+    "Deduplicate",
+    "Distinct",
+    "Except",
+    "Expand",
+    "Filter",
+    "Generate",
+    "GlobalLimit",
+    "Intersect",
+    "Join",
+    "LateralJoin",
+    "LocalLimit",
+    "LocalRelation",
+    "Offset",
+    "OneRowRelation",
+    "Pivot",
+    "Project",
+    "Range",
+    "ResolvedHint",
+    "Sample",
+    "Sort",
+    "SubqueryAlias",
+    "Tail",
+    "Union",
+    "Unpivot",
+    "View",
+    "Window",
+    "WithCTE",
+}
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def check_plan(plan, views: set[str]) -> None:
+    """Walk an analysed plan from the top; below a given view anything goes, outside of one only ALLOWED_NODES.
+
+    Subqueries inside expressions are walked like the rest. A relation that is none of the given views is refused, by whichever
+    way a query names it: a table of the catalog, a view of another session, a file, a table function.
+    """
+    kind = plan.nodeName()
+    if kind == "SubqueryAlias":
+        child = plan.child()
+        if child.nodeName() == "View" and child.isTempView() and plan.identifier().name() in views:
+            return
+    if kind == "View" or kind not in ALLOWED_NODES:
+        raise UnsafeQuery(f"a read-only query may not use {kind}: {plan.simpleString(5)[:80]}")
+    for below in [*_items(plan.children()), *_items(plan.subqueries())]:
+        check_plan(below, views)
+
+
 def guarded_sql(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str, max_rows: int | None = None) -> DataFrame:
-    """The rows of a read-only query over the given tables, or its first ``max_rows``.
+    """The rows of a read-only query over the given tables and no others, or its first ``max_rows``.
 
-    The text is checked before anything is parsed. Reading files by path and
-    running scripts are refused as well, which a plain SELECT could do otherwise.
+    The text is checked before anything is parsed, the analysed plan before anything runs. The query is analysed in a
+    session of its own, so neither views nor settings of the caller's session are seen or changed, and
+    several callers do not meet.
     """
     text = check_query(sql)
-    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    for name, table in tables.items():
-        table.createOrReplaceTempView(name)
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    shared = {name.lower(): f"guarded_{uuid.uuid4().hex}" for name in tables}
     try:
-        result = spark.sql(text)
-        if "ScriptTransformation" in result._jdf.queryExecution().analyzed().toString():
-            raise UnsafeQuery("scripts are not allowed in a read-only query")
+        for name, table in tables.items():  # frames pass from session to session as global views, for as long as it takes
+            table.createOrReplaceGlobalTempView(shared[name.lower()])
+            own.table(f"global_temp.{shared[name.lower()]}").createOrReplaceTempView(name.lower())
+        result = own.sql(text)
     finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", before)
+        for view in shared.values():
+            spark.catalog.dropGlobalTempView(view)
+    check_plan(result._jdf.queryExecution().analyzed(), set(shared))
     if max_rows is not None:
         result = result.limit(max_rows)
     return result.select(
@@ -77,15 +138,16 @@ def run_guarded(
 ) -> list[dict]:
     """Run a guarded query and return its rows; its jobs are cancelled after the timeout."""
     result = guarded_sql(spark, tables, sql, max_rows)
+    own = result.sparkSession
     tag = f"guarded-{uuid.uuid4().hex}"
-    timer = threading.Timer(timeout_seconds, lambda: spark.interruptTag(tag))
-    spark.addTag(tag)
+    timer = threading.Timer(timeout_seconds, lambda: own.interruptTag(tag))
+    own.addTag(tag)
     timer.start()
     try:
         return [row.asDict(recursive=True) for row in result.collect()]
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        own.removeTag(tag)
 
 
 def schema_summary(spark: SparkSession, names: list[str] = DESCRIBED_TABLES) -> DataFrame:

@@ -87,11 +87,15 @@ def timeseries(metrics: DataFrame, dataset_source: str) -> DataFrame:
 
 def list_datasets(metrics: DataFrame, tickets: DataFrame) -> DataFrame:
     """Names of the datasets with metrics or tickets; one default name when there is none."""
-    names = metrics.select("dataset_source").union(tickets.select("dataset_source")).distinct()
-    spark = metrics.sparkSession
-    default = spark.range(1).select(F.lit(FALLBACK_DATASET).alias("dataset_source"))
-    unless_any = default.join(names.limit(1).select(F.lit(1).alias("any")), F.lit(True), "left_anti")
-    return names.union(unless_any).orderBy("dataset_source")
+    return or_default(metrics.select("dataset_source").union(tickets.select("dataset_source")).distinct())
+
+
+def or_default(names: DataFrame) -> DataFrame:
+    """The names in order, or the default one where there is none."""
+    default = names.sparkSession.createDataFrame([(1, FALLBACK_DATASET)], "place int, dataset_source string")
+    both = names.select(F.lit(0).alias("place"), "dataset_source").union(default)
+    # The first place that has a name; one row joins by value.
+    return both.join(both.agg(F.min("place").alias("place")), "place").select("dataset_source").orderBy("dataset_source")
 
 
 def kpi_delta(overview_row: DataFrame, kind: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pulseward.operators import (
     evidence,
     inference,
     ingestion,
+    lexical,
     nearest,
     reports,
     sandbox,
@@ -301,6 +302,15 @@ def list_datasets(spark, sf_dir):
     return telemetry.list_datasets(both, views.tickets(spark, sf_dir, False))
 
 
+@register
+def list_stored_datasets(spark, sf_dir):
+    """Two datasets as their folders name them, after metrics and tickets were stored."""
+    metrics, stored = scratch_path(spark, "metrics"), scratch_path(spark, "tickets")
+    store.append_metrics(views.metrics_events(spark, sf_dir), metrics)
+    store.append_tickets(views.tickets(spark, sf_dir, False), stored)
+    return store.stored_datasets(spark, metrics, stored)
+
+
 @register
 def kpi_delta(spark, sf_dir):
     return telemetry.kpi_delta(overview(spark, sf_dir), "payments")
@@ -624,22 +634,33 @@ def citations(spark, sf_dir):
 @register
 def hash_embed(spark, sf_dir):
     """Position-weighted checksum of the lexical vector of every document."""
-    vector = embedding.hash_embed(F.col("text"))
-    embedded = views.table(spark, sf_dir, "documents").select("doc_id", vector.alias("v"))
+    embedded = views.table(spark, sf_dir, "documents").select("doc_id", embedding.sparse_embed(F.col("text")).alias("v"))
     weighted = F.aggregate(
-        F.transform("v", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x
+        F.zip_with("v.values", "v.indices", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x
     )
-    filled = F.size(F.filter("v", lambda x: x != 0))
-    return present(embedded.select("doc_id", weighted.alias("checksum"), filled.alias("filled")), 3)
+    return present(embedded.select("doc_id", weighted.alias("checksum"), F.size("v.indices").alias("filled")), 3)
 
 
 @register
 def ticket_search_text(spark, sf_dir):
-    """The tickets that share most words with the first benchmark passage."""
+    """The tickets that share most words with the first benchmark passage, by posting blocks."""
     passage = views.table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).first()["text"]
-    store_df = tickets.embed_tickets(views.tickets(spark, sf_dir, False))
-    found = tickets.search_tickets(store_df, passage, limit=10, min_similarity=0.10)
-    return present(found.select("ticket_id", "region", "similarity_score"))
+    stored = views.tickets(spark, sf_dir, False)
+    index = staged(lexical.lexical_index(stored), "postings")
+    found = lexical.search_index(index, passage, limit=10, min_similarity=0.10)
+    return present(found.join(stored.select("ticket_id", "region"), "ticket_id").select("ticket_id", "region", "similarity_score"))
+
+
+@register
+def postings_by_level(spark, sf_dir):
+    """The index of all documents by bucket and class of weight: its blocks' largest weights and their postings."""
+    index = lexical.lexical_index(views.tickets(spark, sf_dir, False))
+    return present(
+        index.groupBy("bucket", "level").agg(
+            F.max("top").alias("top"), F.sum(F.size("postings")).alias("postings"),
+            F.sum(F.aggregate("postings", F.lit(0).cast("bigint"), lambda a, p: a + p["ticket_id"])).alias("ids"),
+        )
+    )
 
 
 def stored_ticket_events(spark, sf_dir) -> DataFrame:

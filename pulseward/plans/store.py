@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseward.operators.telemetry import or_default
 from pulseward.sources.files import path_exists
 
 PARTITION = "dataset_source"
@@ -22,6 +25,17 @@ def scan_partition(table: DataFrame, dataset_source: str, order_by: str = "metri
     return table.where(F.col(PARTITION) == dataset_source).orderBy(order_by)
 
 
+def stored_datasets(spark: SparkSession, *paths: str) -> DataFrame:
+    """Names of the datasets with rows in any of the stored tables, by their folders: no row and no file is read."""
+    names = set()
+    for path in paths:
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{PARTITION}=*")
+        found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        names |= {unquote(f.getPath().getName().split("=", 1)[1]) for f in found}
+    names.discard("__HIVE_DEFAULT_PARTITION__")
+    return or_default(spark.createDataFrame([(name,) for name in sorted(names)], f"{PARTITION} string"))
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """Append daily metrics. Rows are laid out by date so that readers skip files; a hot dataset spreads over tasks."""
     keys = [PARTITION, "metric_date", "region", "product_name"]

@@ -5,6 +5,7 @@ import pytest
 from pulseward.functions.guard import UnsafeQuery, check_query, query_verdict
 from pulseward.operators import sandbox, telemetry
 from pulseward.schemas import ANOMALY_EVENTS, DAILY_METRICS
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 TICKETS = "dataset_source string, priority string"
@@ -95,3 +96,53 @@ def test_schema_summary_names_tables_or_falls_back(spark, seed_metrics):
     seed_metrics.createOrReplaceTempView("daily_spend_metrics")
     text = sandbox.schema_summary(spark).first()[0]
     assert "- daily_spend_metrics (dataset_source string, metric_date date" in text
+
+
+def test_guarded_sql_reads_the_given_relations_only(spark, seed_metrics):
+    spark.range(3).createOrReplaceTempView("foreign_view")
+    spark.range(3).createOrReplaceGlobalTempView("foreign_global")
+    tables = {"T": seed_metrics}
+    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    for sql in (
+        "SELECT count(*) FROM foreign_view",
+        "SELECT count(*) FROM global_temp.foreign_global",
+        "SELECT * FROM t WHERE region IN (SELECT CAST(id AS STRING) FROM global_temp.foreign_global)",
+        "WITH x AS (SELECT * FROM global_temp.foreign_global) SELECT count(*) FROM x, t",
+    ):
+        with pytest.raises((AnalysisException, sandbox.UnsafeQuery)):
+            sandbox.guarded_sql(spark, tables, sql)
+    fine = (
+        "WITH days AS (SELECT region, metric_date, count(*) AS n FROM t GROUP BY region, metric_date HAVING count(*) > 0) "
+        "SELECT d.region, row_number() OVER (ORDER BY d.metric_date) AS k, (SELECT max(n) FROM days) AS top FROM days d "
+        "LEFT JOIN t u ON d.metric_date = u.metric_date LATERAL VIEW explode(array(1, 2)) e AS two "
+        "WHERE EXISTS (SELECT 1 FROM T v WHERE v.region = d.region) UNION ALL SELECT 'x', 0, 0 ORDER BY 1 LIMIT 5"
+    )
+    assert len(sandbox.run_guarded(spark, tables, fine, timeout_seconds=60)) == 5
+    assert spark.conf.get("spark.sql.runSQLOnFiles", "true") == before
+    assert spark.catalog.tableExists("foreign_view") and not spark.catalog.tableExists("t")
+    left = [r.name for r in spark.catalog.listTables("global_temp") if r.name.startswith("guarded_")]
+    assert left == []
+
+
+def test_two_callers_of_guarded_sql_do_not_meet(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def ask(n):
+        rows = sandbox.run_guarded(spark, {"t": spark.range(n)}, "SELECT count(*) AS n FROM t", timeout_seconds=60)
+        return rows[0]["n"]
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(ask, range(1, 13))) == [float(n) for n in range(1, 13)]
+
+
+def test_datasets_come_from_the_folders_of_the_store(spark, seed_metrics, tmp_path):
+    from pulseward.plans import store
+
+    path, none = str(tmp_path / "m"), str(tmp_path / "none")
+    odd = seed_metrics.limit(1).withColumn("dataset_source", F.lit("a/b = ü%"))
+    store.append_metrics(seed_metrics.unionByName(odd), path)
+    names = store.stored_datasets(spark, path, none)
+    plan = names._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "NestedLoop" not in plan
+    assert [r[0] for r in names.collect()] == ["FINTECH_90D", "KAGGLE_CFPB", "a/b = ü%"]
+    assert [r[0] for r in store.stored_datasets(spark, none).collect()] == ["KAGGLE_CFPB"]

@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulseward.functions.embedding import embed_with, hash_embed, hash_embed_text
+from pulseward.functions.embedding import embed_with, hash_embed, hash_embed_text, sparse_embed
 from pulseward.functions.vectors import cosine_to, vector_normalize
-from pulseward.operators import nearest
+from pulseward.operators import lexical, nearest
 from pulseward.operators import tickets as t
 from pulseward.schemas import TICKETS
 
@@ -206,3 +206,41 @@ def test_defaults_and_citations(spark):
     assert (row.region, row.product_name, row.customer_id, row.priority, row.dispute_amount) == ("West", "General", "CUST-UNKNOWN", "NORMAL", 0.0)
     cited = t.citations(t.ticket_defaults(df, "D", datetime(2026, 1, 1)).withColumn("similarity_score", F.lit(0.123456))).first()
     assert tuple(cited) == (5, "CUST-UNKNOWN", "General", ": hello", 0.1235)
+
+
+def messages(seed, n):
+    rng = np.random.default_rng(seed)
+    words = np.array([f"word{i}" for i in range(400)] + ["Ünï", "né2", "x_y", "don't", "漢字"])
+    share = 1 / np.arange(1, len(words) + 1)
+    return [" ".join(rng.choice(words, rng.integers(0, 30), p=share / share.sum())) for _ in range(n)]
+
+
+def test_sparse_vectors_equal_the_dense_ones_without_python(spark):
+    texts = [*messages(1, 200), None, "", "  ", "one", "One one TWO", "a" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", sparse_embed(F.col("s")).alias("p"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    for row in df.collect():
+        want = np.array(hash_embed_text(texts[row.i] or ""), np.float32)
+        assert row.p["indices"] == np.flatnonzero(want).tolist() and row.p["values"] == want[want != 0].tolist()
+
+
+def test_search_by_blocks_equals_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 50)
+    texts = messages(2, 600)
+    texts[5:9] = [texts[4]] * 4
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)] + [(900, "word3 word300", None)], "ticket_id bigint, subject string, message string")
+    lexical.lexical_index(df).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    vectors = {i: np.array(hash_embed_text(t), np.float32).astype(float) for i, t in [*enumerate(texts), (900, "word3 word300")]}
+    for query, limit, least in ((texts[4], 7, 0.2), ("word300 word301 word7", 3, 0.3), ("word1", 700, 0.0), ("Ünï x_y", 5, 0.1), ("absent", 5, 0.1)):
+        q = np.array(hash_embed_text(query))
+        scored = [(i, float(v @ q / np.linalg.norm(v))) for i, v in vectors.items() if v @ q > 0]
+        want = sorted([(i, s) for i, s in scored if round(s, 12) >= least], key=lambda x: (-round(x[1], 12), x[0]))[:limit]
+        got = [(r.ticket_id, r.similarity_score) for r in lexical.search_index(index, query, limit, least).collect()]
+        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-6)
+    assert lexical.search_index(index, "  ", 5, 0.1).count() == 0
+    needed = lexical.candidate_blocks(index, lexical.query_weights("word0 word1 word300 word301"), 0.9)
+    assert 0 < needed.count() < index.count() / 5
+    assert "PushedFilters: [IsNotNull(top)" in needed._jdf.queryExecution().executedPlan().toString()
+    assert max(r.n for r in index.select(F.size("postings").alias("n")).collect()) < 120
