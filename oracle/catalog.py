@@ -359,6 +359,7 @@ FROM upload WHERE event_type IS NOT NULL GROUP BY day, event_type, bucket""",
             select="SELECT event_id, ts, user_id, event_type, bucket, value, props FROM upload ORDER BY event_id LIMIT 100",
         ),
         "src_csv": f"SELECT event_id, {p.ts('ts')} AS ts, user_id, event_type, value, props FROM events",
+        "src_csv_quoted_breaks": "SELECT doc_id, md5(nullif(text, '')) AS text, lang, source, n_chars FROM documents",
         "src_json": customer,
         "src_sqlite": customer,
         "src_parquet": f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {p.ts('o_orderdate')} AS o_orderdate, o_orderpriority FROM orders",

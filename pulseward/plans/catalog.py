@@ -491,6 +491,13 @@ def src_csv(spark, sf_dir):
     return present(files.read_table(spark, uploads.to_csv(views.table(spark, sf_dir, "events"))))
 
 
+@register
+def src_csv_quoted_breaks(spark, sf_dir):
+    """Whole documents, line breaks and quotes included, from one CSV file that many tasks read."""
+    read = files.read_csv_ranges(spark, uploads.to_quoted_csv(views.table(spark, sf_dir, "documents")))
+    return present(read.withColumn("text", F.md5("text")))
+
+
 @register
 def src_csv_wide_ids(spark, sf_dir):
     """Ids of 19 digits, and of 20 beyond a bigint, which stay apart."""

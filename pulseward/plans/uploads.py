@@ -30,6 +30,14 @@ def to_csv(df: DataFrame, suffix: str = "csv") -> str:
     return path
 
 
+def to_quoted_csv(df: DataFrame) -> str:
+    """One file with all fields in quotes, whatever they hold."""
+    path = f"{scratch_path(df.sparkSession, 'upload')}.csv"
+    writer = as_text(df).coalesce(1).write.option("header", True).option("escape", '"').option("quoteAll", True)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
 def to_json_arrays(df: DataFrame, key: str, suffix: str = "json") -> str:
     """Files of one JSON array each, of a bounded number of records."""
     path = f"{scratch_path(df.sparkSession, 'upload')}.{suffix}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from pulseward.operators.complaints import ComplaintExport, mapped_columns, normalize_complaints
 from pulseward.operators.inference import TIME_WORDS
+from pulseward.sources.splits import csv_records, json_lines
 from pulseward.sources.sqlite import SQLITE_SUFFIXES, read_sqlite
 
 # Texts a CSV reader takes for a missing value.
@@ -67,7 +69,17 @@ def read_csv(
     reader = csv_reader(spark, multi_line)
     if schema is not None:
         return missing_to_null(reader.schema(schema).csv(path))
-    text = missing_to_null(reader.csv(path))
+    return typed_text(reader.csv(path))
+
+
+def read_csv_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """``read_csv`` of large files: quoted fields may hold line breaks, and a file is still read by many tasks."""
+    return typed_text(csv_records(spark, path))
+
+
+def typed_text(raw: DataFrame) -> DataFrame:
+    """Columns of text in the narrowest type that all their values have."""
+    text = missing_to_null(raw)
     return text.select(*[_typed(text, c, kind) for c, kind in _inferred_types(text)])
 
 
@@ -103,28 +115,42 @@ def _typed(text: DataFrame, name: str, kind: str):
 
 
 def json_starts(spark: SparkSession, path: str) -> set[str]:
-    """The distinct first characters of the files below ``path``, ``[`` for an array; empty files have none."""
-    rows = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("place"),
-        F.substring(F.ltrim("value"), 1, 1).alias("start"),
-    )
-    firsts = rows.where("start <> ''").groupBy("file").agg(F.min_by("start", "place").alias("start"))
-    kind = F.when(F.col("start").isin("[", "{"), F.col("start")).otherwise("other")
-    return {r["kind"] for r in firsts.select(kind.alias("kind")).distinct().collect()}  # three rows at most
+    """The distinct first characters of the files below ``path``, ``[`` for an array; files of blanks only have none.
+
+    Each file is opened for its first characters and not read any further.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def start(file: str) -> str | None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        codec, stream = codecs.getCodec(where), where.getFileSystem(conf).open(where)
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        try:
+            byte = stream.read()
+            while byte in b" \t\r\n\xef\xbb\xbf" if byte >= 0 else False:
+                byte = stream.read()
+        finally:
+            stream.close()
+        return None if byte < 0 else chr(byte) if byte in b"[{" else "other"
+
+    with ThreadPoolExecutor(16) as pool:
+        return set(pool.map(start, spark.read.text(path).inputFiles())) - {None}
 
 
 def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """JSON arrays of records, or one record a line; what is neither is an error.
+    """JSON arrays of records, or one record a line; what is neither is an error. Both are read by many tasks.
 
+    Folder names like ``part=1`` become columns with records a line only.
     Text columns named like a time come out as timestamps where all of them parse.
     """
     starts = json_starts(spark, path)
     if len(starts) > 1:
         raise ValueError(f"{path} mixes JSON arrays with records or other text; read them apart")
-    # Lines split over tasks; an array is read by one.
-    reader = spark.read.option("multiLine", starts != {"{"}).option("mode", "FAILFAST")
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
+    # The elements of an array become lines first, so that both kinds split over tasks.
+    reader = spark.read.option("mode", "FAILFAST")
+    df = (reader.schema(schema) if schema is not None else reader).json(path if starts == {"{"} else json_lines(spark, path))
     if schema is not None:
         return df
     candidates = [
