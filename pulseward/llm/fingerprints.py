@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from pulseward.llm.common import blocks, mix, powers
 
 #: Code points in a shingle, and the share of hashes that is kept.
 SHINGLE, FRACTION = 6, 1 / 4
+#: Kept 64-bit hashes are below FRACTION of the range; so much to the right, 32 bits of them are left.
+SHIFT = 32 + int(math.log2(FRACTION))
 
 
 class Sketch:
@@ -77,12 +80,12 @@ def sketches(texts: list[str]) -> list[Sketch]:
     owner = np.searchsorted(ends, at, "right")
     inside = at + SHINGLE <= ends[owner]
     at, owner = at[inside], owner[inside]
-    values = (hashes[at] >> np.uint64(28)).astype(np.uint32)
+    values = (hashes[at] >> np.uint64(SHIFT)).astype(np.uint32)
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
     out = [Sketch(np.unique(values[a:b]), int(w)) for a, b, w in zip(cuts, cuts[1:], whole)]
     for i in np.flatnonzero((sizes > 0) & (sizes < SHINGLE)):
         if whole[i] < np.uint64(int(FRACTION * 2**64)):
-            out[i].hashes = np.array([int(whole[i]) >> 28], np.uint32)
+            out[i].hashes = np.array([int(whole[i]) >> SHIFT], np.uint32)
     return out
 
 

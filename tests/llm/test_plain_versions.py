@@ -118,6 +118,13 @@ def test_language_mixtures_equal_plain_expectation_maximisation(spark):
     assert scored.where("lang_pred = lang").count() >= 0.95 * scored.count() > 20
 
 
+def test_fingerprints_of_texts_shorter_than_a_shingle():
+    texts = [f"{i:x}" for i in range(2000)] + [""]
+    found = fingerprints.sketches(texts)
+    assert 350 < sum(len(s.hashes) for s in found) < 650 and len({s.text() for s in found}) == len(texts)
+    assert all(fingerprints.Sketch.parse(s.text()).text() == s.text() for s in found)
+
+
 def test_fingerprint_likeness_is_near_the_exact_one(spark):
     rows = [r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
     pairs = [(a, fingerprints.edited(a, b)) for a, b in zip(rows, rows[1:])] + list(zip(rows, rows[1:]))
