@@ -320,6 +320,12 @@ FROM upload WHERE event_type IS NOT NULL GROUP BY day, event_type, bucket""",
         ),
         "adapter_normalize": query(*raw, select=NORMAL_SELECT),
         "adapter_csv_scan": query(*raw, select=NORMAL_SELECT),
+        "adapter_csv_by_ranges": query(*raw, select=NORMAL_SELECT),
+        "adapter_without_ids": query(
+            *raw,
+            f"keyed AS (SELECT *, 'TKT-' || {p.key_id('md5(message)', p.ts('ticket_created_at'), 'product_name')} AS entity_id FROM normalized)",
+            select=f"SELECT entity_id, 'CUST-' || right(entity_id, 6) AS customer_id, product_name, {p.ts('ticket_created_at')} AS ticket_created_at, md5(message) AS message FROM keyed",
+        ),
         "src_sqlite_narrative": query(
             v.RAW_COMPLAINTS,
             NORMALIZED.replace("coalesce(state, 'West')", "coalesce(state, 'None')").replace(
@@ -362,6 +368,14 @@ FROM upload WHERE event_type IS NOT NULL GROUP BY day, event_type, bucket""",
         "src_csv_quoted_breaks": "SELECT doc_id, md5(nullif(text, '')) AS text, lang, source, n_chars FROM documents",
         "src_json": customer,
         "src_sqlite": customer,
+        "src_preferred": f"SELECT {part} FROM part",
+        "sink_replace": query(
+            v.METRICS_EVENTS,
+            v.TICKETS,
+            p.daily("tickets", "DOCUMENTS"),
+            select="""SELECT 'replaced' AS store, dataset_source, count(*) AS stored_rows FROM (
+  SELECT dataset_source FROM metrics_events WHERE region = 'R0' UNION ALL SELECT dataset_source FROM ticket_daily) GROUP BY dataset_source""",
+        ),
         "src_parquet": f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {p.ts('o_orderdate')} AS o_orderdate, o_orderpriority FROM orders",
         "src_fallback": f"SELECT {part} FROM part UNION ALL SELECT {part} FROM part",
         "sink_metrics": query(
@@ -466,6 +480,27 @@ FROM (SELECT doc_id, b, w32 / len32 AS w, CAST(ceil(w32 / len32 * 32) AS BIGINT)
         "citations_with_fallback": query(
             *p.ticket_events(), *p.CITED, select="SELECT query_id, rank, is_fallback, ticket_id, customer_id, issue_category, complaint_text, similarity_score FROM cited"
         ),
+        "ingest_to_citations": query(
+            v.RAW_COMPLAINTS,
+            NORMALIZED,
+            *s.scan(p.daily("normalized", "COMPLAINTS"), "ticket_daily"),
+            p.events("COMPLAINTS"),
+            p.ANCHORED[1],
+            counted,
+            normed,
+            f"q_counted AS (SELECT query_id, b, count(*)::DOUBLE AS n FROM (SELECT query_id, {BUCKETS} AS b FROM (SELECT query_id, unnest({asked_words}) AS w FROM asked)) GROUP BY ALL)",
+            "q_normed AS (SELECT query_id, sqrt(sum(n * n)) AS norm FROM q_counted GROUP BY query_id)",
+            """sims AS (
+  SELECT query_id, doc_id, sum(q.n * c.n) / any_value(qm.norm) / any_value(m.norm) AS similarity
+  FROM q_counted q JOIN counted c USING (b) JOIN q_normed qm USING (query_id) JOIN normed m USING (doc_id) GROUP BY query_id, doc_id)""",
+            """pairs AS (
+  SELECT a.query_id, CAST(complaint_id AS BIGINT) AS ticket_id, a.region AS q_region, a.product_name AS q_product, a.customer_tier AS q_tier, t.region, t.product_name,
+    t.customer_tier, round(similarity, 12) AS similarity FROM sims JOIN asked a USING (query_id) JOIN normalized t ON t.complaint_id = CAST(doc_id AS VARCHAR))""",
+            p.chosen(0.02, 0.01).split(",\ncited AS")[0],
+            select=f"""SELECT dataset_source, region, product_name, customer_tier, metric_name, is_fallback, found, best, least FROM asked LEFT JOIN (
+  SELECT query_id, pass = 1 AS is_fallback, count(*) AS found, {rnd('max(similarity)', 4)} AS best, {rnd('min(similarity)', 4)} AS least
+  FROM chosen GROUP BY query_id, pass) USING (query_id)""",
+        ),
         "citations_by_text": query(
             *p.ticket_events(),
             p.ANCHORED[1],

@@ -31,8 +31,8 @@ from pulseward.operators import (
     tickets,
 )
 from pulseward.operators.signals import DetectorSettings, scan_metrics, score_series
-from pulseward.plans import investigate, store, uploads, views
-from pulseward.schemas import ANOMALY_EVENTS, CITATION, DAILY_METRICS
+from pulseward.plans import detect, ingest, investigate, store, uploads, views
+from pulseward.schemas import ANOMALY_EVENTS, CITATION, DAILY_METRICS, TICKETS
 from pulseward.session import scratch_path, staged
 from pulseward.sources import files
 from pulseward.streaming import incremental
@@ -385,6 +385,35 @@ def adapter_mixed_dates(spark, sf_dir):
     return shown_tickets(complaints.normalize_complaints(mixed, complaints.CONSUMER_COMPLAINTS))
 
 
+@register
+def adapter_without_ids(spark, sf_dir):
+    """An export without an id column: ids made from message, time and product."""
+    normal = complaints.normalize_complaints(raw(spark, sf_dir).drop("complaint_id"), complaints.CONSUMER_COMPLAINTS)
+    return present(normal.select("entity_id", "customer_id", "product_name", "ticket_created_at", F.md5("message").alias("message")))
+
+
+@register
+def adapter_csv_by_ranges(spark, sf_dir):
+    """The export as one file of quoted fields, its whole narratives with line breaks, read by many tasks."""
+    path = uploads.to_quoted_csv(raw(spark, sf_dir))
+    return shown_tickets(files.read_complaints(spark, path, complaints.CONSUMER_COMPLAINTS, by_ranges=True))
+
+
+@register
+def ingest_to_citations(spark, sf_dir):
+    """From an exported file to stored tickets, daily KPIs, events, and the tickets found for every segment with an event."""
+    paths = {k: scratch_path(spark, k) for k in ("metrics", "tickets", "events")}
+    path = uploads.to_quoted_csv(raw(spark, sf_dir))
+    ingest.ingest_complaints(spark, path, complaints.CONSUMER_COMPLAINTS, paths["metrics"], paths["tickets"], "COMPLAINTS", by_ranges=True)
+    found = detect.scan_and_persist(spark, paths["metrics"], paths["events"], "COMPLAINTS", NO_FOREST)
+    asked = staged(tickets.anomaly_queries(found), "asked")
+    stored = store.read_stored(spark, paths["tickets"], TICKETS)
+    matched = nearest.nearest_tickets(asked, stored, 5, 0.02, 0.01).groupBy("query_id", "is_fallback").agg(
+        F.count("*").alias("found"), F.max("similarity_score").alias("best"), F.min("similarity_score").alias("least")
+    )
+    return present(asked.select("query_id", *investigate.SEGMENT_KEYS).join(matched, "query_id", "left").drop("query_id"), 4)
+
+
 @register
 def adapter_csv_scan(spark, sf_dir):
     path = uploads.to_csv(raw(spark, sf_dir).withColumn("unmapped", F.lit("x")))
@@ -564,6 +593,31 @@ def sink_metrics(spark, sf_dir):
     )
 
 
+@register
+def sink_replace(spark, sf_dir):
+    """Two stored datasets, one of them overwritten by a part of itself, then a table that was cleared."""
+    path, cleared = scratch_path(spark, "metrics"), scratch_path(spark, "cleared")
+    metrics = views.metrics_events(spark, sf_dir)
+    for table in (metrics, ticket_daily(spark, sf_dir)):
+        store.append_metrics(table, path)
+        store.append_metrics(table, cleared)
+    store.replace_dataset(metrics.where(F.col("region") == "R0"), path)
+    store.clear_table(spark, cleared, DAILY_METRICS)
+    counts = [
+        store.read_stored(spark, p, DAILY_METRICS).groupBy("dataset_source").agg(F.count("*").alias("stored_rows")).select(F.lit(k).alias("store"), "*")
+        for k, p in (("replaced", path), ("cleared", cleared))
+    ]
+    return present(counts[0].unionByName(counts[1]))
+
+
+@register
+def src_preferred(spark, sf_dir):
+    """The first of several candidate files that exists."""
+    there = uploads.to_csv(views.table(spark, sf_dir, "part"))
+    missing = scratch_path(spark, "missing") + ".csv"
+    return present(files.read_table(spark, files.preferred_source(spark, [missing, there, f"{sf_dir}/orders.parquet"])))
+
+
 # Tickets --------------------------------------------------------------------
 
 

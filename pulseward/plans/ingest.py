@@ -85,9 +85,10 @@ def ingest_complaints(
     tickets_path: str,
     dataset_source: str,
     max_records: int | None = None,
+    by_ranges: bool = False,
 ) -> DataFrame:
     """Store the complaints of an export as tickets and as daily KPIs; returns the counts of both as one row."""
-    normal = read_complaints(spark, path, mapping, max_records).withColumn("dataset_source", F.lit(dataset_source))
+    normal = read_complaints(spark, path, mapping, max_records, by_ranges=by_ranges).withColumn("dataset_source", F.lit(dataset_source))
     tickets = staged(normal, "complaints")
     append_tickets(embed_tickets(with_ticket_ids(tickets)), tickets_path)
     daily = complaint_daily(tickets, dataset_source)

@@ -184,10 +184,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, multi_line: bool = True, by_ranges: bool = False) -> DataFrame:
     """Read by suffix; an unknown suffix is read as JSON where all files open a JSON value, else as CSV.
 
-    ``multi_line=False`` says that no quoted CSV field holds a line break, and splits large CSV files over tasks.
+    ``multi_line=False`` says that no quoted CSV field holds a line break, and splits large CSV files over tasks; ``by_ranges``
+    splits them whatever their fields hold, at the price of a pass over their quotes.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no dataset at {path}")
@@ -195,7 +196,7 @@ def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
     if suffix in SQLITE_SUFFIXES:
         return read_sqlite(spark, path)
     if suffix in (".csv", ".txt"):
-        return read_csv(spark, path, multi_line=multi_line)
+        return read_csv_ranges(spark, path) if by_ranges else read_csv(spark, path, multi_line=multi_line)
     if suffix == ".json":
         return read_json(spark, path)
     if suffix == ".parquet":
@@ -219,8 +220,9 @@ def read_complaints(
     order_by: str | None = None,
     filter_has_narrative: bool = True,
     multi_line: bool = True,
+    by_ranges: bool = False,
 ) -> DataFrame:
-    """Complaints of a CSV or SQLite export as tickets.
+    """Complaints of a CSV or SQLite export as tickets; ``by_ranges`` reads a large CSV by many tasks.
 
     The CSV scan reads the mapped columns as text and counts ``max_records``
     after normalisation; the SQLite scan filters on the narrative and counts
@@ -231,7 +233,8 @@ def read_complaints(
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     order_by = order_by or mapping["entity"]
     if suffix == ".csv":
-        raw = mapped_columns(csv_reader(spark, multi_line).csv(path), mapping)
+        exported = csv_records(spark, path) if by_ranges else csv_reader(spark, multi_line).csv(path)
+        raw = mapped_columns(exported, mapping)
         raw = raw.select(*[F.when(~F.col(f"`{c}`").isin(MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
         tickets = normalize_complaints(raw, mapping, filter_has_narrative)
         if max_records is None:
