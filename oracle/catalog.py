@@ -520,6 +520,18 @@ FROM (SELECT doc_id, b, w32 / len32 AS w, CAST(ceil(w32 / len32 * 32) AS BIGINT)
     }
 
 
+RUNS = """runs AS (
+  SELECT f.id AS anomaly_id, 'week_before' AS template, count(m.metric_date) AS row_count, FALSE AS failed FROM found f LEFT JOIN ticket_daily m
+    ON m.region = f.region AND m.product_name = f.product_name AND m.customer_tier = f.customer_tier
+    AND m.metric_date <= CAST(f.detected_at AS DATE) AND m.metric_date > CAST(f.detected_at AS DATE) - 7 GROUP BY f.id
+  UNION ALL SELECT f.id, 'disputes_of_the_day', count(t.ticket_id), FALSE FROM found f LEFT JOIN tickets t
+    ON t.region = f.region AND t.product_name = f.product_name AND CAST(t.ticket_created_at AS DATE) = CAST(f.detected_at AS DATE) AND t.priority = 'CRITICAL'
+    GROUP BY f.id
+  UNION ALL SELECT id, 'broken', 0, TRUE FROM found)"""
+RUN_SCORES = f"""SELECT '{{name}}' AS templates, anomaly_id, count(*) AS sql_queries, bool_and(NOT failed) AS sql_pass, CAST(sum(row_count) AS BIGINT) AS rows_found,
+  {rnd('0.5::DOUBLE + 0.44::DOUBLE * count(*) FILTER (row_count > 0) / count(*)', 4)} AS confidence FROM runs WHERE {{where}} GROUP BY anomaly_id"""
+
+
 def _report_queries() -> dict[str, str]:
     reported = [*p.ticket_events(), *p.CITED, *p.evidence(cited=True)]
     nl = "chr(10)"
@@ -557,6 +569,14 @@ def _report_queries() -> dict[str, str]:
         f"timeout_504_count, 0::BIGINT AS server_error_500_count, {rnd('avg_response_time_ms', 6)} AS avg_response_time_ms, gateway_status"
     )
     return {
+        "evidence_queries": query(
+            *p.ticket_events(), RUNS, select="SELECT anomaly_id, template, row_count, least(row_count, 10) AS shown, failed FROM runs"
+        ),
+        "evidence_scores": query(
+            *p.ticket_events(),
+            RUNS,
+            select=RUN_SCORES.format(name="all", where="TRUE") + " UNION ALL " + RUN_SCORES.format(name="sound", where="template <> 'broken'"),
+        ),
         "evidence_metrics": query(
             v.METRICS_EVENTS,
             *p.ticket_events(),

@@ -100,8 +100,8 @@ def check_plan(plan, views: set[str]) -> None:
         check_plan(below, views)
 
 
-def guarded_sql(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str, max_rows: int | None = None) -> DataFrame:
-    """The rows of a read-only query over the given tables and no others, or its first ``max_rows``.
+def checked_sql(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str) -> DataFrame:
+    """The result of a read-only query over the given tables and no others.
 
     The text is checked before anything is parsed, the analysed plan before anything runs. The query is analysed in a
     session of its own, so neither views nor settings of the caller's session are seen or changed, and
@@ -122,6 +122,12 @@ def guarded_sql(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str,
         for view in shared.values():
             spark.catalog.dropGlobalTempView(view)
     check_plan(result._jdf.queryExecution().analyzed(), set(shared))
+    return result
+
+
+def guarded_sql(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str, max_rows: int | None = None) -> DataFrame:
+    """The rows of a read-only query over the given tables, as JSON carries them, or its first ``max_rows``."""
+    result = checked_sql(spark, tables, sql)
     if max_rows is not None:
         result = result.limit(max_rows)
     return result.select(

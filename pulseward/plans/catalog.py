@@ -19,6 +19,7 @@ from pulseward.operators import (
     complaints,
     events,
     evidence,
+    evidence_runs,
     inference,
     ingestion,
     lexical,
@@ -773,6 +774,29 @@ def evidence_metrics(spark, sf_dir):
     return present(evidence.evidence_metrics(ticket_events(spark, sf_dir), both))
 
 
+def all_runs(spark, sf_dir) -> DataFrame:
+    """The evidence templates and one that names a column no table has."""
+    tables = {"daily_spend_metrics": ticket_daily(spark, sf_dir), "dispute_support_tickets": views.tickets(spark, sf_dir, False)}
+    broken = evidence_runs.Template("broken", "SELECT a.id AS anomaly_id, m.no_such_column FROM anomalies a, daily_spend_metrics m")
+    return evidence_runs.evidence_runs(stored_ticket_events(spark, sf_dir), tables, [*evidence_runs.TEMPLATES, broken])
+
+
+@register
+def evidence_queries(spark, sf_dir):
+    """Every evidence query of every event: its rows, or that it failed."""
+    runs = all_runs(spark, sf_dir)
+    return present(runs.select("anomaly_id", "template", "row_count", F.size("rows").alias("shown"), F.col("error").isNotNull().alias("failed")))
+
+
+@register
+def evidence_scores(spark, sf_dir):
+    """What the evidence queries say of each event, with and without the one that fails."""
+    runs = staged(all_runs(spark, sf_dir), "runs")
+    whole = evidence_runs.run_scores(runs).select(F.lit("all").alias("templates"), "*")
+    sound = evidence_runs.run_scores(runs.where("template <> 'broken'")).select(F.lit("sound").alias("templates"), "*")
+    return present(whole.unionByName(sound))
+
+
 @register
 def gateway_degraded(spark, sf_dir):
     return present(evidence.gateway_degraded(views.gateway_logs(spark, sf_dir), region="ASIA", product="BUILDING"))

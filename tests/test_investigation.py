@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from tests.conftest import SOUTH, metric_row
 from pulseward.functions.templates import evidence_query, number_text
 from pulseward.functions.text import parsed_json, signed_percent, text_lines, text_object, text_or_default, text_pairs
-from pulseward.operators import evidence, reports, scorecard
+from pulseward.operators import evidence, evidence_runs, reports, scorecard
 from pulseward.operators.signals import scan_metrics
 from pulseward.operators.tickets import embed_tickets
 from pulseward.operators.events import current_status, signals_to_events
 from pulseward.plans.investigate import investigate, investigate_and_persist
 from pulseward.plans.store import append_metrics, append_tickets, clear_table, read_stored, replace_dataset, write_documents
-from pulseward.schemas import ANOMALY_EVENTS, CITATION, DAILY_METRICS, REPORTS, STATUS_LOG
+from pulseward.schemas import ANOMALY_EVENTS, CITATION, DAILY_METRICS, REPORTS, STATUS_LOG, TICKETS
 from pulseward.streaming.incremental import incremental_scan
 
 
@@ -215,3 +215,25 @@ def test_incremental_scan_equals_scans_of_all_metrics_after_each_arrival(spark,
     assert read_stored(spark, where["m"], DAILY_METRICS).count() == len(seen)
     incremental_scan(spark, where["in"], where["m"], where["e"], where["state"], "D").awaitTermination()
     assert read_stored(spark, where["e"], ANOMALY_EVENTS).count() == len(want)
+
+
+def test_evidence_queries_run_and_a_broken_one_fails_alone(spark, anomalies, seed_metrics):
+    tables = {"daily_spend_metrics": seed_metrics, "dispute_support_tickets": spark.createDataFrame([], TICKETS)}
+    more = [
+        evidence_runs.Template("missing", "SELECT id AS anomaly_id, nothing FROM anomalies"),
+        evidence_runs.Template("fails_while_running", "SELECT id AS anomaly_id, CAST(concat(region, 'x') AS INT) AS n FROM anomalies"),
+        evidence_runs.Template("refused", "DELETE FROM anomalies"),
+        evidence_runs.Template("foreign", "SELECT id AS anomaly_id FROM anomalies, stranger"),
+        evidence_runs.Template("without_id", "SELECT region FROM anomalies"),
+    ]
+    spark.range(1).createOrReplaceTempView("stranger")
+    runs = evidence_runs.evidence_runs(anomalies, tables, [*evidence_runs.TEMPLATES, *more]).collect()
+    by_name = {(r.anomaly_id, r.template): r for r in runs}
+    week = by_name[7, "week_before"]
+    assert week.row_count == 7 == len(week.rows) and week.error is None and '"metric_date":"2026-01-30"' in week.rows[-1]
+    assert by_name[8, "week_before"].row_count == 0 and by_name[8, "week_before"].rows == []
+    assert all(by_name[i, t.name].error and by_name[i, t.name].row_count == 0 for i in (7, 8) for t in more)
+    sound = spark.createDataFrame([r for r in runs if r.error is None], evidence_runs.RUNS)
+    scores = {r.anomaly_id: (r.sql_queries, r.sql_pass, r.rows_found, r.confidence) for r in evidence_runs.run_scores(sound).collect()}
+    assert scores == {7: (2, True, 7, 0.72), 8: (2, True, 0, 0.5)}
+    assert not any(r.sql_pass for r in evidence_runs.run_scores(spark.createDataFrame(runs, evidence_runs.RUNS)).collect())
