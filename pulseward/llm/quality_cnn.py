@@ -2,7 +2,8 @@
 
 A document's UTF-8 bytes fall into overlapping chunks that cover all of it. In each chunk learned filters slide over
 embedded bytes and their largest responses are kept (max pooling); the chunks' features are averaged, and a hidden
-layer turns them into one probability. It is trained on a bounded sample of labelled documents, scored over all.
+layer turns them into one probability. It is trained on the whole texts of a bounded sample of labelled documents and
+scored over all.
 """
 
 from __future__ import annotations
@@ -17,12 +18,10 @@ from pyspark.sql import functions as F
 from pulseward.llm.common import map_blocks
 
 #: Labelled documents of each class that are trained on, the first by hash of id.
-SAMPLE_PER_CLASS = 1400
-#: Chunks of a training document, evenly spaced over it; scoring uses all chunks.
-TRAIN_CHUNKS = 6
+SAMPLE_PER_CLASS = 1500
 CHUNK, OVERLAP, STEP = 512, 64, 4
 EMBED, FILTERS, HIDDEN = 6, 24, 16
-EPOCHS, BATCH, RATE, SEED = 10, 64, 0.01, 5
+EPOCHS, BATCH, RATE, SEED = 14, 64, 0.01, 5
 #: Chunks that are worked on at once.
 CHUNK_BLOCK = 256
 
@@ -111,11 +110,15 @@ def gradients(w: dict[str, np.ndarray], docs: list[np.ndarray], y: np.ndarray) -
     counts = np.array([len(d) for d in docs])
     owner = np.repeat(np.arange(len(docs)), counts)
     n, cells = len(chunks), CHUNK // STEP
-    embedded = w["embed"][chunks].reshape(n, cells, STEP * EMBED)
-    both = (embedded.reshape(n * cells, -1) @ w["conv"]).reshape(n, cells, 2, FILTERS)
-    response = both[:, :-1, 0] + both[:, 1:, 1]
-    best = response.argmax(axis=1)
-    top = np.take_along_axis(response, best[:, None], axis=1)[:, 0] + w["bias"]
+    best, top = np.empty((n, FILTERS), np.int64), np.empty((n, FILTERS), np.float32)
+    for i in range(0, n, CHUNK_BLOCK):  # a batch with long texts has many chunks
+        part = chunks[i : i + CHUNK_BLOCK]
+        embedded = w["embed"][part].reshape(len(part) * cells, STEP * EMBED)
+        both = (embedded @ w["conv"]).reshape(len(part), cells, 2, FILTERS)
+        response = both[:, :-1, 0] + both[:, 1:, 1]
+        at = response.argmax(axis=1)
+        best[i : i + len(part)] = at
+        top[i : i + len(part)] = np.take_along_axis(response, at[:, None], axis=1)[:, 0] + w["bias"]
     pooled = np.maximum(top, 0)
     mean = np.add.reduceat(pooled, np.concatenate(([0], np.cumsum(counts)[:-1])), axis=0) / counts[:, None]
     before = mean @ w["w1"] + w["b1"]
@@ -125,12 +128,12 @@ def gradients(w: dict[str, np.ndarray], docs: list[np.ndarray], y: np.ndarray) -
     d_before = np.outer(d, w["w2"]) * (before > 0)
     d_pooled = (d_before @ w["w1"].T / counts[:, None])[owner] * (top > 0)
     # Only the window that won a filter's pooling takes part.
-    rows = np.arange(n)[:, None]
-    left, right = embedded[rows, best], embedded[rows, best + 1]  # n, filters, step * embed
+    rows, cell_bytes = np.arange(n)[:, None], chunks.reshape(n, cells, STEP)
+    of_cell = lambda at: w["embed"][cell_bytes[rows, at]].reshape(n, FILTERS, STEP * EMBED)
+    left, right = of_cell(best), of_cell(best + 1)
     d_left = np.einsum("nf,nfe->ef", d_pooled, left)
     d_right = np.einsum("nf,nfe->ef", d_pooled, right)
     d_embed = np.zeros_like(w["embed"])
-    cell_bytes = chunks.reshape(n, cells, STEP)
     for half, at in ((w["conv"][:, :FILTERS], best), (w["conv"][:, FILTERS:], best + 1)):
         back = (d_pooled[:, :, None] * half.T[None]).reshape(-1, EMBED)
         np.add.at(d_embed, cell_bytes[rows, at].reshape(-1), back)
@@ -176,18 +179,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         out = []
         for t in part.column("text").to_pylist():
             rows, _ = cut([(t or "").encode("utf-8", "surrogatepass")])
-            chosen = np.unique(np.linspace(0, len(rows) - 1, min(TRAIN_CHUNKS, len(rows))).astype(int))
-            out.append(rows[chosen].astype("<i2").tobytes())
+            out.append(rows.astype("<i2").tobytes())
         return {"chunks": pa.array(out, pa.binary()), "y": part.column("y"), "place": part.column("place")}
 
-    # Bounded: 2 * per_class documents of TRAIN_CHUNKS chunks.
+    # Bounded: 2 * per_class documents, each with its whole text.
     found = map_blocks(texts, chunks_of, "chunks binary, y int, place string").collect()
     found.sort(key=lambda r: (r["place"], r["y"], r["chunks"]))
     return train([(bytes(r["chunks"]), r["y"]) for r in found], prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` as (doc_id, held_out, score, predicted); null texts score as empty ones."""
+    """``docs`` as (doc_id, held_out, score, predicted); null texts score as empty ones.
+
+    Rows that repeat an id or a text are scored each; other columns, of whatever names, are ignored.
+    """
 
     def scored(part: pa.RecordBatch) -> dict:
         p = model.score(part.column("text").to_pylist())
@@ -206,7 +211,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     def quality(text):
         import pandas as pd
 
-        parts = np.array_split(np.arange(len(text)), max(1, int(text.str.len().fillna(0).sum()) >> 20))
+        parts = np.array_split(np.arange(len(text)), max(1, sum(len(t or "") for t in text) >> 20))
         return pd.Series(np.concatenate([model.score(list(text.iloc[i])) for i in parts if len(i)] or [np.zeros(0)]))
 
     return docs.where(quality(F.col("text")) >= 0.5)
