@@ -7,24 +7,17 @@ blocks whose largest weight brings less in every bucket are not read for candida
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseward.functions.embedding import hash_embed_text, sparse_embed, unit_weights
 from pulseward.functions.matching import SIMILARITY_DIGITS
-from pulseward.functions.text import strip
-from pulseward.operators.tickets import SEARCH_LIMIT, SEARCH_MIN
+from pulseward.operators.tickets import SEARCH_LIMIT, SEARCH_MIN, ticket_text
 
 # Classes of weight, and postings of a block (in expectation).
 LEVELS, BLOCK_POSTINGS = 32, 4096
 
 
-def ticket_text(tickets: DataFrame) -> Column:
-    """What of a ticket is searched: its message, or its subject where it has none."""
-    texts = [F.col(c) for c in ("message", "subject") if c in tickets.columns]
-    return strip(F.coalesce(*texts, F.lit("")))
-
-
 def lexical_index(tickets: DataFrame, id_col: str = "ticket_id") -> DataFrame:
     """(bucket, level, part, top, postings): blocks of (ticket_id, weight) by bucket and class of weight, ``top`` being the largest.
 

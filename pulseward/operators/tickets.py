@@ -54,10 +54,15 @@ def ticket_defaults(df: DataFrame, dataset_source: str, created_at: datetime) ->
     )
 
 
+def ticket_text(tickets: DataFrame) -> Column:
+    """What of a ticket is searched: its message, or its subject where the message is missing or blank."""
+    texts = [strip(F.col(c)) for c in ("message", "subject") if c in tickets.columns]
+    return F.coalesce(*[F.when(t != "", t) for t in texts], F.lit(""))
+
+
 def embed_tickets(df: DataFrame, embed: Callable[[Column], Column] = hash_embed) -> DataFrame:
-    """Give every ticket the normalised vector of its message, or of its subject where it has none."""
-    texts = [F.col(c) for c in ("message", "subject") if c in df.columns]
-    return df.withColumn("embedding", vector_normalize(embed(strip(F.coalesce(*texts, F.lit(""))))))
+    """Give every ticket the normalised vector of its text."""
+    return df.withColumn("embedding", vector_normalize(embed(ticket_text(df))))
 
 
 def filter_tickets(

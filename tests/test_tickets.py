@@ -181,7 +181,9 @@ def test_lexical_search_finds_shared_words(spark):
         (1, "Corporate card 3DS OTP timeout", "The 3DS mobile OTP timeout error stopped our transaction"),
         (2, "FX fee", "A foreign exchange fee was added to my statement"),
     ]
-    df = t.embed_tickets(spark.createDataFrame(rows, "ticket_id bigint, subject string, message string"))
+    blank = [(3, "blank card", " \n"), (4, "null card", None), (5, None, None)]
+    df = t.embed_tickets(spark.createDataFrame(rows + blank, "ticket_id bigint, subject string, message string"))
+    assert {r.ticket_id for r in t.search_tickets(df, "card", limit=9, min_similarity=0.3).collect()} == {3, 4}
     best = t.search_tickets(df, "3DS mobile OTP timeout error during transaction", limit=1, min_similarity=0.3).first()
     assert best.ticket_id == 1
     assert t.search_tickets(df, "   ").count() == 0
