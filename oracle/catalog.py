@@ -597,6 +597,16 @@ def _report_queries() -> dict[str, str]:
             select=f"""SELECT anomalies, first_anomaly_id, {gateway}
 FROM (SELECT region, product_name, count(*) AS anomalies, min(id) AS first_anomaly_id FROM found GROUP BY ALL) f
 JOIN bad_days USING (region, product_name)""",
+        ),
+        "evidence_gateway_latest": query(
+            *s.scan(v.METRICS_ORDERS, "metrics_orders"),
+            p.events("ORDERS"),
+            v.GATEWAY_LOGS,
+            f"""latest_days AS (
+  SELECT *, row_number() OVER (PARTITION BY region, product_name ORDER BY log_date DESC, failed_requests DESC, partner_bank) AS rank
+  FROM gateway_logs WHERE {degraded} QUALIFY rank <= 5)""",
+            select=f"""SELECT f.id AS anomaly_id, rank, region, product_name, {iso('log_date')} AS log_date, partner_bank, failed_requests
+FROM found f JOIN latest_days USING (region, product_name)""",
         ),
         "evidence_arrays": "SELECT conv_id, turn, role || '#1,' || role || '#2' AS findings FROM conversations",
         "evidence_gaps": query(

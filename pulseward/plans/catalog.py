@@ -808,6 +808,14 @@ def evidence_gateway(spark, sf_dir):
     return present(evidence.gateway_by_segment(found, views.gateway_logs(spark, sf_dir)))
 
 
+@register
+def evidence_gateway_latest(spark, sf_dir):
+    """The five latest degraded gateway days next to every event of their segment."""
+    found = events.signals_to_events(scan_metrics(views.metrics_orders(spark, sf_dir), NO_FOREST), "ORDERS")
+    latest = evidence.evidence_gateway(found, views.gateway_logs(spark, sf_dir), cap=5)
+    return present(latest.select("anomaly_id", "rank", "region", "product_name", "log_date", "partner_bank", "failed_requests"))
+
+
 @register
 def evidence_arrays(spark, sf_dir):
     """Findings of two passes appended in order."""
