@@ -241,29 +241,29 @@ def read_complaints(
             return tickets
         return tickets.orderBy("ticket_created_at", "customer_id", "message", "entity_id").limit(max_records)
     if suffix in SQLITE_SUFFIXES:
-        return normalize_complaints(
-            sqlite_narratives(read_sqlite(spark, path), mapping, max_records, order_by, filter_has_narrative),
-            mapping,
-            filter_has_narrative=False,
-            null_text="None",
-        )
+        narratives = sqlite_narratives(spark, path, mapping, max_records, order_by, filter_has_narrative)
+        return normalize_complaints(narratives, mapping, filter_has_narrative=False, null_text="None")
     raise ValueError(f"unsupported file format {suffix}; expected .csv or .sqlite")
 
 
 def sqlite_narratives(
-    df: DataFrame,
+    spark: SparkSession,
+    path: str,
     mapping: ComplaintExport,
     max_records: int | None = None,
     order_by: str | None = None,
     filter_has_narrative: bool = True,
 ) -> DataFrame:
-    """Rows with a narrative longer than ten characters, the first ``max_records`` of them."""
-    if filter_has_narrative:
-        text = F.col(f"`{mapping['narrative']}`")
-        df = df.where(text.isNotNull() & (F.length(text) > MIN_NARRATIVE))
-    if max_records is not None:
-        df = df.orderBy(F.col(f"`{order_by or mapping['entity']}`")).limit(max_records)
-    return mapped_columns(df, mapping)
+    """Rows with a narrative longer than ten characters, the first ``max_records`` of them, in the mapped columns.
+
+    Columns, length and limit are applied inside SQLite.
+    """
+    longer = {mapping["narrative"]: MIN_NARRATIVE} if filter_has_narrative else None
+    first = order_by or mapping["entity"] if max_records is not None else None
+    columns = list(mapping.roles.values())
+    return mapped_columns(
+        read_sqlite(spark, path, columns=columns, longer_than=longer, limit=max_records, order_by=first), mapping
+    )
 
 
 def preferred_source(spark: SparkSession, paths: list[str]) -> str:

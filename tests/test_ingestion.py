@@ -236,6 +236,46 @@ def test_sqlite_reads_in_ranges(spark, tmp_path):
     assert read_table(spark, path).agg(F.sum("n")).first()[0] == 300
 
 
+def test_sqlite_ranges_follow_the_pages(spark, tmp_path):
+    ids = [-5, *range(1, 3000), *range(10**12, 10**12 + 3000), 2**62]
+    with sqlite3.connect(tmp_path / "wide.sqlite") as con:
+        con.execute("PRAGMA page_size = 512")
+        con.execute("CREATE TABLE t (k INTEGER PRIMARY KEY, body TEXT)")
+        con.executemany("INSERT INTO t VALUES (?, ?)", [(i, f"text {i} " * (i % 40)) for i in ids])
+        con.execute("CREATE TABLE keyed (k TEXT PRIMARY KEY, n INTEGER) WITHOUT ROWID")
+        con.executemany("INSERT INTO keyed VALUES (?, ?)", [(str(i), i) for i in range(2000)])
+        con.execute("CREATE TABLE small (n INTEGER)")
+        con.execute("INSERT INTO small VALUES (1)")
+    con.close()
+    path = str(tmp_path / "wide.sqlite")
+    df = read_sqlite(spark, path, "t", bytes_per_partition=20_000)
+    rows = df.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert 20 < len(rows) < 200 and sum(rows) == len(ids) and max(rows) < len(ids) / 10
+    assert {tuple(r) for r in df.collect()} == {(i, f"text {i} " * (i % 40)) for i in ids}
+    assert read_sqlite(spark, path, "keyed", bytes_per_partition=20_000).agg(F.sum("n")).first()[0] == 1999000
+    assert read_sqlite(spark, path, "small", bytes_per_partition=20_000).collect()[0].n == 1
+
+
+def test_sqlite_takes_columns_lengths_and_limits(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "m.sqlite") as con:
+        con.execute("CREATE TABLE t (rank INTEGER, label TEXT COLLATE NOCASE, body TEXT, rest TEXT)")
+        ranks = [5, "12", None, "x", 3.0, 2.5, 9, 1, -4, b"2", 2**60]
+        con.executemany("INSERT INTO t VALUES (?, ?, ?, 'r')", [(r, "bA"[i % 2] + str(i), "\u00e9" * i) for i, r in enumerate(ranks)])
+    con.close()
+    path = str(tmp_path / "m.sqlite")
+    whole = read_sqlite(spark, path)
+    for order in ("rank", "label"):
+        for limit in range(12):
+            got = read_sqlite(spark, path, columns=["body", "absent"], limit=limit, order_by=order, rows_per_partition=4)
+            assert got.columns == sorted(["body", order], key=whole.columns.index)
+            assert [r[order] for r in got.collect()] == [r[order] for r in whole.orderBy(order).limit(limit).collect()]
+    long = read_sqlite(spark, path, columns=["rank"], longer_than={"body": 4})
+    assert long.columns == ["rank", "body"] and long.count() == 6
+    for wrong in ({"longer_than": {"absent": 1}}, {"limit": 1}, {"limit": 1, "order_by": "absent"}):
+        with pytest.raises(Exception):
+            read_sqlite(spark, path, **wrong).collect()
+
+
 def test_sqlite_complaints_filter_then_limit(spark, tmp_path):
     rows = [
         ("0000001", "01/02/2026", "Card", "Fee", "short", "CA", "Yes", 1.0, 1),
