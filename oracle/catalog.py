@@ -308,7 +308,18 @@ def _ingest_queries() -> dict[str, str]:
 FROM upload WHERE event_type IS NOT NULL GROUP BY day, event_type, bucket""",
     )
     exported = NORMALIZED.replace("coalesce(state, 'West')", "coalesce(state, 'None')")
+    written = {"user_id": "user_id::VARCHAR", "value": "value::DECIMAL(18,3)::VARCHAR"}
+    facts = " UNION ALL ".join(
+        f"SELECT {i}::BIGINT AS ordinal, '{c}' AS column_name, count(*) AS rows, count({c}) AS present, "
+        + ("NULL::BIGINT AS characters, NULL::BIGINT AS longest, 'bigint' AS type" if c == "event_id" else
+           f"sum(length({written.get(c, c)}))::BIGINT AS characters, max(length({written.get(c, c)}))::BIGINT AS longest, "
+           f"CASE WHEN bool_and(regexp_full_match({written.get(c, c)}, '[+-]?\\d{{1,18}}')) THEN 'bigint' "
+           f"WHEN bool_and(regexp_full_match({written.get(c, c)}, '[+-]?\\d+\\.?\\d*')) THEN 'double' ELSE 'string' END AS type")
+        + " FROM upload"
+        for i, c in enumerate(["event_id", "ts", "user_id", "event_type", "bucket", "value", "props"])
+    )
     return {
+        "profile_merged": query(UPLOAD, select=facts),
         "adapter_mixed_dates": query(*raw, select=NORMAL_SELECT),
         "ingest_metrics_us_dates": event_metrics,
         "src_csv_wide_ids": "SELECT event_id + 4611686018427387904 AS event_id, CAST(event_id::HUGEINT + 10000000000000000000 AS VARCHAR) AS trace_id FROM events",

@@ -15,6 +15,9 @@ CLOCK = "[ h:mm:ss a][ h:mm a][ H:mm:ss][ H:mm]"
 #: What such a date looks like; other texts are not parsed, as a failed parse is costly.
 SHAPE = r"^(\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}[ -]\p{L}{3,9}[ -]\d{4}|\p{L}{3,9} \d{1,2}, \d{4})( |$)"
 
+#: Two numbers before a year, of which either may be the day.
+SHORT_DATE = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-]\d{4}"
+
 
 def parsed_time(value: Column, day_first: bool = False) -> Column:
     """The time of a text: ISO forms, then the forms above with an optional time of day; null where none fits.
@@ -26,8 +29,17 @@ def parsed_time(value: Column, day_first: bool = False) -> Column:
     return F.coalesce(F.try_to_timestamp(text), F.when(text.rlike(SHAPE), F.try_to_timestamp(text, F.lit(pattern))))
 
 
+def short_date_number(value: Column, place: int) -> Column:
+    """The first or second number of a date written as two numbers and a year."""
+    return F.regexp_extract(value, SHORT_DATE, place).try_cast("int")
+
+
+def day_first(first_number: Column, second_number: Column) -> Column:
+    """Whether dates put the day first, by the largest numbers in both places: some first one is over 12 and no second one."""
+    return (F.coalesce(first_number, F.lit(0)) > 12) & (F.coalesce(second_number, F.lit(0)) <= 12)
+
+
 def writes_day_first(df: DataFrame, column: str) -> bool:
-    """Whether a text column's dates put the day first: some first number is over 12 and no second one. Runs one aggregate."""
-    number = lambda i: F.regexp_extract(F.col(f"`{column}`"), r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-]\d{4}", i).try_cast("int")
-    first, second = df.agg(F.max(number(1)), F.max(number(2))).first()
-    return (first or 0) > 12 and (second or 0) <= 12
+    """Whether a text column's dates put the day first. Runs one aggregate."""
+    places = [F.max(short_date_number(F.col(f"`{column}`"), i)) for i in (1, 2)]
+    return df.agg(day_first(*places)).first()[0]

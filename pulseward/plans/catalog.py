@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from pulseward.operators import (
     ingestion,
     lexical,
     nearest,
+    profiles,
     reports,
     sandbox,
     scorecard,
@@ -452,6 +454,16 @@ def schema_roles(spark, sf_dir):
     return present(out)
 
 
+@register
+def profile_merged(spark, sf_dir):
+    """The upload profiled in four parts, and the parts merged: types, lengths and forms of all its columns."""
+    text = upload(spark, sf_dir).withColumns({"user_id": F.col("user_id").cast("string"), "value": F.col("value").cast("decimal(18,3)").cast("string")})
+    parts = [profiles.column_profiles(text.where(F.col("event_id") % 4 == i), True, ["ts"], True) for i in range(4)]
+    merged = profiles.merge_profiles(reduce(DataFrame.unionByName, parts))
+    kind = profiles.narrowest_type(F.col("kinds"), F.col("data_type"))
+    return present(merged.select("ordinal", "column_name", "rows", "present", "characters", "longest", kind.alias("type")))
+
+
 EVENT_MAPPING = inference.TableRoles(
     source="event_stream",
     time="ts",

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import date, datetime
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseward.functions.dates import writes_day_first
 from pulseward.functions.numeric import key_id
 from pulseward.functions.text import dataset_slug
 from pulseward.operators.complaints import ComplaintExport, complaint_daily
@@ -18,7 +16,7 @@ from pulseward.operators.ingestion import ingest_head, ingest_metrics, ingest_su
 from pulseward.operators.tickets import embed_tickets
 from pulseward.plans.store import append_metrics, append_tickets
 from pulseward.session import staged
-from pulseward.sources.files import read_complaints, read_table
+from pulseward.sources.files import read_complaints, read_profiled
 
 
 def slug_of(spark: SparkSession, path: str) -> str:
@@ -27,7 +25,8 @@ def slug_of(spark: SparkSession, path: str) -> str:
 
 def infer_file(spark: SparkSession, path: str, sample: int = 5) -> TableRoles:
     """Roles of the columns of a file; an empty file is an error."""
-    return infer_roles(read_table(spark, path), slug_of(spark, path), sample)
+    table, columns = read_profiled(spark, path)
+    return infer_roles(table, slug_of(spark, path), sample, columns)
 
 
 def ingest_file(
@@ -43,20 +42,17 @@ def ingest_file(
     """Ingest a file and return its summary; an empty file gives zeros.
 
     The parsed rows are written to the shared folder once, as columns, so that
-    inference, metrics and tickets each read only what they need.
+    the profile, metrics and tickets each read only what they need; types and roles come from that one profile.
     ``order_by`` names the column whose order stands for the order of the input.
     """
-    table = read_table(spark, path)
-    if max_records:
-        table = ingest_head(table, max_records, order_by or table.columns[0])
-    table = staged(table, "ingest")
-    if table.isEmpty():
+    table, columns = read_profiled(spark, path)
+    if not columns or not columns[0]["rows"]:
         name = mapping.source if mapping else "empty_dataset"
         return {"dataset_name": name, "total_records": 0, "metrics_inserted": 0, "tickets_embedded": 0}
+    if max_records:  # the roles are those of the rows taken
+        table, columns = staged(ingest_head(table, max_records, order_by or table.columns[0]), "ingest"), None
     if mapping is None:
-        mapping = infer_roles(table, slug_of(spark, path), sample=0)
-        if dict(table.dtypes)[mapping.time] == "string":
-            mapping = replace(mapping, day_first=writes_day_first(table, mapping.time))
+        mapping = infer_roles(table, slug_of(spark, path), sample=0, columns=columns)
     append_metrics(ingest_metrics(table, mapping, run_date), metrics_path)
     if mapping.narrative in table.columns:
         created = datetime(run_date.year, run_date.month, run_date.day)

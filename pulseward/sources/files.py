@@ -5,12 +5,14 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseward.operators.complaints import ComplaintExport, mapped_columns, normalize_complaints
-from pulseward.operators.inference import TIME_WORDS
+from pulseward.operators.inference import iso_times, known_columns, time_by_name
+from pulseward.operators.profiles import column_profiles, narrowest_type
+from pulseward.session import staged
 from pulseward.sources.splits import csv_records, json_lines
 from pulseward.sources.sqlite import SQLITE_SUFFIXES, read_sqlite
 
@@ -78,40 +80,17 @@ def read_csv_ranges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def typed_text(raw: DataFrame) -> DataFrame:
-    """Columns of text in the narrowest type that all their values have."""
+    """Columns of text in the narrowest type that all their values have. Runs one aggregate."""
     text = missing_to_null(raw)
-    return text.select(*[_typed(text, c, kind) for c, kind in _inferred_types(text)])
+    kinds = column_profiles(text, types=True).orderBy("ordinal").select(narrowest_type(F.col("kinds"), F.col("data_type")))
+    return as_types(text, [kind for (kind,) in kinds.collect()])
 
 
-WHOLE_NUMBER = r"^\s*[+-]?\d{1,18}\s*$"
-LONG_NUMBER = r"^\s*[+-]?\d{19,38}\s*$"
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-TRUTH = r"(?i)^(true|false)$"
-
-
-def _inferred_types(text: DataFrame) -> list[tuple[str, str]]:
-    """The narrowest of bigint, decimal, double, boolean or string every value of a column fits. Runs one aggregate.
-
-    Patterns decide, and only whole numbers of 19 digits or more are cast: a failed cast costs an exception per value.
-    Whole numbers beyond a bigint are decimals, so that no two become the same.
-    """
-    kinds = ["bigint", "decimal(38,0)", "double", "boolean"]
-    checks = []
-    for i, c in enumerate(text.columns):
-        value = F.col(f"`{c}`")
-        short, long = value.rlike(WHOLE_NUMBER), value.rlike(LONG_NUMBER)
-        fits = [short | (long & value.try_cast("bigint").isNotNull()), short | long, value.rlike(NUMBER), value.rlike(TRUTH)]
-        for k, (kind, fit) in enumerate(zip(kinds, fits)):
-            checks.append(F.coalesce(F.every(fit), F.lit(kind == "double")).alias(f"k{k}_{i}"))
-    row = text.agg(*checks).first()
-    return [
-        (c, next((kind for k, kind in enumerate(kinds) if row[f"k{k}_{i}"]), "string")) for i, c in enumerate(text.columns)
-    ]
-
-
-def _typed(text: DataFrame, name: str, kind: str):
-    c = F.col(f"`{name}`")
-    return (c if kind == "string" else c.try_cast(kind)).alias(name)
+def as_types(df: DataFrame, kinds: list[str]) -> DataFrame:
+    """Each column in the type at its place."""
+    kept = [kind == now for kind, (_, now) in zip(kinds, df.dtypes)]
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(*[(c if keep else c.try_cast(kind)).alias(n) for c, keep, kind, n in zip(columns, kept, kinds, df.columns)])
 
 
 def json_starts(spark: SparkSession, path: str) -> set[str]:
@@ -139,38 +118,29 @@ def json_starts(spark: SparkSession, path: str) -> set[str]:
         return set(pool.map(start, spark.read.text(path).inputFiles())) - {None}
 
 
+def parsed_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """The values of JSON arrays of records, or of one record a line, in JSON's own types."""
+    starts = json_starts(spark, path)
+    if len(starts) > 1:
+        raise ValueError(f"{path} mixes JSON arrays with records or other text; read them apart")
+    # The elements of an array become lines first, so that both kinds split over tasks.
+    reader = spark.read.option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema is not None else reader).json(path if starts == {"{"} else json_lines(spark, path))
+
+
 def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """JSON arrays of records, or one record a line; what is neither is an error. Both are read by many tasks.
 
     Folder names like ``part=1`` become columns with records a line only.
     Text columns named like a time come out as timestamps where all of them parse.
     """
-    starts = json_starts(spark, path)
-    if len(starts) > 1:
-        raise ValueError(f"{path} mixes JSON arrays with records or other text; read them apart")
-    # The elements of an array become lines first, so that both kinds split over tasks.
-    reader = spark.read.option("mode", "FAILFAST")
-    df = (reader.schema(schema) if schema is not None else reader).json(path if starts == {"{"} else json_lines(spark, path))
-    if schema is not None:
-        return df
-    candidates = [
-        f.name
-        for f in df.schema.fields
-        if isinstance(f.dataType, T.StringType) and any(w in f.name.lower() for w in TIME_WORDS)
-    ]
-    if not candidates:
-        return df
-    parses = df.agg(
-        *[
-            F.coalesce(
-                F.every(F.when(F.col(f"`{c}`").isNotNull(), F.try_to_timestamp(F.col(f"`{c}`")).isNotNull())), F.lit(False)
-            ).alias(f"p{i}")
-            for i, c in enumerate(candidates)
-        ]
-    ).first()
-    for i, c in enumerate(candidates):
-        if parses[f"p{i}"]:
-            df = df.withColumn(c, F.try_to_timestamp(F.col(f"`{c}`")))
+    df = parsed_json(spark, path, schema)
+    return df if schema is not None or not time_by_name(df.columns) else with_times(df, iso_times(known_columns(df)))
+
+
+def with_times(df: DataFrame, names: list[str]) -> DataFrame:
+    for name in names:
+        df = df.withColumn(name, F.try_to_timestamp(F.col(f"`{name}`")))
     return df
 
 
@@ -184,32 +154,51 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def kind_of_file(spark: SparkSession, path: str) -> str:
+    """``sqlite``, ``csv``, ``json`` or ``parquet`` by suffix; under another one JSON if every file opens a JSON value, else CSV."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"no dataset at {path}")
+    suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
+    if suffix in SQLITE_SUFFIXES:
+        return "sqlite"
+    known = {".csv": "csv", ".txt": "csv", ".json": "json", ".parquet": "parquet"}
+    if suffix in known:
+        return known[suffix]
+    starts = json_starts(spark, path)
+    return "json" if starts and "other" not in starts else "csv"
+
+
 def read_table(spark: SparkSession, path: str, multi_line: bool = True, by_ranges: bool = False) -> DataFrame:
     """Read by suffix; an unknown suffix is read as JSON where all files open a JSON value, else as CSV.
 
     ``multi_line=False`` says that no quoted CSV field holds a line break, and splits large CSV files over tasks; ``by_ranges``
     splits them whatever their fields hold, at the price of a pass over their quotes.
     """
-    if not path_exists(spark, path):
-        raise FileNotFoundError(f"no dataset at {path}")
-    suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
-    if suffix in SQLITE_SUFFIXES:
-        return read_sqlite(spark, path)
-    if suffix in (".csv", ".txt"):
+    kind = kind_of_file(spark, path)
+    if kind == "csv":
         return read_csv_ranges(spark, path) if by_ranges else read_csv(spark, path, multi_line=multi_line)
-    if suffix == ".json":
-        return read_json(spark, path)
-    if suffix == ".parquet":
-        return read_parquet(spark, path)
-    return read_unknown(spark, path, multi_line)
+    return {"sqlite": read_sqlite, "json": read_json, "parquet": read_parquet}[kind](spark, path)
 
 
-def read_unknown(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """JSON where every file opens a JSON value, else CSV."""
-    starts = json_starts(spark, path)
-    if starts and "other" not in starts:
-        return read_json(spark, path)
-    return read_csv(spark, path, multi_line=multi_line)
+def read_profiled(spark: SparkSession, path: str, multi_line: bool = True, by_ranges: bool = False) -> tuple[DataFrame, list[Row]]:
+    """``read_table`` together with the profile that roles are inferred from.
+
+    The values are written to the shared folder once, and one aggregate over them serves types, times and roles.
+    """
+    kind = kind_of_file(spark, path)
+    if kind == "csv":
+        table = missing_to_null(csv_records(spark, path) if by_ranges else csv_reader(spark, multi_line).csv(path))
+    else:
+        table = {"sqlite": read_sqlite, "json": parsed_json, "parquet": read_parquet}[kind](spark, path)
+    if not table.columns:
+        return table, []
+    table = staged(table, "upload")
+    columns = known_columns(table, types=kind == "csv")
+    if kind == "csv":
+        table = as_types(table, [c["type"] for c in columns])
+    if kind == "json":
+        table = with_times(table, iso_times(columns))
+    return table, [Row(**c.asDict() | {"type": now}) for c, (_, now) in zip(columns, table.dtypes)]
 
 
 def read_complaints(

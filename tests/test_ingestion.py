@@ -1,6 +1,7 @@
 import json
 import sqlite3
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,13 +11,14 @@ from pulseward.functions.text import dataset_slug
 from pulseward.operators.complaints import CONSUMER_COMPLAINTS, ComplaintExport, complaint_daily, normalize_complaints
 from pulseward.operators.inference import TableRoles, infer_roles, schema_roles
 from pulseward.operators.ingestion import ingest_metrics, ingest_summary, ingest_tickets
+from pulseward.operators.profiles import column_profiles, merge_profiles, narrowest_type
 from pulseward.operators.signals import DetectorSettings, scan_metrics
 from pulseward.operators.telemetry import overview
 from pulseward.operators.tickets import search_tickets
 from pulseward.plans.ingest import infer_file, ingest_complaints, ingest_file, with_ticket_ids
 from pulseward.plans.store import read_stored
 from pulseward.schemas import ANOMALY_EVENTS, DAILY_METRICS, TICKETS
-from pulseward.sources.files import preferred_source, read_complaints, read_csv, read_table
+from pulseward.sources.files import preferred_source, read_complaints, read_csv, read_profiled, read_table
 from pulseward.sources.sqlite import read_sqlite
 
 RUN = date(2026, 3, 1)
@@ -357,3 +359,42 @@ def test_complaints_are_stored_as_tickets_and_kpis(spark, tmp_path):
     assert tuple(counts) == ("c.csv", 6, 6, 3)
     assert read_stored(spark, str(tmp_path / "m"), DAILY_METRICS).count() == 3
     assert read_stored(spark, str(tmp_path / "t"), TICKETS).where(F.size("embedding") == 768).count() == 6
+
+
+def test_profiles_of_parts_merge_into_the_profile_of_the_whole(spark):
+    values = ["1", " -2 ", "9223372036854775808", "1.5", "1e3", "TRUE", "false", "2026-01-02", "13/01/2026", "01/02/2026", "x", "", None, "y" * 60]
+    columns = [values[:2], values[:3], values[:5], values[5:7], values[7:8], values[8:10], values, [None]]
+    kinds = ["bigint", "decimal(38,0)", "double", "boolean", "string", "string", "string", "double"]
+    rows = [tuple(c[i % len(c)] for c in columns) + (i % 5, date(2026, 1, 1)) for i in range(len(values) * 2)]
+    names = [f"c{i}" for i in range(len(columns))]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", n int, d date")
+
+    def profile(part):
+        return column_profiles(part, types=True, times=names, distinct=True)
+
+    parts = [profile(df.where(F.col("n") == i)) for i in range(5)] + [profile(df.where("false"))]
+    merged = merge_profiles(reduce(lambda a, b: a.unionByName(b), parts))
+    facts = ["ordinal", "data_type", "rows", "present", "characters", "longest", "kinds", "first_number", "second_number"]
+    shown = facts + [F.hll_sketch_estimate("distinct_sketch").alias("distinct"), narrowest_type(F.col("kinds"), F.col("data_type")).alias("type")]
+    whole = profile(df).select(*shown).orderBy("ordinal").collect()
+    assert merged.select(*shown).orderBy("ordinal").collect() == whole
+    assert [r["type"] for r in whole] == [*kinds, "int", "date"]
+    assert [r["distinct"] for r in whole] == [len({v for v in c if v is not None}) for c in columns] + [5, 1]
+    assert [bool((r["kinds"] or 0) & 16) for r in whole[4:7]] == [True, True, False]
+    assert (whole[5]["first_number"], whole[5]["second_number"], whole[6]["longest"]) == (13, 2, 60)
+    assert whole[7]["kinds"] is None and whole[8]["characters"] is None and whole[9]["longest"] == 10
+    assert column_profiles(spark.createDataFrame([], "struct<>")).count() == 0
+
+
+def test_an_upload_is_profiled_once(spark, tmp_path):
+    path = write(tmp_path / "eu.csv", "event_date,amount,comment\n13/02/2026,1.0,NA\n01/02/2026,2,a text\n")
+    table, columns = read_profiled(spark, path)
+    assert table.dtypes == [("event_date", "string"), ("amount", "double"), ("comment", "string")]
+    assert table.collect() == read_table(spark, path).collect()
+    roles = infer_roles(table, "eu", 0, columns)
+    assert (roles.time, roles.measure, roles.narrative, roles.day_first, roles.rows) == ("event_date", "amount", "comment", True, 2)
+    records = '[{"received": "2026-01-02T03:04:05", "date_text": "soon", "n": 1}, {"received": null, "date_text": "2026-01-01", "n": 2}]'
+    path = write(tmp_path / "r.json", records)
+    table, columns = read_profiled(spark, path)
+    assert table.collect() == read_table(spark, path).collect()
+    assert [(c["column_name"], c["type"]) for c in columns] == [("date_text", "string"), ("n", "bigint"), ("received", "timestamp")]
