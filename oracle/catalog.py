@@ -396,6 +396,14 @@ FROM upload WHERE event_type IS NOT NULL GROUP BY day, event_type, bucket""",
             select="""SELECT dataset_source, count(*) AS stored_rows, CAST(sum(transaction_count) AS BIGINT) AS transactions FROM (
   SELECT dataset_source, transaction_count FROM metrics_events UNION ALL SELECT dataset_source, transaction_count FROM ticket_daily
   UNION ALL SELECT dataset_source, transaction_count FROM ticket_daily) GROUP BY dataset_source""",
+        ),
+        "sink_idempotent": query(
+            v.TICKETS,
+            v.METRICS_EVENTS,
+            p.daily("tickets", "DOCUMENTS"),
+            select="""SELECT dataset_source, count(*) AS stored_rows, CAST(sum(transaction_count) AS BIGINT) AS transactions FROM (
+  SELECT dataset_source, transaction_count FROM metrics_events UNION ALL SELECT dataset_source, transaction_count FROM ticket_daily)
+  GROUP BY dataset_source""",
         ),
         "scan_generic": s.scan_query(
             """slim AS (SELECT CAST(ts AS DATE) AS metric_date, event_type AS region, 'All' AS product_name, 'All' AS customer_tier,
@@ -630,6 +638,7 @@ FROM found f JOIN latest_days USING (region, product_name)""",
             select="SELECT anomaly_id, root_cause_summary, confidence_score, mitigation_steps, sql_queries::BIGINT AS sql_queries, citations FROM reported",
         ),
         "report_markdown": query(*reported, select=f"SELECT anomaly_id, {document} AS document FROM reported"),
+        "sink_documents": query(*reported, select=f"SELECT anomaly_id, {document} AS document FROM reported"),
         "investigation_events": query(*reported, select=feed),
         "text_block": """SELECT doc_id, md5(coalesce(nullif(array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)), ''), 'empty')) AS lines,
   'lang: ' || lang || '; source: ' || source || chr(10) || 'n: ' || n_chars AS facts,

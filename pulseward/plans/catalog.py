@@ -34,7 +34,7 @@ from pulseward.operators import (
     tickets,
 )
 from pulseward.operators.signals import DetectorSettings, scan_metrics, score_series
-from pulseward.plans import detect, ingest, investigate, store, uploads, views
+from pulseward.plans import detect, documents, ingest, investigate, store, uploads, views
 from pulseward.schemas import ANOMALY_EVENTS, CITATION, DAILY_METRICS, TICKETS
 from pulseward.session import scratch_path, staged
 from pulseward.sources import files
@@ -606,6 +606,23 @@ def sink_metrics(spark, sf_dir):
     )
 
 
+@register
+def sink_idempotent(spark, sf_dir):
+    """Two uploads with a manifest, one of them twice, and rows of an attempt that broke off before the manifest had it."""
+    path, manifest = scratch_path(spark, "metrics"), scratch_path(spark, "manifest")
+    daily = staged(ticket_daily(spark, sf_dir), "daily")
+    for rows in (views.metrics_events(spark, sf_dir), daily, daily):
+        store.append_once({path: rows}, manifest, store.upload_key(rows, "upload"))
+    broken = daily.withColumn("attempt", F.lit("broken"))
+    broken.write.mode("append").partitionBy("dataset_source").parquet(path)
+    stored = store.read_committed(spark, path, manifest, DAILY_METRICS)
+    return present(
+        stored.groupBy("dataset_source").agg(
+            F.count("*").alias("stored_rows"), F.sum("transaction_count").alias("transactions")
+        )
+    )
+
+
 @register
 def sink_replace(spark, sf_dir):
     """Two stored datasets, one of them overwritten by a part of itself, then a table that was cleared."""
@@ -860,6 +877,17 @@ def report_markdown(spark, sf_dir):
     return reports.report_documents(cited_reports(spark, sf_dir, found), found)
 
 
+@register
+def sink_documents(spark, sf_dir):
+    """The Markdown reports in two batches, one of them written twice, read back from their files by the index."""
+    path = scratch_path(spark, "documents")
+    found = stored_ticket_events(spark, sf_dir)
+    written = staged(reports.report_documents(cited_reports(spark, sf_dir, found), found), "reports")
+    for batch in (0, 1, 0):
+        documents.write_document_batch(written.where(F.pmod("anomaly_id", F.lit(2)) == batch), path, f"batch-{batch}")
+    return documents.read_documents(spark, path)
+
+
 @register
 def investigation_events(spark, sf_dir):
     found = stored_ticket_events(spark, sf_dir)

@@ -14,7 +14,7 @@ from pulseward.operators.complaints import ComplaintExport, complaint_daily
 from pulseward.operators.inference import TableRoles, infer_roles
 from pulseward.operators.ingestion import ingest_head, ingest_metrics, ingest_summary, ingest_tickets
 from pulseward.operators.tickets import embed_tickets
-from pulseward.plans.store import append_metrics, append_tickets
+from pulseward.plans.store import append_metrics, append_once, append_tickets, upload_key
 from pulseward.session import staged
 from pulseward.sources.files import read_complaints, read_profiled
 
@@ -38,12 +38,14 @@ def ingest_file(
     mapping: TableRoles | None = None,
     order_by: str | None = None,
     max_records: int | None = None,
+    manifest_path: str | None = None,
 ) -> dict:
     """Ingest a file and return its summary; an empty file gives zeros.
 
     The parsed rows are written to the shared folder once, as columns, so that
     the profile, metrics and tickets each read only what they need; types and roles come from that one profile.
-    ``order_by`` names the column whose order stands for the order of the input.
+    ``order_by`` names the column whose order stands for the order of the input. With ``manifest_path`` the same rows
+    with the same roles and ``run_date`` are stored once however often they are ingested; readers then use ``read_committed``.
     """
     table, columns = read_profiled(spark, path)
     if not columns or not columns[0]["rows"]:
@@ -53,11 +55,17 @@ def ingest_file(
         table, columns = staged(ingest_head(table, max_records, order_by or table.columns[0]), "ingest"), None
     if mapping is None:
         mapping = infer_roles(table, slug_of(spark, path), sample=0, columns=columns)
-    append_metrics(ingest_metrics(table, mapping, run_date), metrics_path)
+    metrics, embedded = ingest_metrics(table, mapping, run_date), None
     if mapping.narrative in table.columns:
         created = datetime(run_date.year, run_date.month, run_date.day)
-        tickets = ingest_tickets(table, mapping, created, order_by or mapping.time)
-        append_tickets(embed_tickets(with_ticket_ids(tickets)), tickets_path)
+        embedded = embed_tickets(with_ticket_ids(ingest_tickets(table, mapping, created, order_by or mapping.time)))
+    if manifest_path:
+        tables = {metrics_path: metrics} | ({tickets_path: embedded} if embedded is not None else {})
+        append_once(tables, manifest_path, upload_key(table, f"{mapping} {run_date}"))
+    else:
+        append_metrics(metrics, metrics_path)
+        if embedded is not None:
+            append_tickets(embedded, tickets_path)
     return ingest_summary(table, mapping, run_date).first().asDict()
 
 

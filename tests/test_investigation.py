@@ -12,7 +12,19 @@ from pulseward.operators.signals import scan_metrics
 from pulseward.operators.tickets import embed_tickets
 from pulseward.operators.events import current_status, signals_to_events
 from pulseward.plans.investigate import investigate, investigate_and_persist
-from pulseward.plans.store import append_metrics, append_tickets, clear_table, read_stored, replace_dataset, write_documents
+from pulseward.plans.documents import read_document, read_documents, write_document_batch
+from pulseward.plans.ingest import ingest_file
+from pulseward.plans.store import (
+    MANIFEST,
+    append_metrics,
+    append_tickets,
+    clear_table,
+    read_committed,
+    read_stored,
+    replace_dataset,
+    upload_key,
+    write_documents,
+)
 from pulseward.schemas import ANOMALY_EVENTS, CITATION, DAILY_METRICS, REPORTS, STATUS_LOG, TICKETS
 from pulseward.streaming.incremental import incremental_scan
 
@@ -237,3 +249,53 @@ def test_evidence_queries_run_and_a_broken_one_fails_alone(spark, anomalies, see
     scores = {r.anomaly_id: (r.sql_queries, r.sql_pass, r.rows_found, r.confidence) for r in evidence_runs.run_scores(sound).collect()}
     assert scores == {7: (2, True, 7, 0.72), 8: (2, True, 0, 0.5)}
     assert not any(r.sql_pass for r in evidence_runs.run_scores(spark.createDataFrame(runs, evidence_runs.RUNS)).collect())
+
+
+def test_documents_in_batches_are_found_by_their_place(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    assert read_documents(spark, path).collect() == [] and read_document(spark, path, 1) is None
+    texts = {i: f"# Incident {i}\n\n" + "\u00e9\U0001f600\n\n" * (i % 7) for i in range(200)} | {200: "", 201: None}
+    df = spark.createDataFrame(list(texts.items()), "anomaly_id bigint, document string")
+    for batch, part in (("a", df.where("anomaly_id < 90")), ("b", df.where("anomaly_id >= 90")), ("empty", df.where("false"))):
+        write_document_batch(part, path, batch)
+    write_document_batch(df.where("anomaly_id < 100"), path, "a")  # a batch takes the place of an earlier one of its name
+    write_document_batch(df.where("anomaly_id >= 100"), path, "b")
+    want = {i: t or "" for i, t in texts.items()}
+    got = read_documents(spark, path).collect()
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+    assert [read_document(spark, path, i) for i in (0, 13, 199, 200, 999)] == [want[0], want[13], want[199], "", None]
+    # text without an index entry is what a broken run leaves
+    (tmp_path / "docs" / "text" / "batch=c" / "part=0").mkdir(parents=True)
+    (tmp_path / "docs" / "text" / "batch=c" / "part=0" / "part-0.txt").write_text("broken", encoding="utf-8")
+    assert read_documents(spark, path).count() == len(want)
+    with pytest.raises(ValueError):
+        write_document_batch(df, path, "a/b")
+
+
+def test_an_upload_is_stored_once(spark, tmp_path, monkeypatch):
+    where = {k: str(tmp_path / k) for k in ("metrics", "tickets", "manifest")}
+    text = "event_date,region,amount,comment\n" + "".join(f"2026-01-0{1 + i % 3},r{i % 2},{i}.5,comment number {i}\n" for i in range(9))
+    (tmp_path / "u.csv").write_text(text)
+    (tmp_path / "v.csv").write_text(text + "2026-01-04,r0,1.5,one more\n")
+
+    def ingest(name):
+        ingest_file(spark, str(tmp_path / name), where["metrics"], where["tickets"], date(2026, 3, 1), manifest_path=where["manifest"])
+        return tuple(read_committed(spark, where[t], where["manifest"], s).count() for t, s in (("metrics", DAILY_METRICS), ("tickets", TICKETS)))
+
+    assert ingest("u.csv") == (6, 9) and ingest("u.csv") == (6, 9)
+    with monkeypatch.context() as broken:
+        broken.setattr("pulseward.plans.store.append_rows", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest("v.csv")
+    assert ingest("u.csv") == (6, 9) and ingest("v.csv") == (13, 19)
+    # of two attempts that were committed at once the first by name counts; rows appended plainly always do
+    spark.createDataFrame([(r.upload, "zzz") for r in read_stored(spark, where["manifest"], MANIFEST).collect()], MANIFEST).write.mode("append").parquet(where["manifest"])
+    append_metrics(read_committed(spark, where["metrics"], where["manifest"], DAILY_METRICS).limit(1), where["metrics"])
+    assert ingest("v.csv") == (14, 19)
+
+
+def test_upload_keys_follow_the_rows(spark):
+    rows = [(1, "a"), (2, None), (2, None)]
+    key = lambda r: upload_key(spark.createDataFrame(r, "n int, t string"), "x")
+    assert key(rows) == key(rows[::-1])
+    assert len({key(rows), key(rows[:2]), key([(1, None), (2, "a"), (2, None)]), key([]), key([(1, "a"), (2, ""), (2, None)])}) == 5
