@@ -397,14 +397,7 @@ FROM upload WHERE event_type IS NOT NULL GROUP BY day, event_type, bucket""",
   SELECT dataset_source, transaction_count FROM metrics_events UNION ALL SELECT dataset_source, transaction_count FROM ticket_daily
   UNION ALL SELECT dataset_source, transaction_count FROM ticket_daily) GROUP BY dataset_source""",
         ),
-        "sink_idempotent": query(
-            v.TICKETS,
-            v.METRICS_EVENTS,
-            p.daily("tickets", "DOCUMENTS"),
-            select="""SELECT dataset_source, count(*) AS stored_rows, CAST(sum(transaction_count) AS BIGINT) AS transactions FROM (
-  SELECT dataset_source, transaction_count FROM metrics_events UNION ALL SELECT dataset_source, transaction_count FROM ticket_daily)
-  GROUP BY dataset_source""",
-        ),
+        "sink_idempotent": "SELECT doc_id AS ticket_id, source AS dataset_source, lang AS region, md5(text) AS message FROM documents",
         "scan_generic": s.scan_query(
             """slim AS (SELECT CAST(ts AS DATE) AS metric_date, event_type AS region, 'All' AS product_name, 'All' AS customer_tier,
   NULL AS merchant_category, NULL::DOUBLE AS daily_spend_amount, NULL::BIGINT AS transaction_count, NULL::DOUBLE AS avg_ticket_size,

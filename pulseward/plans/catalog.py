@@ -170,7 +170,7 @@ def early_events(spark, sf_dir) -> DataFrame:
 
 
 def ticket_daily(spark, sf_dir) -> DataFrame:
-    return complaints.complaint_daily(views.tickets(spark, sf_dir, False), "DOCUMENTS")
+    return complaints.complaint_daily(views.tickets(spark, sf_dir, False, False), "DOCUMENTS")
 
 
 def ticket_events(spark, sf_dir) -> DataFrame:
@@ -608,19 +608,18 @@ def sink_metrics(spark, sf_dir):
 
 @register
 def sink_idempotent(spark, sf_dir):
-    """Two uploads with a manifest, one of them twice, and rows of an attempt that broke off before the manifest had it."""
-    path, manifest = scratch_path(spark, "metrics"), scratch_path(spark, "manifest")
-    daily = staged(ticket_daily(spark, sf_dir), "daily")
-    for rows in (views.metrics_events(spark, sf_dir), daily, daily):
-        store.append_once({path: rows}, manifest, store.upload_key(rows, "upload"))
-    broken = daily.withColumn("attempt", F.lit("broken"))
-    broken.write.mode("append").partitionBy("dataset_source").parquet(path)
-    stored = store.read_committed(spark, path, manifest, DAILY_METRICS)
-    return present(
-        stored.groupBy("dataset_source").agg(
-            F.count("*").alias("stored_rows"), F.sum("transaction_count").alias("transactions")
-        )
+    """All documents as tickets in two uploads with a manifest, one twice, and an attempt that broke off before the manifest had it."""
+    path, manifest = scratch_path(spark, "tickets"), scratch_path(spark, "manifest")
+    rows = views.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("ticket_id"), F.col("source").alias("dataset_source"), F.col("lang").alias("region"), F.col("text").alias("message")
     )
+    halves = [rows.where(F.col("ticket_id") % 2 == i) for i in (0, 1)]
+    broken = halves[1].select("ticket_id", "dataset_source", F.lit("broken").alias("attempt"))
+    broken.write.mode("append").partitionBy(store.PARTITION).parquet(path)
+    for half in (halves[0], halves[1], halves[0]):
+        store.append_once({path: half}, manifest, store.upload_key(half, "documents"))
+    stored = store.read_committed(spark, path, manifest, TICKETS)
+    return present(stored.select("ticket_id", "dataset_source", "region", F.md5("message").alias("message")))
 
 
 @register

@@ -128,11 +128,17 @@ def metrics_orders_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders_metrics(_orders_joined(spark, sf_dir), F.col("o_orderpriority"), "ORDERS_FINE")
 
 
-def tickets(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> DataFrame:
-    """Documents as tickets; queries that need no vectors leave their join out."""
+def tickets(spark: SparkSession, sf_dir: str, with_vectors: bool = True, with_text: bool = True) -> DataFrame:
+    """Documents as tickets; queries that need no vectors leave their join out.
+
+    Without text a message only tells whether there is one, so that counting messages moves none through the join.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     disputed = F.col("toxic") == 1
-    documents = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    documents = table(spark, sf_dir, "documents")
+    if not with_text:
+        documents = documents.withColumn("text", F.when(F.col("text").isNotNull(), ""))
+    documents = documents.join(labels, "doc_id", "left")
     if with_vectors:
         vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
         documents = documents.join(vectors, "doc_id", "left")
