@@ -613,7 +613,7 @@ def sink_idempotent(spark, sf_dir):
     rows = views.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("ticket_id"), F.col("source").alias("dataset_source"), F.col("lang").alias("region"), F.col("text").alias("message")
     )
-    halves = [rows.where(F.col("ticket_id") % 2 == i) for i in (0, 1)]
+    halves = [rows.where(F.pmod("ticket_id", F.lit(2)) == i) for i in (0, 1)]
     broken = halves[1].select("ticket_id", "dataset_source", F.lit("broken").alias("attempt"))
     broken.write.mode("append").partitionBy(store.PARTITION).parquet(path)
     for half in (halves[0], halves[1], halves[0]):
