@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import sqlite3
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from pulseward.session import scratch_path
 
 ROWS_PER_FILE = 10_000
 
+# Text that a file of quoted fields holds (in expectation): more than the byte range that a task reads by default.
+FILE_BYTES = 256 << 20
+
 
 def as_text(df: DataFrame) -> DataFrame:
     return df.select(
@@ -31,9 +36,12 @@ def to_csv(df: DataFrame, suffix: str = "csv") -> str:
 
 
 def to_quoted_csv(df: DataFrame) -> str:
-    """One file with all fields in quotes, whatever they hold."""
+    """All fields in quotes, whatever they hold, in one file for every ``FILE_BYTES`` of text; each is written by a task."""
     path = f"{scratch_path(df.sparkSession, 'upload')}.csv"
-    writer = as_text(df).coalesce(1).write.option("header", True).option("escape", '"').option("quoteAll", True)
+    text = as_text(df)
+    width = reduce(add, [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in text.columns])
+    files = max(1, -(-(text.agg(F.sum(width)).first()[0] or 0) // FILE_BYTES))
+    writer = text.coalesce(files).write.option("header", True).option("escape", '"').option("quoteAll", True)
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 

@@ -4,7 +4,9 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pulseward.plans import uploads
 from pulseward.sources import files, splits
 
 
@@ -44,6 +46,27 @@ def test_csv_with_line_breaks_in_quotes_equals_the_whole_file_reader(small_range
     assert got.count() == 900
 
 
+def test_quoted_uploads_are_written_by_many_tasks_and_their_files_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(uploads, "FILE_BYTES", 4_000, raising=False)
+    spark.range(120).select(F.col("id"), F.concat(F.lit('say "hi",\n'), F.repeat(F.lit("漢\n"), 30), F.col("id").cast("string")).alias("note?")).repartition(
+        24
+    ).write.parquet(str(tmp_path / "rows"))
+    kept = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        df = spark.read.parquet(str(tmp_path / "rows"))
+        path = uploads.to_quoted_csv(df)
+        sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+        assert len(sizes) > 2 and min(sizes) > 1500 and max(sizes) < sum(sizes) / 2
+        want = [(str(r.id), r["note?"]) for r in df.collect()]
+        assert sorted(map(tuple, splits.csv_records(spark, path).collect())) == sorted(want)
+        assert spark.read.format("binaryFile").load(uploads.to_quoted_csv(df.where("id < 20"))).count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[1])
+
+
 def test_csv_states_follow_quotes_at_field_starts_only():
     rules = splits.CsvLines()
     state = lambda line, quoted=False: rules.after(splits.State(quoted), line).quoted
