@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulseward.functions import embedding
 from pulseward.functions.embedding import embed_with, hash_embed, hash_embed_text, sparse_embed
 from pulseward.functions.vectors import cosine_to, vector_normalize
 from pulseward.operators import lexical, nearest
@@ -227,6 +228,23 @@ def test_sparse_vectors_equal_the_dense_ones_without_python(spark):
         assert row.p["indices"] == np.flatnonzero(want).tolist() and row.p["values"] == want[want != 0].tolist()
 
 
+def test_an_index_embeds_every_text_once(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 50)
+    monkeypatch.setattr(embedding, "COUNTED_TEXTS", 7, raising=False)
+    texts = [*messages(3, 200), None, "", "  ", "One one TWO", "x_y İ ΣΑΣ ǅ ½ Ⅷ e\u0301", "a" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "ticket_id bigint, message string").repartition(3)
+    index = lexical.lexical_index(df)
+    # Neither the sizes nor the blocks make words of the texts again.
+    assert "regexp_extract_all" not in index._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(tuple(r) for r in index.select("bucket", F.explode("postings").alias("p")).select("p.ticket_id", "bucket", "p.weight").collect())
+    want = []
+    for r in df.select("ticket_id", sparse_embed(F.trim("message")).alias("v")).collect():
+        values = np.array(r.v["values"], np.float32).astype(float)
+        length = np.sqrt(np.cumsum(values * values)[-1:])  # added one by one, as Spark does
+        want += [(r.ticket_id, b, w) for b, w in zip(r.v["indices"], (values / length).tolist())]
+    assert got == sorted(want) and len(got) > 1000
+
+
 def test_search_by_blocks_equals_brute_force(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 50)
     texts = messages(2, 600)
