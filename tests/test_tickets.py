@@ -2,6 +2,7 @@ import re
 from datetime import date, datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,51 @@ def test_an_index_embeds_every_text_once(spark, monkeypatch):
     assert got == sorted(want) and len(got) > 1000
 
 
+def postings_of(vectors):
+    """(ticket_id, bucket, weight) of sparse vectors, whose squares are added one by one, as Spark does."""
+    out = []
+    for r in vectors.collect():
+        values = np.array(r.v["values"], np.float32).astype(float)
+        out += [(r.ticket_id, b, w) for b, w in zip(r.v["indices"], (values / np.sqrt(np.cumsum(values * values)[-1:])).tolist())]
+    return sorted(out, key=repr)
+
+
+def test_an_index_deals_slices_of_postings(spark):
+    texts = [*messages(4, 3000), None, " "]
+    df = spark.createDataFrame([(None if i == 7 else f"t{i // 2}", m) for i, m in enumerate(texts)], "ticket_id string, message string")
+    index = lexical.lexical_index(df.repartition(2))
+    each = index.select("bucket", "level", "top", F.explode("postings").alias("p")).select("*", "p.ticket_id", "p.weight")
+    got = [(r.ticket_id, r.bucket, r.weight) for r in each.collect()]
+    assert sorted(got, key=repr) == postings_of(df.select("ticket_id", sparse_embed(F.trim("message")).alias("v")))
+    assert each.where("weight > top or level != ceil(weight * 32)").count() == 0
+    # What is stored and then dealt to the blocks is not a row per posting.
+    assert spark.read.parquet(*index.inputFiles()).count() < len(got) / 5
+
+
+def test_an_index_has_the_words_of_spark_whatever_the_characters(spark):
+    """Two texts of each 64 code points: between letters, and apart."""
+    known = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    runs = [[chr(i) for i in known[at : at + 64]] for at in range(0, len(known), 64)]
+    texts = [f"x{'x x'.join(r)}x" for r in runs] + [" ".join(r) for r in runs]
+    df = spark.createDataFrame(list(enumerate(texts)), "ticket_id bigint, message string").repartition(4)
+    index = lexical.lexical_index(df).select("bucket", F.explode("postings").alias("p")).select("p.ticket_id", "bucket", "p.weight")
+    assert sorted(map(tuple, index.collect()), key=repr) == postings_of(df.select("ticket_id", sparse_embed(t.ticket_text(df)).alias("v")))
+
+
+def test_texts_are_counted_in_parts_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(embedding, "COUNTED_WORDS", 100)
+    monkeypatch.setattr(embedding, "TEXT_WORDS", 10)
+    words = [["a"] * 30, [], ["b", "c"] * 500, *[["c"]] * 30, [], ["漢", "a", "漢"]]
+    batch = pa.RecordBatch.from_pydict({"ticket_id": pa.array(range(len(words))), "words": pa.array(words)})
+    parts = list(embedding.counted_parts(batch))
+    assert pa.Table.from_batches(parts).to_pydict() == {"ticket_id": list(range(len(words))), "words": words}
+    assert len(parts) > 4 and all(sum(len(w) + 10 for w in p["words"].to_pylist()[1:]) < 100 for p in parts)
+    whole = embedding.bucket_weights(batch["words"])
+    split = [embedding.bucket_weights(p["words"]) for p in parts]
+    assert all([x for s in split for x in s[i].tolist()] == whole[i].tolist() for i in (1, 2))
+    assert not len(embedding.bucket_weights(pa.array([[], []], pa.list_(pa.string())))[0])
+
+
 def test_search_by_blocks_equals_brute_force(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 50)
     texts = messages(2, 600)
